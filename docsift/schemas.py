@@ -1,0 +1,42 @@
+"""Canonical schemas of the retrieval relations.
+
+corpus  (doc_id, title, text, language)
+queries (query_id, text, language)
+qrels   (query_id, doc_id, language, relevance)
+run     (query_id, doc_id, score, rank)
+vectors (id, embedding array<float>)
+
+Ids are kept in the type they arrive with (the fixtures use bigint); only the
+builders that ingest foreign data (#3-#5) cast them to string.
+"""
+
+from pyspark.sql import types as T
+
+CORPUS = T.StructType([
+    T.StructField("doc_id", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("language", T.StringType()),
+])
+
+QUERIES = T.StructType([
+    T.StructField("query_id", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("language", T.StringType()),
+])
+
+QRELS = T.StructType([
+    T.StructField("query_id", T.StringType()),
+    T.StructField("doc_id", T.StringType()),
+    T.StructField("language", T.StringType()),
+    T.StructField("relevance", T.IntegerType()),
+])
+
+RUN = T.StructType([
+    T.StructField("query_id", T.StringType()),
+    T.StructField("doc_id", T.StringType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("rank", T.IntegerType()),
+])
+
+RUN_COLUMNS = ["query_id", "doc_id", "score", "rank"]
