@@ -131,3 +131,7 @@ def q_bm25_index(spark, sf_dir):
     idx = fx1_index(spark, sf_dir)
     return (idx.postings.join(idx.terms.select("term", "df", "idf"), "term")
             .select("term", "doc_id", "tf", "dl", "df", F.round("idf", 6).alias("idf")))
+
+
+# registration side effects: the other query groups
+from docsift.plans import q_prepare  # noqa: E402,F401
