@@ -193,12 +193,18 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", partitions: int |
     """1-based global row number without moving all rows into one partition.
 
     Range-partition + sort, number rows inside each partition, then add the
-    running count of the preceding partitions (a table with one row per partition).
+    running count of the preceding partitions (a table with one row per
+    partition).  Range bounds come from sampling, so the numbered table is
+    checkpointed (reliably, into ``spark.checkpoint.dir``) before the per-partition
+    counts are taken: a recomputation could otherwise draw different bounds.
     """
+    from docsift.session import cut_lineage
+
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
     s = s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
+    s = cut_lineage(s)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

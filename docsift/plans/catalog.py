@@ -134,4 +134,4 @@ def q_bm25_index(spark, sf_dir):
 
 
 # registration side effects: the other query groups
-from docsift.plans import q_prepare  # noqa: E402,F401
+from docsift.plans import q_prepare, q_retrieval, q_training  # noqa: E402,F401

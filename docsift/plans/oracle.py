@@ -170,3 +170,40 @@ def metric_aggs() -> str:
 
 def evaluate_select(prefix: str) -> str:
     return f"SELECT k, count(*) AS n_queries, {metric_aggs()} FROM {prefix}_pq GROUP BY k"
+
+
+# -- vectors ----------------------------------------------------------------
+
+def hashed_tfidf_ctes(prefix: str, corpus: str, dim: int, id_col: str = "doc_id", text_col: str = "text",
+                      queries: str | None = None, query_id: str = "query_id", query_weighting: str = "binary") -> str:
+    """CTEs ``{prefix}_dv`` (id, dim, w) and, with ``queries``, ``{prefix}_qv``."""
+    p = prefix
+    bucket = "CAST(concat('0x', substr(md5(term), 1, 8)) AS BIGINT) % " + str(int(dim))
+    sign = f"CASE WHEN substr(md5(term), 9, 1) < '8' THEN {dbl(1.0)} ELSE {dbl(-1.0)} END"
+    out = f"""
+{p}_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT {id_col} AS id, unnest({tokenize(text_col)}) AS term FROM {corpus}) GROUP BY id, term),
+{p}_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM {corpus}),
+{p}_idf AS (SELECT term, ln(({dbl(1.0)} + (SELECT n FROM {p}_n)) / ({dbl(1.0)} + CAST(count(*) AS DOUBLE))) + {dbl(1.0)} AS idf
+            FROM {p}_tf GROUP BY term),
+{p}_dx AS (SELECT id, {bucket} AS dim, sum({sign} * ({dbl(1.0)} + ln(tf)) * idf) AS w
+           FROM {p}_tf JOIN {p}_idf USING (term) GROUP BY id, dim),
+{p}_dn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {p}_dx GROUP BY id),
+{p}_dv AS (SELECT x.id, x.dim, x.w / n.norm AS w FROM {p}_dx x JOIN {p}_dn n USING (id) WHERE n.norm > 0)"""
+    if queries:
+        tfw = dbl(1.0) if query_weighting == "binary" else f"({dbl(1.0)} + ln(tf))"
+        out += f""",
+{p}_qtf AS (SELECT id, term, count(*) AS tf FROM (SELECT {query_id} AS id, unnest({tokenize(text_col)}) AS term FROM {queries}) GROUP BY id, term),
+{p}_qx AS (SELECT id, {bucket} AS dim, sum({sign} * {tfw} * idf) AS w
+           FROM {p}_qtf JOIN {p}_idf USING (term) GROUP BY id, dim),
+{p}_qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {p}_qx GROUP BY id),
+{p}_qv AS (SELECT x.id, x.dim, x.w / n.norm AS w FROM {p}_qx x JOIN {p}_qn n USING (id) WHERE n.norm > 0)"""
+    return out
+
+
+def dot_scored_cte(name: str, queries: str, corpus: str, metric: str = "dot") -> str:
+    if metric == "dot":
+        s = "list_dot_product(q.embedding, d.embedding)"
+    else:
+        s = ("list_dot_product(q.embedding, d.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding))"
+             " * sqrt(list_dot_product(d.embedding, d.embedding)))")
+    return f"{name} AS (SELECT q.id AS query_id, d.id AS doc_id, {s} AS score FROM {queries} q, {corpus} d)"
