@@ -23,8 +23,13 @@ def normalize_text(text) -> Column:
 
 
 def split_tokens(normalized) -> Column:
-    """Whitespace split of an already normalised string, without empty tokens."""
-    return F.filter(F.split(F.trim(_col(normalized)), " "), lambda t: t != "")
+    """Split a normalised string (single spaces between tokens) without empty tokens.
+
+    After normalisation only an all-space string can produce an empty token, so a
+    CASE replaces a per-element lambda filter and the expression stays codegen-able.
+    """
+    t = F.trim(_col(normalized))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def tokenize(text, lowercase: bool = True) -> Column:

@@ -172,7 +172,8 @@ def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_
         def _fp(texts: pd.Series, k=k, w=w) -> pd.Series:
             return pd.Series([winnow(t, k, w).tolist() for t in texts])
 
-        fp = spread(docs).select(F.col(doc_id).alias("_did"), F.explode(_fp(F.col(doc_text))).alias("_h"))
+        fp = (spread(docs).select(F.col(doc_id).alias("_did"), F.explode_outer(_fp(F.col(doc_text))).alias("_h"))
+              .where(F.col("_h").isNotNull()))
         part = (anchors.where(F.col("_lv") == lv).select("_pid", "_h")
                 .join(fp, "_h").select("_pid", "_did").distinct())
         cand = part if cand is None else cand.unionByName(part)

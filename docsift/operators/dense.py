@@ -56,14 +56,22 @@ def hash_sign(term):
     return F.when(F.substring(F.md5(term), 9, 1) < F.lit("8"), F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def term_stats(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """(id, term, tf) and (term, idf) with smooth idf = ln((1+N)/(1+df)) + 1."""
-    tf = (spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")))
-          .select("id", F.explode(tokenize(F.col("_t"))).alias("term"))
-          .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+def term_stats(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", index=None):
+    """(id, term, tf) and (term, idf) with smooth idf = ln((1+N)/(1+df)) + 1 (N = all corpus rows).
+
+    With a ``LexicalIndex`` built on the same corpus and tokenizer, its postings and
+    document frequencies are reused instead of tokenising again.
+    """
     n = corpus.count()
-    idf = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-           .select("term", (F.log(F.lit(float(1 + n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")))
+    if index is not None and index.analyzer is None:
+        tf = index.postings.select(F.col("doc_id").alias("id"), "term", "tf")
+        df = index.terms.select("term", "df")
+    else:
+        tf = (spread(corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")))
+              .select("id", F.explode_outer(tokenize(F.col("_t"))).alias("term")).where(F.col("term").isNotNull())
+              .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", (F.log(F.lit(float(1 + n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     return tf, idf
 
 
@@ -71,26 +79,29 @@ def encode_sparse(tf: DataFrame, idf: DataFrame, dim: int, weighting: str = "log
     """Signed hashed TF-IDF: (id, dim, w), L2-normalised per id.
 
     weighting 'log': (1 + ln tf) * idf (document tower); 'binary': idf (query tower).
+    The md5 bucket and sign are computed once per distinct term, not per posting.
     """
     tfw = F.lit(1.0) + F.log(F.col("tf").cast("double")) if weighting == "log" else F.lit(1.0)
-    x = (tf.join(idf, "term")
-         .select("id", hash_bucket(F.col("term"), dim).alias("dim"), (hash_sign(F.col("term")) * tfw * F.col("idf")).alias("w"))
+    hashed = idf.select("term", hash_bucket(F.col("term"), dim).alias("dim"), hash_sign(F.col("term")).alias("sign"), "idf")
+    x = (tf.join(hashed, "term")
+         .select("id", "dim", (F.col("sign") * tfw * F.col("idf")).alias("w"))
          .groupBy("id", "dim").agg(F.sum("w").alias("w")))
     norms = x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return x.join(norms, "id").select("id", "dim", (F.col("w") / F.col("norm")).alias("w")).where(F.col("norm") > 0)
 
 
-def encode_hashed_tfidf(corpus: DataFrame, dim: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    tf, idf = term_stats(corpus, id_col, text_col)
+def encode_hashed_tfidf(corpus: DataFrame, dim: int = 256, id_col: str = "doc_id", text_col: str = "text",
+                        index=None) -> DataFrame:
+    tf, idf = term_stats(corpus, id_col, text_col, index)
     return encode_sparse(tf, idf, dim, "log")
 
 
 def encode_two_tower(queries: DataFrame, corpus: DataFrame, dim: int = 256, query_id: str = "query_id",
-                     doc_id: str = "doc_id", text_col: str = "text"):
+                     doc_id: str = "doc_id", text_col: str = "text", index=None):
     """Separate towers sharing the corpus idf: queries binary*idf, documents (1+ln tf)*idf."""
-    tf, idf = term_stats(corpus, doc_id, text_col)
+    tf, idf = term_stats(corpus, doc_id, text_col, index)
     qtf = (spread(queries.select(F.col(query_id).alias("id"), F.col(text_col).alias("_t")))
-           .select("id", F.explode(tokenize(F.col("_t"))).alias("term"))
+           .select("id", F.explode_outer(tokenize(F.col("_t"))).alias("term")).where(F.col("term").isNotNull())
            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
     return encode_sparse(qtf, idf, dim, "binary"), encode_sparse(tf, idf, dim, "log")
 
@@ -317,7 +328,8 @@ def lsh_buckets(df: DataFrame, n_tables: int, n_bits: int, dim: int, seed: int =
         bits = (np.einsum("nd,lbd->nlb", x, p) > 0).astype(np.int64)
         k = (bits * (1 << np.arange(p.shape[1]))[None, None, :]).sum(axis=2)
         return pd.Series(list(k.astype(np.int32)))
-    return (df.select("id", "embedding", F.posexplode(keys("embedding")).alias("tbl", "bucket")))
+    return (df.select("id", "embedding", F.posexplode_outer(keys("embedding")).alias("tbl", "bucket"))
+            .where(F.col("bucket").isNotNull()))
 
 
 def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int = 4, n_bits: int = 4,

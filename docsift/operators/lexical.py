@@ -117,7 +117,10 @@ def bm25_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", an
     """Build postings and term statistics (persisted); one small action computes N and avgdl."""
     docs = (spread(corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
             .select("doc_id", term_array(F.col("_text"), analyzer).alias("toks")))
-    tok = docs.select("doc_id", F.size("toks").alias("dl"), F.posexplode("toks").alias("pos", "term"))
+    # *_outer + a null filter on the generated column: a plain explode makes Catalyst infer
+    # ``size(toks) > 0`` and push it below the repartition, tokenising twice (once in the scan task)
+    tok = (docs.select("doc_id", F.size("toks").alias("dl"), F.posexplode_outer("toks").alias("pos", "term"))
+           .where(F.col("term").isNotNull()))
     base = (tok.groupBy("doc_id", "term", "dl")
             .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
             .persist(storage))
@@ -139,7 +142,8 @@ def bm25_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", an
 def query_terms(queries: DataFrame, index: LexicalIndex, query_id: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term, qtf, w = qtf*idf, df, hot, tau) for query terms present in the index."""
     qt = (spread(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_text")))
-          .select("query_id", F.explode(term_array(F.col("_text"), index.analyzer)).alias("term"))
+          .select("query_id", F.explode_outer(term_array(F.col("_text"), index.analyzer)).alias("term"))
+          .where(F.col("term").isNotNull())
           .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     return (qt.join(index.terms.select("term", "df", "idf", "hot"), "term")
             .select("query_id", "term", "qtf", (F.col("qtf") * F.col("idf")).alias("w"), "df", "hot"))

@@ -74,7 +74,8 @@ def q_encode_hashed_tfidf(spark, sf_dir):
 
 def fx1_towers(spark, sf_dir):
     d = fx1(spark, sf_dir)
-    return _cached(spark, ("towers", sf_dir), lambda: D.encode_two_tower(d.queries, d.corpus, HASH_DIM))
+    return _cached(spark, ("towers", sf_dir),
+                   lambda: D.encode_two_tower(d.queries, d.corpus, HASH_DIM, index=fx1_index(spark, sf_dir)))
 
 
 TOWERS_SQL = O.hashed_tfidf_ctes("h", "fx1_corpus", HASH_DIM, queries="fx1_queries")
