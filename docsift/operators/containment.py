@@ -99,6 +99,13 @@ def _level_col(text_col: str):
     return expr
 
 
+def _fingerprint_udf(k: int, w: int):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([winnow(t, k, w).tolist() for t in texts])
+    return fp
+
+
 def _passage_table(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (passages.select(F.col(id_col).alias("_pid"), F.col(text_col).alias("_ptext"))
             .where(F.col("_ptext").isNotNull() & (F.length("_ptext") > 0)))
@@ -123,7 +130,7 @@ def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_
         mode = "broadcast" if (stats["chars"] or 0) <= BROADCAST_MAX_CHARS else "shuffle"
 
     if mode == "broadcast":
-        rows = [(r["_pid"], r["_ptext"]) for r in p.toLocalIterator()]
+        rows = [(r["_pid"], r["_ptext"]) for r in p.toLocalIterator()]  # bounded: <= BROADCAST_MAX_CHARS checked above
         by_level: dict[int, dict[int, list]] = {}
         for pid, ptext in rows:
             lv = level_of(len(ptext))
@@ -157,7 +164,7 @@ def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_
                 .dropDuplicates(["passage_id", doc_id]))
 
     # shuffle form: fingerprints equi-joined on the hash, then verified
-    levels_present = [r[0] for r in p.select(_level_col("_ptext").alias("lv")).distinct().collect()]
+    levels_present = [r[0] for r in p.select(_level_col("_ptext").alias("lv")).distinct().collect()]  # bounded: len(LEVELS) rows
 
     @F.pandas_udf(T.LongType())
     def _anchor(texts: pd.Series, lvs: pd.Series) -> pd.Series:
@@ -168,10 +175,7 @@ def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_
     for lv in levels_present:
         k, w = LEVELS[lv]
 
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def _fp(texts: pd.Series, k=k, w=w) -> pd.Series:
-            return pd.Series([winnow(t, k, w).tolist() for t in texts])
-
+        _fp = _fingerprint_udf(k, w)
         fp = (spread(docs).select(F.col(doc_id).alias("_did"), F.explode_outer(_fp(F.col(doc_text))).alias("_h"))
               .where(F.col("_h").isNotNull()))
         part = (anchors.where(F.col("_lv") == lv).select("_pid", "_h")

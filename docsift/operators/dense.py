@@ -144,7 +144,7 @@ def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot
         mode = "broadcast" if nq * max(dim, 1) <= BROADCAST_CELLS else "blocked"
 
     if mode == "broadcast":
-        qp = queries.select("id", "embedding").toPandas()
+        qp = queries.select("id", "embedding").toPandas()  # bounded: rows * dim <= BROADCAST_CELLS checked above
         qids = qp["id"].to_numpy()
         qm = stack(qp["embedding"])
         if cos:
@@ -200,7 +200,7 @@ def sq_fit(corpus: DataFrame):
     """Per-dimension (min, max): an aggregate with one row per dimension (bounded by dim)."""
     per_dim = (corpus.select(F.posexplode("embedding").alias("i", "x"))
                .groupBy("i").agg(F.min(F.col("x").cast("double")).alias("lo"), F.max(F.col("x").cast("double")).alias("hi"))
-               .orderBy("i").collect())
+               .orderBy("i").collect())  # bounded: one row per dimension
     lo = [r["lo"] for r in per_dim]
     hi = [r["hi"] for r in per_dim]
     return lo, hi

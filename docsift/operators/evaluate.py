@@ -73,7 +73,8 @@ def per_query_metrics(run: DataFrame, qrels: DataFrame, k_values=C.K_VALUES) ->
 def _judged_fill(pq: DataFrame, qrels: DataFrame, k_values) -> DataFrame:
     """Add zero rows for judged queries that have no run rows (denominator='judged')."""
     judged_q = qrels.where(F.col("relevance") > 0).select("query_id").distinct()
-    ks = judged_q.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in k_values])).cast("bigint"))
+    ks = (judged_q.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in k_values])))
+          .withColumn("k", F.col("k").cast("bigint")))
     missing = ks.join(pq.select("query_id").distinct(), "query_id", "left_anti")
     zeros = missing.select("query_id", "k", F.lit(None).cast("bigint").alias("n_rel"),
                            *[F.lit(0.0).alias(m) for m in METRICS])
