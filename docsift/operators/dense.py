@@ -113,10 +113,17 @@ def to_dense(sparse: DataFrame, dim: int) -> DataFrame:
                                       lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding")))
 
 
-def sparse_dot(pairs: DataFrame, qvec: DataFrame, dvec: DataFrame) -> DataFrame:
-    """Score given (query_id, doc_id) pairs by the sparse dot product of their vectors."""
-    return (pairs.join(qvec.select(F.col("id").alias("query_id"), "dim", F.col("w").alias("wq")), "query_id")
-            .join(dvec.select(F.col("id").alias("doc_id"), "dim", F.col("w").alias("wd")), ["doc_id", "dim"])
+def sparse_dot(pairs: DataFrame, qvec: DataFrame, dvec: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Score given (query_id, doc_id) pairs by the sparse dot product of their vectors.
+
+    The (pair, dim, wq) side is broadcast behind a row-count check, so the document
+    vectors are probed where they live instead of being shuffled for a short candidate list.
+    """
+    from docsift.operators.lexical import _maybe_broadcast
+
+    left = pairs.join(qvec.select(F.col("id").alias("query_id"), "dim", F.col("w").alias("wq")), "query_id")
+    left, _ = _maybe_broadcast(left, broadcast_rows)
+    return (dvec.select(F.col("id").alias("doc_id"), "dim", F.col("w").alias("wd")).join(left, ["doc_id", "dim"])
             .groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
 
 
@@ -336,19 +343,27 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int
                exclude_self: bool = False, chunk_rows: int = BUCKET_CHUNK_ROWS) -> DataFrame:
     """Multi-table LSH: candidates share a bucket in some table; exact re-score; top-k.
 
-    Hot buckets are split into ceil(size / chunk_rows) corpus chunks and the
-    bucket's queries are replicated to each chunk, so no task holds more than
-    ``chunk_rows`` corpus vectors and every block emits only its top-k rows.
+    Hot buckets are cut into a grid: ceil(corpus rows / chunk_rows) corpus chunks times
+    ceil(query rows / chunk_rows) query chunks; each chunk pair meets in one cogroup
+    task, so no task holds more than ``chunk_rows`` vectors per side and every block
+    emits only rows that can reach a query's top-k.
     """
     dim = len(corpus.select("embedding").first()[0])
     qb = lsh_buckets(queries, n_tables, n_bits, dim)
     cb = lsh_buckets(corpus, n_tables, n_bits, dim)
-    sizes = cb.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    nchunk = sizes.select("tbl", "bucket", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(chunk_rows))).cast("int").alias("nc"))
-    q = (qb.join(nchunk, ["tbl", "bucket"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("nc") - 1)))
-         .drop("nc"))
-    c = (cb.join(nchunk, ["tbl", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("nc")).cast("int"))
-         .select(F.col("id").alias("cid"), F.col("embedding").alias("cemb"), "tbl", "bucket", "chunk"))
+    keys = ["tbl", "bucket"]
+    grid = (cb.groupBy(*keys).agg(F.count(F.lit(1)).alias("nd"))
+            .join(qb.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")), keys)
+            .select(*keys, F.greatest(F.lit(1), F.ceil(F.col("nd") / F.lit(chunk_rows))).cast("int").alias("ndc"),
+                    F.greatest(F.lit(1), F.ceil(F.col("nq") / F.lit(chunk_rows))).cast("int").alias("nqc")))
+    q = (qb.join(grid, keys)
+         .withColumn("qc", F.pmod(F.xxhash64("id"), F.col("nqc")).cast("int"))
+         .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("ndc") - 1)))
+         .select("id", "embedding", *keys, "qc", "dc"))
+    c = (cb.join(grid, keys)
+         .withColumn("dc", F.pmod(F.xxhash64("id"), F.col("ndc")).cast("int"))
+         .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("nqc") - 1)))
+         .select(F.col("id").alias("cid"), F.col("embedding").alias("cemb"), *keys, "qc", "dc"))
     schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
 
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +372,7 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int
         a, b, cc = block_topk(qpdf["id"].to_numpy(), stack(qpdf["embedding"]), cpdf["cid"].to_numpy(),
                               stack(cpdf["cemb"]), k, exclude_self)
         return _kernel_frame(a, b, cc)
-    keys = ["tbl", "bucket", "chunk"]
-    hits = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(pair, schema)
+    gkeys = [*keys, "qc", "dc"]
+    hits = q.groupBy(*gkeys).cogroup(c.groupBy(*gkeys)).applyInPandas(pair, schema)
     best = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     return rank_top_k(best, k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))

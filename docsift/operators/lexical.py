@@ -41,7 +41,7 @@ from docsift.session import spread
 #: impact histogram resolution used to pick tau per hot term
 TAU_BUCKETS = 1024
 #: query-term tables up to this many rows are broadcast (checked by a count)
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 #: ``auto`` strategy: run the exhaustive join when sum(df) over query terms is at most this
 EXHAUSTIVE_BUDGET = 200_000_000
 

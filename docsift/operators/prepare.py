@@ -104,14 +104,18 @@ def semi(df: DataFrame, keys: DataFrame, on: str = "query_id") -> DataFrame:
 
 def merge_qrels_right_wins(*qrels: DataFrame) -> DataFrame:
     """``dict(a, **b)`` chained: for a query present in several inputs, the last input's
-    whole judgment set replaces the earlier ones."""
+    whole judgment set replaces the earlier ones.
+
+    The winning input per query comes from an aggregate (partial aggregation, so a
+    query holding a large share of the judgments is not pulled into one task) and
+    is joined back on (query_id, input).
+    """
     tagged = None
     for i, q in enumerate(qrels):
         t = q.withColumn("_prio", F.lit(i))
         tagged = t if tagged is None else tagged.unionByName(t)
-    w = Window.partitionBy("query_id")
-    return (tagged.withColumn("_max", F.max("_prio").over(w)).where(F.col("_prio") == F.col("_max"))
-            .drop("_prio", "_max"))
+    win = tagged.groupBy("query_id").agg(F.max("_prio").alias("_prio"))
+    return tagged.join(win, ["query_id", "_prio"], "left_semi").drop("_prio")
 
 
 def first_n_judged(queries: DataFrame, qrels: DataFrame, n: int) -> DataFrame:

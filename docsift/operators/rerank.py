@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.operators.dense import sparse_dot
-from docsift.operators.lexical import LexicalIndex, query_terms, rank_top_k
+from docsift.operators.lexical import LexicalIndex, _maybe_broadcast, query_terms, rank_top_k
 
 
 def _finish(scored: DataFrame, k: int) -> DataFrame:
@@ -27,8 +27,10 @@ def coverage_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame) -
     qt = (query_terms(queries, index).join(index.terms.select("term", "idf"), "term")
           .select("query_id", "term", "idf"))
     total = qt.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    present = (pairs.join(qt, "query_id")
-               .join(index.postings.select("term", "doc_id"), ["term", "doc_id"])
+    # (pair, term) rows are few (depth x query terms): broadcast them behind a count check and
+    # probe the postings in place instead of shuffling the whole inverted index
+    probe, _ = _maybe_broadcast(pairs.join(qt, "query_id"), 1_000_000)
+    present = (index.postings.select("term", "doc_id").join(probe, ["term", "doc_id"])
                .groupBy("query_id", "doc_id").agg(F.sum("idf").alias("hit")))
     return (pairs.join(present, ["query_id", "doc_id"], "left").join(total, "query_id")
             .select("query_id", "doc_id", (F.coalesce("hit", F.lit(0.0)) / F.col("total")).alias("score")))
