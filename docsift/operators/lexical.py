@@ -198,19 +198,35 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
 
     qt = qt.join(index.tau.select("term", "tau"), "term")
     qt_s, _ = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
+    ub = qt.groupBy("query_id").agg(
+        F.sum(F.when(F.col("hot"), F.col("w") * F.col("tau")).otherwise(F.lit(0.0))).alias("ub"))
+    # 1. candidates with an exact partial score: every cold-term contribution plus the
+    #    hot-term contributions found in the tau prefixes
     matched = index.cand_postings.join(qt_s, "term")
     cand = (matched.groupBy("query_id", "doc_id")
-            .agg(F.sum(F.when(~F.col("hot"), F.col("w") * F.col("impact")).otherwise(F.lit(0.0))).alias("cold"))
-            .where(self_filter))
+            .agg(F.sum(F.col("w") * F.col("impact")).alias("partial"),
+                 F.sum(F.when(~F.col("hot"), F.col("w") * F.col("impact")).otherwise(F.lit(0.0))).alias("cold"))
+            .where(self_filter)
+            .persist(storage))
+    # 2. lookup pruning: the true score lies in [partial, partial + ub]; the k-th best partial
+    #    is a lower bound of the k-th best true score, so candidates whose upper bound stays
+    #    below it cannot enter the top-k and skip the hot-term lookups (the 2e-6 margin keeps
+    #    every candidate that could still tie the k-th score after 6-decimal rounding)
+    w_p = Window.partitionBy("query_id").orderBy(F.col("partial").desc(), F.col("doc_id").asc())
+    low = (cand.withColumn("_r", F.row_number().over(w_p)).where(F.col("_r") == top_k)
+           .select("query_id", F.col("partial").alias("theta_low")))
+    alive = (cand.join(ub, "query_id").join(low, "query_id", "left")
+             .where(F.col("theta_low").isNull() |
+                    (F.col("partial") + F.col("ub") + F.lit(2e-6) >= F.col("theta_low"))))
+    # 3. exact score of the survivors: cold part from the join + hot terms by (doc_id, term) lookup
     qt_hot, _ = _maybe_broadcast(qt.where("hot").select("query_id", "term", "w"), broadcast_rows)
-    hot = (cand.select("query_id", "doc_id").join(qt_hot, "query_id")
+    hot = (alive.select("query_id", "doc_id").join(qt_hot, "query_id")
            .join(index.hot_postings, ["doc_id", "term"])
            .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("hot")))
-    scored = (cand.join(hot, ["query_id", "doc_id"], "left")
+    scored = (alive.join(hot, ["query_id", "doc_id"], "left")
               .select("query_id", "doc_id", (F.col("cold") + F.coalesce("hot", F.lit(0.0))).alias("score")))
     top = rank_top_k(scored, top_k).persist(storage)
-    ub = qt.groupBy("query_id").agg(
-        F.sum(F.when(F.col("hot"), F.col("w") * F.col("tau")).otherwise(F.lit(0.0))).alias("ub"))
+    # 4. proof: a non-candidate scores below ub; the query is exact when ub < k-th score
     kth = top.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("theta"))
     verdict = (ub.join(kth, "query_id", "left")
                .withColumn("safe", (F.col("ub") <= F.lit(0.0)) |

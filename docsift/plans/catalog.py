@@ -63,18 +63,23 @@ def _cached(spark, key, build):
     return _CACHE[k]
 
 
-def _persisted(ds: FX.Dataset) -> FX.Dataset:
-    # qrels/queries are small and reused by many queries; the corpus stays a lazy scan
-    return FX.Dataset(ds.corpus, ds.queries.persist(StorageLevel.MEMORY_AND_DISK),
-                      ds.qrels.persist(StorageLevel.MEMORY_AND_DISK))
+def _persisted(ds: FX.Dataset, queries: bool) -> FX.Dataset:
+    """Persist derived relations that many queries reuse (qrels; FX-1's passage queries).
+
+    Tables that are plain scans of the corpus (FX-2 queries, every corpus) stay lazy,
+    so filters and column pruning still reach the Parquet scan and the corpus is
+    never duplicated in executor memory.
+    """
+    lvl = StorageLevel.MEMORY_AND_DISK
+    return FX.Dataset(ds.corpus, ds.queries.persist(lvl) if queries else ds.queries, ds.qrels.persist(lvl))
 
 
 def fx1(spark, sf_dir) -> FX.Dataset:
-    return _cached(spark, ("fx1", sf_dir), lambda: _persisted(FX.fx1(spark, sf_dir)))
+    return _cached(spark, ("fx1", sf_dir), lambda: _persisted(FX.fx1(spark, sf_dir), queries=True))
 
 
 def fx2(spark, sf_dir) -> FX.Dataset:
-    return _cached(spark, ("fx2", sf_dir), lambda: _persisted(FX.fx2(spark, sf_dir)))
+    return _cached(spark, ("fx2", sf_dir), lambda: _persisted(FX.fx2(spark, sf_dir), queries=False))
 
 
 def fx1_index(spark, sf_dir, analyzer=None) -> L.LexicalIndex:

@@ -115,3 +115,15 @@ def test_exclude_self_and_multisearch(spark, data):
     no_self = L.bm25_search(idx, docs.withColumnRenamed("doc_id", "query_id").withColumnRenamed("full_text", "text"),
                             top_k=2, exclude_self=True)
     assert no_self.where("query_id = doc_id").count() == 0
+
+
+def test_pruned_with_rounding_ties(spark):
+    """Documents whose scores tie after 6-decimal rounding must keep the doc_id order under pruning."""
+    docs = [(i, "common " * (i % 3 + 1) + f"rare{i % 5} filler") for i in range(1, 60)]
+    corpus = spark.createDataFrame([(d, "", t, "en") for d, t in docs], "doc_id long, title string, text string, language string")
+    queries = spark.createDataFrame([(1, "common rare1", "en"), (2, "common filler", "en"), (3, "rare2 rare3", "en")],
+                                    "query_id long, text string, language string")
+    idx = L.bm25_index(corpus, hot_df=5)
+    for k in (1, 4, 10):
+        assert as_dict(L.bm25_search(idx, queries, top_k=k, strategy="pruned")) == \
+            as_dict(L.bm25_search(idx, queries, top_k=k, strategy="exhaustive"))
