@@ -102,14 +102,17 @@ def semi(df: DataFrame, keys: DataFrame, on: str = "query_id") -> DataFrame:
     return df.join(keys.select(on).distinct(), on, "left_semi")
 
 
-def merge_qrels_right_wins(*qrels: DataFrame) -> DataFrame:
+def merge_qrels_right_wins(*qrels: DataFrame, mode: str = "right_wins") -> DataFrame:
     """``dict(a, **b)`` chained: for a query present in several inputs, the last input's
-    whole judgment set replaces the earlier ones.
+    whole judgment set replaces the earlier ones.  ``mode='union'`` is the plain
+    (distinct) union of all judgments instead.
 
     The winning input per query comes from an aggregate (partial aggregation, so a
     query holding a large share of the judgments is not pulled into one task) and
     is joined back on (query_id, input).
     """
+    if mode == "union":
+        return concat_languages(*qrels).dropDuplicates(["query_id", "doc_id"])
     tagged = None
     for i, q in enumerate(qrels):
         t = q.withColumn("_prio", F.lit(i))
@@ -187,8 +190,14 @@ def split_threshold(fraction: float) -> str:
     return format(math.ceil(fraction * 2 ** 32), "08x")
 
 
-def split_queries(queries: DataFrame, fraction: float = C.TRAIN_FRACTION, seed: str = C.SPLIT_SEED) -> DataFrame:
-    """Deterministic hash split: (query_id, split) with ~``fraction`` in 'train'. No shuffle."""
+def split_queries(queries: DataFrame, fraction: float = C.TRAIN_FRACTION, seed: str | None = C.SPLIT_SEED) -> DataFrame:
+    """Deterministic hash split: (query_id, split) with ~``fraction`` in 'train'. No shuffle.
+
+    ``seed=None`` draws a fresh unseeded split per call (the source's behaviour), using
+    ``rand()`` per row; it is not reproducible and not SQL-checkable.
+    """
+    if seed is None:
+        return queries.withColumn("split", F.when(F.rand() < F.lit(fraction), F.lit("train")).otherwise(F.lit("test")))
     train = F.substring(hash_key("query_id", seed), 1, 8) < F.lit(split_threshold(fraction))
     return queries.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 

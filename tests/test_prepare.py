@@ -64,3 +64,12 @@ def test_split_ordered(spark):
     s = dict(rows(P.split_ordered(queries, qrels, 0.3), "query_id", "split"))
     assert [q for q, v in s.items() if v == "train"] == [0, 1, 2]
     assert s[3] == "dropped" and s[4] == "test"
+
+
+def test_merge_union_mode_and_unseeded_split(spark):
+    a = _qrels(spark, [(1, 10, "de"), (2, 20, "de")])
+    b = _qrels(spark, [(1, 12, "fr"), (1, 10, "fr")])
+    assert rows(P.merge_qrels_right_wins(a, b, mode="union"), "query_id", "doc_id") == [(1, 10), (1, 12), (2, 20)]
+    q = spark.range(0, 500).withColumnRenamed("id", "query_id")
+    s = P.split_queries(q, seed=None)
+    assert s.count() == 500 and set(r["split"] for r in s.collect()) <= {"train", "test"}
