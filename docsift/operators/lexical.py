@@ -13,16 +13,19 @@ Physical design (exact top-k, no all-pairs blow-up on frequent terms):
   postings pre-partitioned by (doc_id, term) for lookups; and candidate postings
   ``cand_postings(term, doc_id)``: the whole list of every term with
   ``df <= hot_df`` plus, for each hot term, only postings with
-  ``impact >= tau(term)`` (tau is a bucket edge of an exact impact histogram,
-  chosen so that at most about ``hot_df`` postings qualify).
+  ``impact >= tau_j(term)`` (tau_j is a bucket edge of an exact impact histogram,
+  chosen so that about ``hot_df * 10^j`` postings qualify, j = 0, 1, 2).
 * Search: candidates = query terms joined with ``cand_postings`` (every group
   is bounded by ~hot_df postings); cold terms score exactly in that join and
   hot-term contributions are looked up in the hot postings by (doc_id, term).  A document
   outside the candidates matches no cold term and has impact < tau for every
   hot term, so its score is below ``UB(q) = sum_hot qtf*idf*tau``.  When the
-  k-th candidate score beats ``UB(q)`` the top-k is proven exact; otherwise the
-  query is re-run exhaustively (broadcast join when the query-term table is
-  small, else a salted shuffle join that splits hot terms across tasks).
+  k-th candidate score beats ``UB(q)`` the top-k is proven exact.  Unproven
+  queries go to the next, deeper prefix (iterative deepening); after the last
+  depth they are re-run exhaustively (broadcast join when the query-term table
+  is small, else a salted shuffle join that splits hot terms across tasks).
+  Inside a round, candidates whose partial score + UB(q) cannot reach the k-th
+  best partial score skip the hot-term lookups.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.functions.text import analyze, tokenize
-from docsift.session import spread
+from docsift.session import cut_lineage, spread
 
 #: impact histogram resolution used to pick tau per hot term
 TAU_BUCKETS = 1024
+#: prefix depths of the iterative rounds: about hot_df * 10^j postings per hot term
+TAU_LEVELS = 3
 #: query-term tables up to this many rows are broadcast (checked by a count)
 BROADCAST_ROWS = 1_000_000
 #: ``auto`` strategy: run the exhaustive join when sum(df) over query terms is at most this
@@ -63,18 +68,26 @@ class LexicalIndex:
                 .agg(F.count(F.lit(1)).alias("n")))
         tail = Window.partitionBy("term").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("tail", F.sum("n").over(tail))
-        # lowest bucket edge whose upper tail still holds at most hot_df postings (or the top bucket)
+        # per level j: the lowest bucket edge whose upper tail holds at most hot_df * 10^j
+        # postings (or the top bucket); deeper levels admit longer prefixes
+        limits = [self.hot_df * 10 ** j for j in range(TAU_LEVELS)]
         tau = (hist.groupBy("term")
-               .agg(F.min(F.when(F.col("tail") <= self.hot_df, F.col("bucket"))).alias("b_ok"),
+               .agg(*[F.min(F.when(F.col("tail") <= lim, F.col("bucket"))).alias(f"b{j}") for j, lim in enumerate(limits)],
                     F.max("bucket").alias("b_top"))
-               .select("term", (F.coalesce("b_ok", "b_top") / F.lit(float(TAU_BUCKETS))).alias("tau")))
+               .select("term", *[(F.coalesce(f"b{j}", "b_top") / F.lit(float(TAU_BUCKETS))).alias(f"tau{j}")
+                                 for j in range(TAU_LEVELS)]))
+        tcols = [f"tau{j}" for j in range(TAU_LEVELS)]
         tinfo = (self.terms.select("term", "hot").join(tau, "term", "left")
-                 .select("term", "hot", F.coalesce("tau", F.lit(0.0)).alias("tau")).persist(self.storage))
+                 .select("term", "hot", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in tcols]).persist(self.storage))
         self._tinfo = tinfo
+        level = F.lit(TAU_LEVELS - 1)
+        for j in reversed(range(TAU_LEVELS - 1)):
+            level = F.when(F.col("impact") >= F.col(f"tau{j}"), F.lit(j)).otherwise(level)
+        level = F.when(~F.col("hot"), F.lit(0)).otherwise(level)
         self._cand = (self.postings.join(tinfo, "term")
-                      .where(~F.col("hot") | (F.col("impact") >= F.col("tau")))
-                      .select("term", "doc_id", "impact", "hot").persist(self.storage))
-        self._hot = (self.postings.join(tinfo.where("hot"), "term").select("doc_id", "term", "impact")
+                      .where(~F.col("hot") | (F.col("impact") >= F.col(tcols[-1])))
+                      .select("term", "doc_id", "impact", "hot", level.alias("level")).persist(self.storage))
+        self._hot = (self.postings.join(tinfo.where("hot").select("term"), "term").select("doc_id", "term", "impact")
                      .repartition("doc_id", "term").persist(self.storage))
         self._cached += [tinfo, self._cand, self._hot]
 
@@ -196,13 +209,34 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
         out = rank_top_k(_exhaustive(qt, index, broadcast_rows, index.hot_df).where(self_filter), top_k)
         return out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
-    qt = qt.join(index.tau.select("term", "tau"), "term")
+    qt = qt.join(index.tau, ["term", "hot"]).persist(storage)
+    finished = []
+    active = qt
+    for level in range(TAU_LEVELS):
+        safe_top, unsafe_ids = _pruned_round(index, active, level, top_k, self_filter, broadcast_rows, storage)
+        finished.append(safe_top)
+        if unsafe_ids.isEmpty():
+            active = None
+            break
+        active = qt.join(unsafe_ids, "query_id", "left_semi")
+    out = finished[0]
+    for part in finished[1:]:
+        out = out.unionByName(part)
+    if active is not None:
+        # queries whose top-k could not be proven at any depth: exhaustive (still exact)
+        out = out.unionByName(rank_top_k(_exhaustive(active, index, broadcast_rows, index.hot_df).where(self_filter), top_k))
+    return out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+def _pruned_round(index: LexicalIndex, qt: DataFrame, level: int, top_k: int, self_filter, broadcast_rows: int,
+                  storage: StorageLevel):
+    """One depth of the pruned search; returns (proven top-k rows, ids of unproven queries)."""
+    tau = F.col(f"tau{level}")
     qt_s, _ = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
-    ub = qt.groupBy("query_id").agg(
-        F.sum(F.when(F.col("hot"), F.col("w") * F.col("tau")).otherwise(F.lit(0.0))).alias("ub"))
+    ub = qt.groupBy("query_id").agg(F.sum(F.when(F.col("hot"), F.col("w") * tau).otherwise(F.lit(0.0))).alias("ub"))
     # 1. candidates with an exact partial score: every cold-term contribution plus the
-    #    hot-term contributions found in the tau prefixes
-    matched = index.cand_postings.join(qt_s, "term")
+    #    hot-term contributions found in the prefixes of this depth
+    matched = index.cand_postings.where(F.col("level") <= level).join(qt_s, "term")
     cand = (matched.groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("w") * F.col("impact")).alias("partial"),
                  F.sum(F.when(~F.col("hot"), F.col("w") * F.col("impact")).otherwise(F.lit(0.0))).alias("cold"))
@@ -226,17 +260,18 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
     scored = (alive.join(hot, ["query_id", "doc_id"], "left")
               .select("query_id", "doc_id", (F.col("cold") + F.coalesce("hot", F.lit(0.0))).alias("score")))
     top = rank_top_k(scored, top_k).persist(storage)
-    # 4. proof: a non-candidate scores below ub; the query is exact when ub < k-th score
+    # 4. proof: a document outside the candidates scores below ub, so the query is exact
+    #    when ub (rounded up) is below its k-th score
     kth = top.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("theta"))
     verdict = (ub.join(kth, "query_id", "left")
-               .withColumn("safe", (F.col("ub") <= F.lit(0.0)) |
-                           (F.col("theta").isNotNull() &
-                            (F.round(F.col("ub") + F.lit(1e-9), C.SCORE_DECIMALS) < F.col("theta")))))
+               .select("query_id", ((F.col("ub") <= F.lit(0.0)) |
+                                    (F.col("theta").isNotNull() &
+                                     (F.round(F.col("ub") + F.lit(1e-9), C.SCORE_DECIMALS) < F.col("theta")))).alias("safe")))
+    # one row per query, checkpointed reliably: the next round starts from a short lineage
+    # instead of nesting every earlier round's plan
+    verdict = cut_lineage(verdict)
     safe_top = top.join(verdict.where("safe").select("query_id"), "query_id", "left_semi")
-    qt_unsafe = qt.join(verdict.where(~F.col("safe")).select("query_id"), "query_id", "left_semi")
-    redo = rank_top_k(_exhaustive(qt_unsafe, index, broadcast_rows, index.hot_df).where(self_filter), top_k)
-    out = safe_top.unionByName(redo)
-    return out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return safe_top, verdict.where(~F.col("safe")).select("query_id")
 
 
 def bm25_multisearch_docs(index: LexicalIndex, docs: DataFrame, top_hits: int = C.BM25_HARD_NEGATIVE_HITS,
