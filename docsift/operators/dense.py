@@ -97,9 +97,15 @@ def encode_hashed_tfidf(corpus: DataFrame, dim: int = 256, id_col: str = "doc_id
 
 
 def encode_two_tower(queries: DataFrame, corpus: DataFrame, dim: int = 256, query_id: str = "query_id",
-                     doc_id: str = "doc_id", text_col: str = "text", index=None):
-    """Separate towers sharing the corpus idf: queries binary*idf, documents (1+ln tf)*idf."""
+                     doc_id: str = "doc_id", text_col: str = "text", index=None, doc_ids: DataFrame | None = None):
+    """Separate towers sharing the corpus idf: queries binary*idf, documents (1+ln tf)*idf.
+
+    ``doc_ids`` (one ``id`` column) restricts the document tower to those documents
+    (e.g. rerank candidates); idf still comes from the whole corpus.
+    """
     tf, idf = term_stats(corpus, doc_id, text_col, index)
+    if doc_ids is not None:
+        tf = tf.join(doc_ids.select("id").distinct(), "id", "left_semi")
     qtf = (spread(queries.select(F.col(query_id).alias("id"), F.col(text_col).alias("_t")))
            .select("id", F.explode_outer(tokenize(F.col("_t"))).alias("term")).where(F.col("term").isNotNull())
            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))

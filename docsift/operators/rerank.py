@@ -58,7 +58,9 @@ def rerank_dense(run: DataFrame, qvec: DataFrame, dvec: DataFrame, depth: int =
     """Re-score the first ``depth`` candidates by the cosine of L2-normalised sparse vectors
     ``(id, dim, w)`` (per-query candidate scope) and re-rank."""
     pairs = run.where(F.col("rank") <= depth).select("query_id", "doc_id")
-    scored = sparse_dot(pairs, qvec, dvec)
+    # only candidate documents need vectors: at depth 100 that is a sliver of the corpus
+    cand_ids = pairs.select(F.col("doc_id").alias("id")).distinct()
+    scored = sparse_dot(pairs, qvec, dvec.join(cand_ids, "id", "left_semi"))
     scored = pairs.join(scored, ["query_id", "doc_id"], "left").select(
         "query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return _finish(scored, k)

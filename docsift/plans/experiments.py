@@ -33,11 +33,16 @@ def run_experiment(exp: Experiment, corpus: DataFrame, queries: DataFrame, index
 
 
 def experiment_matrix(experiments, corpus: DataFrame, queries: DataFrame, qrels: DataFrame,
-                      indexes: dict | None = None) -> DataFrame:
-    """Union of per-language evaluation reports, one block per experiment."""
+                      indexes: dict | None = None, runs: dict | None = None) -> DataFrame:
+    """Union of per-language evaluation reports, one block per experiment.
+
+    ``indexes`` / ``runs`` hand in already built indexes or runs by experiment name.
+    """
     out = None
     for exp in experiments:
-        run = run_experiment(exp, corpus, queries, (indexes or {}).get(exp.name))
+        run = (runs or {}).get(exp.name)
+        if run is None:
+            run = run_experiment(exp, corpus, queries, (indexes or {}).get(exp.name))
         rep = E.evaluate_by_language(run, qrels, queries).withColumn("experiment", F.lit(exp.name))
         out = rep if out is None else out.unionByName(rep)
     return out.select("experiment", "language", "k", "n_queries", *E.METRICS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from docsift import constants as C
@@ -41,11 +42,16 @@ def q_index_save_load(spark, sf_dir):
 FX1_BM25_EN = O.bm25_ctes("be", "fx1_corpus", "fx1_queries", analyzer="english") + "," + O.topk_cte("be_run", "be_scored", C.TOP_K)
 
 
+def fx1_lang_run(spark, sf_dir):
+    """BM25 run with the English analyzer over FX-1, persisted for reuse (#42, #67)."""
+    return _cached(spark, ("fx1_lang_run", sf_dir), lambda: L.bm25_search(
+        fx1_index(spark, sf_dir, analyzer="english"), fx1(spark, sf_dir).queries).persist(StorageLevel.MEMORY_AND_DISK))
+
+
 @register("bm25_search_lang", sql=W(O.FX1, FX1_BM25_EN) + O.run_select("be_run"))
 def q_bm25_search_lang(spark, sf_dir):
     """#42 BM25 with the English analyzer (stopwords + light stemming) on both sides."""
-    idx = fx1_index(spark, sf_dir, analyzer="english")
-    return L.bm25_search(idx, fx1(spark, sf_dir).queries)
+    return fx1_lang_run(spark, sf_dir)
 
 
 POS_DOCS_SQL = "pd AS (SELECT DISTINCT q.doc_id AS query_id, concat(c.title, ' ', c.text) AS text FROM fx1_qrels q JOIN fx1_corpus c ON q.doc_id = c.doc_id WHERE q.relevance > 0)"
@@ -68,7 +74,8 @@ def q_bm25_multisearch_docs(spark, sf_dir):
 def q_encode_hashed_tfidf(spark, sf_dir):
     """#44 signed hashed TF-IDF document vectors (256 dims, sparse rows)."""
     docs = S.load_table(spark, sf_dir, "documents")
-    v = D.encode_hashed_tfidf(docs, HASH_DIM)
+    # the FX-1 index was built over the same documents with the same tokenizer: reuse its postings
+    v = D.encode_hashed_tfidf(docs, HASH_DIM, index=fx1_index(spark, sf_dir))
     return v.select(F.col("id").alias("doc_id"), "dim", (F.round("w", 6) + F.lit(0.0)).alias("w"))
 
 
@@ -222,5 +229,8 @@ rs AS (SELECT p.query_id, p.doc_id, coalesce(r.score, CAST(0 AS DOUBLE)) AS scor
 @register("rerank_dense", sql=RERANK_DENSE_SQL)
 def q_rerank_dense(spark, sf_dir):
     """#56 BM25 top-100 re-scored by the cosine of the two-tower hashed TF-IDF vectors."""
-    qv, dv = fx1_towers(spark, sf_dir)
-    return R.rerank_dense(fx1_bm25_run(spark, sf_dir), qv, dv)
+    d = fx1(spark, sf_dir)
+    run = fx1_bm25_run(spark, sf_dir)
+    cand = run.where(F.col("rank") <= C.RERANK_DEPTH).select(F.col("doc_id").alias("id"))
+    qv, dv = D.encode_two_tower(d.queries, d.corpus, HASH_DIM, index=fx1_index(spark, sf_dir), doc_ids=cand)
+    return R.rerank_dense(run, qv, dv)
