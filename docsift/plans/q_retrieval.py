@@ -32,11 +32,13 @@ def fx3(spark, sf_dir):
 @register("index_save_load", sql=W(O.FX1, O.bm25_ctes("bm", "fx1_corpus", "fx1_queries"))
           + "SELECT term, doc_id, tf FROM bm_p")
 def q_index_save_load(spark, sf_dir):
-    """#8 index artefact: postings written once as ``{prefix}.{ext}`` Parquet, then loaded."""
+    """#8 index artefact: the BM25 index saved once as ``{prefix}.{ext}`` Parquet tables, then
+    loaded (existence checked through the Hadoop file system) and its postings returned."""
     base = scratch_path(spark, "index")
-    idx = fx1_index(spark, sf_dir)
-    S.save_or_load_index(spark, lambda: idx.postings.select("term", "doc_id", "tf"), base, "fx1", "bm25")
-    return S.save_or_load_index(spark, lambda: idx.postings.select("term", "doc_id", "tf"), base, "fx1", "bm25")
+    path = S.index_path(base, "fx1", "bm25")
+    if not S.path_exists(spark, path):
+        fx1_index(spark, sf_dir).save(path)
+    return L.load_index(spark, path).postings.select("term", "doc_id", "tf")
 
 
 FX1_BM25_EN = O.bm25_ctes("be", "fx1_corpus", "fx1_queries", analyzer="english") + "," + O.topk_cte("be_run", "be_scored", C.TOP_K)

@@ -127,3 +127,16 @@ def test_pruned_with_rounding_ties(spark):
     for k in (1, 4, 10):
         assert as_dict(L.bm25_search(idx, queries, top_k=k, strategy="pruned")) == \
             as_dict(L.bm25_search(idx, queries, top_k=k, strategy="exhaustive"))
+
+
+def test_index_save_load_roundtrip(spark, data):
+    from docsift.session import scratch_path
+
+    corpus, queries = data
+    idx = L.bm25_index(corpus, hot_df=2)
+    path = idx.save(scratch_path(spark, "idx-test"))
+    loaded = L.load_index(spark, path)
+    assert (loaded.n_docs, loaded.avgdl, loaded.hot_df) == (idx.n_docs, idx.avgdl, idx.hot_df)
+    for s in ("exhaustive", "pruned"):
+        assert as_dict(L.bm25_search(loaded, queries, top_k=3, strategy=s)) == \
+            as_dict(L.bm25_search(idx, queries, top_k=3, strategy="exhaustive"))
