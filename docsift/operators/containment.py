@@ -36,6 +36,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: broadcast only when the passages are at most this many characters in total
 BROADCAST_MAX_CHARS = 64 * 1024 * 1024
+#: candidate (passage, document) pairs broadcast for verification up to this many rows
+VERIFY_BROADCAST_ROWS = 200_000
 
 
 def _kgram_hashes(text: str, k: int) -> np.ndarray:
@@ -184,7 +186,12 @@ def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_
     if cand is None:
         return spark.createDataFrame([], T.StructType([T.StructField("passage_id", pid_type),
                                                        T.StructField(doc_id, did_type)] + extra))
-    verified = (cand.join(p, "_pid")
-                .join(docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dtext"), *doc_cols), "_did")
+    # verification needs the document text: probe the documents where they live with the
+    # (few) candidate pairs broadcast behind a row-count check; a shuffle join beyond it
+    pairs = cand.join(p, "_pid")
+    n_pairs = pairs.limit(VERIFY_BROADCAST_ROWS + 1).count()
+    if n_pairs <= VERIFY_BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    verified = (docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dtext"), *doc_cols).join(pairs, "_did")
                 .where(F.instr(F.col("_dtext"), F.col("_ptext")) > 0))
     return verified.select(F.col("_pid").alias("passage_id"), F.col("_did").alias(doc_id), *doc_cols)
