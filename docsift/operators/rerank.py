@@ -8,10 +8,12 @@ applied Arrow-batched to the hydrated candidate pairs.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift import constants as C
+from docsift.functions.text import tokenize
 from docsift.operators.dense import sparse_dot
 from docsift.operators.lexical import LexicalIndex, _maybe_broadcast, query_terms, rank_top_k
 
@@ -36,16 +38,43 @@ def coverage_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame) -
             .select("query_id", "doc_id", (F.coalesce("hit", F.lit(0.0)) / F.col("total")).alias("score")))
 
 
+def _bigrams(tokens):
+    """Adjacent token pairs ``"a b"`` of a token array (empty below two tokens)."""
+    n = F.size(tokens)
+    pairs = F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(n < 2, F.array().cast("array<string>")).otherwise(pairs)
+
+
+def bigram_overlap(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """|bigrams(query) & bigrams(doc)| per (query_id, doc_id); only candidate docs are tokenised."""
+    qb = (queries.select("query_id", F.explode_outer(_bigrams(tokenize(F.col("text")))).alias("bg"))
+          .where(F.col("bg").isNotNull()).distinct())
+    docs = corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    db = (docs.select("doc_id", F.explode_outer(_bigrams(tokenize(F.col("text")))).alias("bg"))
+          .where(F.col("bg").isNotNull()).distinct())
+    return (pairs.join(qb, "query_id").join(db, ["doc_id", "bg"])
+            .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap")))
+
+
+def default_pair_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Default pair scorer: idf-weighted query-term coverage * (1 + ln(1 + bigram overlap))."""
+    cov = coverage_scores(pairs, index, queries)
+    ov = bigram_overlap(pairs, queries, corpus)
+    return (cov.join(ov, ["query_id", "doc_id"], "left")
+            .select("query_id", "doc_id",
+                    (F.col("score") * (F.lit(1.0) + F.log(F.lit(1.0) + F.coalesce("overlap", F.lit(0))))).alias("score")))
+
+
 def rerank_pairs(run: DataFrame, queries: DataFrame, corpus: DataFrame, index: LexicalIndex | None = None,
                  scorer=None, depth: int = C.RERANK_DEPTH, k: int = C.RERANK_DEPTH) -> DataFrame:
     """Re-score the first ``depth`` candidates of each query with a pair scorer and re-rank.
 
-    ``scorer``: None -> idf-weighted term coverage (needs ``index``); or a pandas UDF
-    taking (query_text, doc_text) columns and returning a double.
+    ``scorer``: None -> idf-weighted term coverage * (1 + ln(1 + bigram overlap)) (needs
+    ``index``); or a pandas UDF taking (query_text, doc_text) columns and returning a double.
     """
     pairs = run.where(F.col("rank") <= depth).select("query_id", "doc_id")
     if scorer is None:
-        scored = coverage_scores(pairs, index, queries)
+        scored = default_pair_scores(pairs, index, queries, corpus)
     else:
         hyd = (pairs.join(queries.select("query_id", F.col("text").alias("qt")), "query_id")
                .join(corpus.select("doc_id", F.col("text").alias("dt")), "doc_id"))
@@ -70,8 +99,6 @@ def text_overlap_scorer() -> Column:
     """Example pluggable pair scorer (pandas UDF): Jaccard overlap of lower-cased word sets."""
     import re
 
-    import pandas as pd
-
     word = re.compile(r"\w+")
 
     @F.pandas_udf("double")

@@ -201,20 +201,34 @@ def q_pca_pq_search(spark, sf_dir):
 
 # -- reranking (#55, #56) --------------------------------------------------------------
 
-RERANK_PAIRS_SQL = W(O.FX1, FX1_BM25, """
+def _bigram_sql(tok):
+    return f"list_transform(range(1, len({tok})), lambda i: {tok}[i] || ' ' || {tok}[i + 1])"
+
+
+RERANK_PAIRS_SQL = W(O.FX1, FX1_BM25, f"""
 rq AS (SELECT DISTINCT q.query_id, q.term, t.idf FROM bm_qt q JOIN bm_t t ON q.term = t.term),
 rtot AS (SELECT query_id, sum(idf) AS total FROM rq GROUP BY query_id),
 rp AS (SELECT query_id, doc_id FROM bm_run WHERE rank <= 100),
 rhit AS (SELECT p.query_id, p.doc_id, sum(q.idf) AS hit FROM rp p JOIN rq q ON p.query_id = q.query_id
          JOIN bm_p x ON x.term = q.term AND x.doc_id = p.doc_id GROUP BY p.query_id, p.doc_id),
-rs AS (SELECT p.query_id, p.doc_id, coalesce(h.hit, CAST(0 AS DOUBLE)) / t.total AS score
-       FROM rp p LEFT JOIN rhit h ON p.query_id = h.query_id AND p.doc_id = h.doc_id JOIN rtot t ON p.query_id = t.query_id)""",
+rqt AS (SELECT query_id, {O.tokenize('text')} AS t FROM fx1_queries),
+rqb AS (SELECT DISTINCT query_id, unnest({_bigram_sql('t')}) AS bg FROM rqt),
+rdt AS (SELECT doc_id, {O.tokenize('text')} AS t FROM fx1_corpus WHERE doc_id IN (SELECT doc_id FROM rp)),
+rdb AS (SELECT DISTINCT doc_id, unnest({_bigram_sql('t')}) AS bg FROM rdt),
+rov AS (SELECT p.query_id, p.doc_id, count(*) AS overlap FROM rp p JOIN rqb q ON p.query_id = q.query_id
+        JOIN rdb d ON d.doc_id = p.doc_id AND d.bg = q.bg GROUP BY p.query_id, p.doc_id),
+rs AS (SELECT p.query_id, p.doc_id,
+              coalesce(h.hit, CAST(0 AS DOUBLE)) / t.total * ({O.dbl(1.0)} + ln({O.dbl(1.0)} + coalesce(o.overlap, 0))) AS score
+       FROM rp p LEFT JOIN rhit h ON p.query_id = h.query_id AND p.doc_id = h.doc_id
+       LEFT JOIN rov o ON p.query_id = o.query_id AND p.doc_id = o.doc_id
+       JOIN rtot t ON p.query_id = t.query_id)""",
                      O.topk_cte("rr", "rs", C.RERANK_DEPTH)) + O.run_select("rr")
 
 
 @register("rerank_pairs", sql=RERANK_PAIRS_SQL)
 def q_rerank_pairs(spark, sf_dir):
-    """#55 BM25 top-100 re-scored by the default pair scorer (idf-weighted term coverage)."""
+    """#55 BM25 top-100 re-scored by the default pair scorer: idf-weighted term coverage
+    times (1 + ln(1 + bigram overlap))."""
     d = fx1(spark, sf_dir)
     return R.rerank_pairs(fx1_bm25_run(spark, sf_dir), d.queries, d.corpus, index=fx1_index(spark, sf_dir))
 
