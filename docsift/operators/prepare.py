@@ -75,6 +75,23 @@ def concat_languages(*dfs: DataFrame) -> DataFrame:
     return out
 
 
+def create_dataset(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, language: str | None = None,
+                   language_long=None, remove_stopwords: bool = False, use_subset: bool = False,
+                   subset_length: int = 100, subset_rule: str = "last"):
+    """#11 dataset factory: language slice -> optional length-aware subset -> optional
+    stopword removal (queries and corpus).  Returns (queries, qrels, corpus)."""
+    from docsift.functions.text import remove_stopwords as _rm
+
+    if language and language != "mixed":
+        queries, qrels, corpus = filter_data(queries, qrels, corpus, language)
+    if use_subset:
+        queries, qrels, corpus, _ = create_subset(subset_length, queries, qrels, corpus, rule=subset_rule)
+    if remove_stopwords and language_long:
+        queries = queries.withColumn("text", _rm("text", language_long))
+        corpus = corpus.withColumn("text", _rm("text", language_long))
+    return queries, qrels, corpus
+
+
 # -- filters and projections (#12-#18) ----------------------------------------
 
 def filter_language(df: DataFrame, language: str, column: str = "language") -> DataFrame:

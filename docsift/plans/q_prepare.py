@@ -129,14 +129,10 @@ def q_assemble_dataset(spark, sf_dir):
             .withColumnRenamed("count", "n"))
 
 
-def create_dataset(spark, sf_dir, language="de", language_long="german", remove_stopwords=True):
-    """#11 dataset factory: language slice -> optional stopword removal -> (queries, qrels, corpus)."""
+def create_dataset(spark, sf_dir, language="de", language_long="german", remove_stopwords=True, use_subset=False):
+    """#11 dataset factory on FX-2."""
     d = fx2(spark, sf_dir)
-    q, r, c = P.filter_data(d.queries, d.qrels, d.corpus, language)
-    if remove_stopwords:
-        q = q.withColumn("text", TX.remove_stopwords("text", language_long))
-        c = c.withColumn("text", TX.remove_stopwords("text", language_long))
-    return q, r, c
+    return P.create_dataset(d.queries, d.qrels, d.corpus, language, language_long, remove_stopwords, use_subset)
 
 
 @register("create_dataset", sql=W(O.FX2) + f"""

@@ -73,3 +73,16 @@ def test_merge_union_mode_and_unseeded_split(spark):
     q = spark.range(0, 500).withColumnRenamed("id", "query_id")
     s = P.split_queries(q, seed=None)
     assert s.count() == 500 and set(r["split"] for r in s.collect()) <= {"train", "test"}
+
+
+def test_create_dataset_composition(spark):
+    queries = spark.createDataFrame([(1, "The court and the judge", "en"), (2, "Der Richter und das Gericht", "de")],
+                                    "query_id long, text string, language string")
+    corpus = spark.createDataFrame([(10, "", "und das lange Urteil", "de"), (11, "", "kurz", "de"), (12, "", "x", "en")],
+                                   "doc_id long, title string, text string, language string")
+    qrels = _qrels(spark, [(2, 10, "de"), (2, 11, "de"), (1, 12, "en")])
+    q, r, c = P.create_dataset(queries, qrels, corpus, "de", "german", remove_stopwords=True, use_subset=True,
+                               subset_length=5, subset_rule="any")
+    assert rows(q, "query_id", "text") == [(2, "Richter Gericht")]
+    assert rows(c, "doc_id", "text") == [(10, "lange Urteil")]
+    assert rows(r, "query_id", "doc_id") == [(2, 10), (2, 11)]
