@@ -345,16 +345,24 @@ def lsh_buckets(df: DataFrame, n_tables: int, n_bits: int, dim: int, seed: int =
             .where(F.col("bucket").isNotNull()))
 
 
-def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int = 4, n_bits: int = 4,
+def lsh_bits_for(n_rows: int, bucket_target: int = 1000) -> int:
+    """Bits per table so an average bucket holds about ``bucket_target`` corpus vectors."""
+    return max(1, min(24, math.ceil(math.log2(max(n_rows, 2) / bucket_target))))
+
+
+def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int = 4, n_bits: int | None = 4,
                exclude_self: bool = False, chunk_rows: int = BUCKET_CHUNK_ROWS) -> DataFrame:
     """Multi-table LSH: candidates share a bucket in some table; exact re-score; top-k.
 
+    ``n_bits=None`` sizes the hash from the corpus (~1000 vectors per bucket).
     Hot buckets are cut into a grid: ceil(corpus rows / chunk_rows) corpus chunks times
     ceil(query rows / chunk_rows) query chunks; each chunk pair meets in one cogroup
     task, so no task holds more than ``chunk_rows`` vectors per side and every block
     emits only rows that can reach a query's top-k.
     """
     dim = len(corpus.select("embedding").first()[0])
+    if n_bits is None:  # grow the hash with the corpus so buckets stay bounded
+        n_bits = lsh_bits_for(corpus.count())
     qb = lsh_buckets(queries, n_tables, n_bits, dim)
     cb = lsh_buckets(corpus, n_tables, n_bits, dim)
     keys = ["tbl", "bucket"]

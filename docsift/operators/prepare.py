@@ -18,13 +18,18 @@ from docsift import constants as C
 # -- builders (#3-#6) ---------------------------------------------------------
 
 def build_corpus(raw: DataFrame, id_col: str = "id", text_col: str = "text", order_col: str | None = None,
-                 language_col: str | None = None) -> DataFrame:
+                 language_col: str | None = None, assume_unique: bool = False) -> DataFrame:
     """corpus(doc_id string, title '', text, language): id cast to string, last row per id wins.
 
     ``order_col`` gives ingest order (e.g. ``_metadata.row_index``); the row with
-    the largest value wins, like repeated dict assignment.
+    the largest value wins, like repeated dict assignment.  Deduplication shuffles
+    the text by id; ``assume_unique=True`` (ids known to be unique) skips it and
+    is a pure projection.
     """
     lang = F.col(language_col) if language_col else F.lit(None).cast("string")
+    if assume_unique:
+        return raw.select(F.col(id_col).cast("string").alias("doc_id"), F.lit("").alias("title"),
+                          F.col(text_col).alias("text"), lang.alias("language"))
     rows = raw.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), lang.alias("language"),
                       (F.col(order_col) if order_col else F.lit(0)).alias("_ord"))
     last = (rows.groupBy("doc_id")
