@@ -35,10 +35,6 @@ BLOCK_ROWS = 20_000
 #: corpus rows per LSH bucket chunk
 BUCKET_CHUNK_ROWS = 20_000
 
-HIT_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
-                           T.StructField("score", T.DoubleType())])
-
-
 def _hit_schema(qtype, dtype):
     return T.StructType([T.StructField("query_id", qtype), T.StructField("doc_id", dtype),
                          T.StructField("score", T.DoubleType())])

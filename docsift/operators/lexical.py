@@ -30,8 +30,6 @@ Physical design (exact top-k, no all-pairs blow-up on frequent terms):
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window

@@ -17,7 +17,6 @@ from docsift.operators import evaluate as E
 from docsift.operators import lexical as L
 from docsift.plans import oracle as O
 from docsift.sources import fixtures as FX
-from docsift.sources.tables import load_table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
