@@ -14,7 +14,8 @@ a real substring test.  Shorter passages use smaller (k, w) levels down to
 
 Two physical forms:
 * passages with a checked size bound are broadcast and matched inside each
-  document partition (no shuffle of documents at all);
+  document partition (no shuffle of documents at all); there every k-gram hash
+  of the document is tested against the passage anchors, so no winnowing is needed;
 * otherwise fingerprints are equi-joined on the hash (shuffle on the hash, AQE
   splits hot hashes) and the candidates are verified by joins on the ids.
 """
@@ -132,29 +133,31 @@ def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_
         mode = "broadcast" if (stats["chars"] or 0) <= BROADCAST_MAX_CHARS else "shuffle"
 
     if mode == "broadcast":
+        # with every passage anchor at hand, no winnowing is needed: a passage occurring in
+        # the document contributes its minimum k-gram hash to the document's k-gram hashes,
+        # so one vectorised membership test per document and k finds every candidate
         rows = [(r["_pid"], r["_ptext"]) for r in p.toLocalIterator()]  # bounded: <= BROADCAST_MAX_CHARS checked above
-        by_level: dict[int, dict[int, list]] = {}
+        by_k: dict[int, dict[int, list]] = {}
         for pid, ptext in rows:
-            lv = level_of(len(ptext))
-            k = LEVELS[lv][0]
-            by_level.setdefault(lv, {}).setdefault(anchor(ptext, k), []).append((pid, ptext))
-        bc = spark.sparkContext.broadcast(by_level)
+            k = min(LEVELS[0][0], len(ptext))
+            by_k.setdefault(k, {}).setdefault(anchor(ptext, k), []).append((pid, ptext))
+        index = {k: (np.array(sorted(t.keys()), dtype=np.int64), t) for k, t in by_k.items()}
+        bc = spark.sparkContext.broadcast(index)
         out_schema = T.StructType([T.StructField("passage_id", pid_type), T.StructField(doc_id, did_type)] + extra)
         keep = [doc_id, doc_text, *doc_cols]
 
         def match(batches):
-            index = bc.value
+            idx = bc.value
             for pdf in batches:
                 out_p, out_rows = [], []
                 for row in pdf.itertuples(index=False):
                     text = row[1]
                     if not text:
                         continue
-                    for lv, table in index.items():
-                        k, w = LEVELS[lv]
-                        hits = set(winnow(text, k, w).tolist()) & table.keys()
-                        for h in hits:
-                            for pid, ptext in table[h]:
+                    for k, (keys, table) in idx.items():
+                        h = _kgram_hashes(text, k).view(np.int64)
+                        for hv in np.unique(h[np.isin(h, keys)]).tolist():
+                            for pid, ptext in table[hv]:
                                 if ptext in text:
                                     out_p.append(pid)
                                     out_rows.append((row[0],) + tuple(row[2:]))

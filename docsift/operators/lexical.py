@@ -188,9 +188,16 @@ def rank_top_k(scored: DataFrame, top_k: int, query_id: str = "query_id", doc_id
             .where(F.col("rank") <= top_k))
 
 
-def _exhaustive(qt: DataFrame, index: LexicalIndex, broadcast_rows: int, salt_rows: int) -> DataFrame:
-    """Full term join for the given query terms; hot terms are salted when not broadcast."""
-    qt_small, is_bc = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
+def _exhaustive(qt: DataFrame, index: LexicalIndex, broadcast_rows: int, salt_rows: int,
+                small: bool | None = None) -> DataFrame:
+    """Full term join for the given query terms; hot terms are salted when not broadcast.
+
+    ``small`` passes an already known size verdict (skips the row-count check).
+    """
+    if small is None:
+        qt_small, is_bc = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
+    else:
+        qt_small, is_bc = (F.broadcast(qt.select("query_id", "term", "w")) if small else qt), small
     post = index.postings.select("term", "doc_id", "impact")
     if is_bc:
         joined = post.join(qt_small, "term")
@@ -220,11 +227,13 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
     """
     qt = query_terms(queries, index, query_id, text).persist(storage)
     self_filter = (F.col("query_id") != F.col("doc_id")) if exclude_self else F.lit(True)
+    # one small aggregate answers both planning questions: join volume and broadcast size
+    stats = qt.agg(F.sum("df").alias("volume"), F.count(F.lit(1)).alias("rows")).first()
     if strategy == "auto":
-        volume = qt.agg(F.sum("df")).first()[0] or 0
-        strategy = "exhaustive" if volume <= exhaustive_budget else "pruned"
+        strategy = "exhaustive" if (stats["volume"] or 0) <= exhaustive_budget else "pruned"
     if strategy == "exhaustive":
-        out = rank_top_k(_exhaustive(qt, index, broadcast_rows, index.hot_df).where(self_filter), top_k)
+        known = (stats["rows"] or 0) <= broadcast_rows
+        out = rank_top_k(_exhaustive(qt, index, broadcast_rows, index.hot_df, known).where(self_filter), top_k)
         return out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
     qt = qt.join(index.tau, ["term", "hot"]).persist(storage)

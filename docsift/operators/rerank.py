@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.functions.text import tokenize
+from docsift.session import spread
 from docsift.operators.dense import sparse_dot
 from docsift.operators.lexical import LexicalIndex, _maybe_broadcast, query_terms, rank_top_k
 
@@ -38,22 +39,31 @@ def coverage_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame) -
             .select("query_id", "doc_id", (F.coalesce("hit", F.lit(0.0)) / F.col("total")).alias("score")))
 
 
-def _bigrams(tokens):
-    """Adjacent token pairs ``"a b"`` of a token array (empty below two tokens)."""
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(pairs)
+#: at every token boundary of " t1 t2 t3 ... " the lookahead captures the next two tokens,
+#: so one regex pass yields every adjacent token pair (tokens never contain spaces)
+_BIGRAM_REGEX = r"(?= ([^ ]+ [^ ]+) )"
 
 
-def bigram_overlap(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """|bigrams(query) & bigrams(doc)| per (query_id, doc_id); only candidate docs are tokenised."""
-    qb = (queries.select("query_id", F.explode_outer(_bigrams(tokenize(F.col("text")))).alias("bg"))
-          .where(F.col("bg").isNotNull()).distinct())
-    docs = corpus.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    db = (docs.select("doc_id", F.explode_outer(_bigrams(tokenize(F.col("text")))).alias("bg"))
-          .where(F.col("bg").isNotNull()).distinct())
-    return (pairs.join(qb, "query_id").join(db, ["doc_id", "bg"])
-            .groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap")))
+def bigrams(text) -> Column:
+    """Distinct adjacent token pairs ``"a b"`` of the tokenised text (array<string>)."""
+    padded = F.concat(F.lit(" "), F.array_join(tokenize(text), " "), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(_BIGRAM_REGEX), 1))
+
+
+def bigram_overlap(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """|distinct bigrams(query) & bigrams(doc)| per (query_id, doc_id).
+
+    Each candidate document is tokenised once (semi-join with the broadcast candidate
+    ids) and its bigram set extracted in one regex pass; each pair is then a hash-set
+    intersection (``array_intersect``), all JVM-side.
+    """
+    qb = queries.select("query_id", bigrams(F.col("text")).alias("qbg"))
+    cand, _ = _maybe_broadcast(pairs.select("query_id", "doc_id").join(qb, "query_id"), broadcast_rows)
+    ids, _ = _maybe_broadcast(pairs.select("doc_id").distinct(), broadcast_rows)
+    docs = (spread(corpus.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+            .select("doc_id", bigrams(F.col("text")).alias("dbg")))
+    return (docs.join(cand, "doc_id")
+            .select("query_id", "doc_id", F.size(F.array_intersect("dbg", "qbg")).alias("overlap")))
 
 
 def default_pair_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame, corpus: DataFrame) -> DataFrame:

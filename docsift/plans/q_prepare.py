@@ -9,7 +9,7 @@ from docsift.functions import text as TX
 from docsift.operators import prepare as P
 from docsift.plans import oracle as O
 from docsift.plans.catalog import fx1, fx1_bm25_run, fx2, register, FX1_BM25
-from docsift.session import scratch_path
+from docsift.session import scratch_path, spread
 from docsift.sources import tables as S
 
 W = O.with_
@@ -362,23 +362,28 @@ def q_run_topk(spark, sf_dir):
 
 # -- text functions (#34-#39) ------------------------------------------------------
 
+def _docs(spark, sf_dir):
+    """Document scan spread over the cores before per-row regex work (no-op for split inputs)."""
+    return spread(S.load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("normalize_text", sql=f"SELECT doc_id, {O.normalize('text')} AS normalized FROM documents")
 def q_normalize_text(spark, sf_dir):
     """#34 Unicode-aware non-word normalisation."""
-    return S.load_table(spark, sf_dir, "documents").select("doc_id", TX.normalize_text("text").alias("normalized"))
+    return _docs(spark, sf_dir).select("doc_id", TX.normalize_text("text").alias("normalized"))
 
 
 @register("tokenize", sql=f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {O.tokenize('text')} AS t FROM documents)")
 def q_tokenize(spark, sf_dir):
     """#35 lower-case + split into tokens (count and the space-joined token stream)."""
-    t = S.load_table(spark, sf_dir, "documents").select("doc_id", TX.tokenize("text").alias("t"))
+    t = _docs(spark, sf_dir).select("doc_id", TX.tokenize("text").alias("t"))
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @register("remove_stopwords", sql=f"SELECT doc_id, {O.remove_stopwords('text', 'german')} AS text FROM documents")
 def q_remove_stopwords(spark, sf_dir):
     """#36 German stopword removal, case preserved."""
-    return S.load_table(spark, sf_dir, "documents").select("doc_id", TX.remove_stopwords("text", "german").alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", TX.remove_stopwords("text", "german").alias("text"))
 
 
 MULTI = ("german", "french", "italian")
@@ -387,13 +392,13 @@ MULTI = ("german", "french", "italian")
 @register("remove_stopwords_multi", sql=f"SELECT doc_id, {O.remove_stopwords('text', MULTI)} AS text FROM documents")
 def q_remove_stopwords_multi(spark, sf_dir):
     """#37 cumulative German+French+Italian stopword removal."""
-    return S.load_table(spark, sf_dir, "documents").select("doc_id", TX.remove_stopwords("text", MULTI).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", TX.remove_stopwords("text", MULTI).alias("text"))
 
 
 @register("shorten_and_reduce", sql=f"SELECT doc_id, substring({O.remove_stopwords('text', 'german')}, 1, 500) AS text FROM documents")
 def q_shorten_and_reduce(spark, sf_dir):
     """#38 stopword removal then truncation to 500 characters."""
-    return S.load_table(spark, sf_dir, "documents").select(
+    return _docs(spark, sf_dir).select(
         "doc_id", TX.shorten(TX.remove_stopwords("text", "german"), 500).alias("text"))
 
 
@@ -406,7 +411,7 @@ def _analyzer_case_sql():
 @register("analyze_language", sql=f"SELECT doc_id, {_analyzer_case_sql()} AS terms FROM documents")
 def q_analyze_language(spark, sf_dir):
     """#39 per-document language analyzer (lower, stopwords, light stemming)."""
-    docs = S.load_table(spark, sf_dir, "documents")
+    docs = spread(S.load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     expr = None
     for code, name in C.LANGUAGE_ANALYZER.items():
         branch = F.array_join(TX.analyze("text", name), " ")
