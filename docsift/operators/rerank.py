@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift import constants as C
-from docsift.functions.text import tokenize
+from docsift.functions.text import normalize_text, tokenize
 from docsift.session import spread
 from docsift.operators.dense import sparse_dot
 from docsift.operators.lexical import LexicalIndex, _maybe_broadcast, query_terms, rank_top_k
@@ -45,8 +45,12 @@ _BIGRAM_REGEX = r"(?= ([^ ]+ [^ ]+) )"
 
 
 def bigrams(text) -> Column:
-    """Distinct adjacent token pairs ``"a b"`` of the tokenised text (array<string>)."""
-    padded = F.concat(F.lit(" "), F.array_join(tokenize(text), " "), F.lit(" "))
+    """Distinct adjacent token pairs ``"a b"`` of the tokenised text (array<string>).
+
+    The normalised lower-cased text already is the token stream with single spaces
+    (what ``tokenize`` splits), so it is padded and scanned directly.
+    """
+    padded = F.concat(F.lit(" "), F.trim(normalize_text(F.lower(text))), F.lit(" "))
     return F.array_distinct(F.regexp_extract_all(padded, F.lit(_BIGRAM_REGEX), 1))
 
 
