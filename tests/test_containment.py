@@ -40,3 +40,21 @@ def test_winnow_guarantee():
     k, w = LEVELS[0]
     passage = text[200:200 + k + w + 5]
     assert anchor(passage, k) in set(winnow(text, k, w).tolist())
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_alpha = st.text(alphabet="ab é", min_size=0, max_size=120)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.too_slow, HealthCheck.function_scoped_fixture])
+@given(docs=st.lists(_alpha, min_size=1, max_size=6), passages=st.lists(st.text(alphabet="ab é", min_size=1, max_size=70),
+                                                                      min_size=1, max_size=6))
+def test_contains_join_property(spark, docs, passages):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    expected = sorted((i, j) for i, pt in enumerate(passages) for j, dt in enumerate(docs) if pt in dt)
+    for force in ("broadcast", "shuffle"):
+        got = sorted((r["passage_id"], r["doc_id"]) for r in contains_join(p, d, force=force).collect())
+        assert got == expected, force
