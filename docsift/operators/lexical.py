@@ -238,9 +238,10 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
 
     qt = qt.join(index.tau, ["term", "hot"]).persist(storage)
     finished = []
+    temps = [qt]
     active = qt
     for level in range(TAU_LEVELS):
-        safe_top, unsafe_ids = _pruned_round(index, active, level, top_k, self_filter, broadcast_rows, storage)
+        safe_top, unsafe_ids = _pruned_round(index, active, level, top_k, self_filter, broadcast_rows, storage, temps)
         finished.append(safe_top)
         if unsafe_ids.isEmpty():
             active = None
@@ -252,11 +253,15 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
     if active is not None:
         # queries whose top-k could not be proven at any depth: exhaustive (still exact)
         out = out.unionByName(rank_top_k(_exhaustive(active, index, broadcast_rows, index.hot_df).where(self_filter), top_k))
-    return out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    # the run is small (k rows per query): checkpoint it reliably, then release the round caches
+    out = cut_lineage(out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank")))
+    for df in temps:
+        df.unpersist()
+    return out
 
 
 def _pruned_round(index: LexicalIndex, qt: DataFrame, level: int, top_k: int, self_filter, broadcast_rows: int,
-                  storage: StorageLevel):
+                  storage: StorageLevel, temps: list):
     """One depth of the pruned search; returns (proven top-k rows, ids of unproven queries)."""
     tau = F.col(f"tau{level}")
     qt_s, _ = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
@@ -269,6 +274,7 @@ def _pruned_round(index: LexicalIndex, qt: DataFrame, level: int, top_k: int, se
                  F.sum(F.when(~F.col("hot"), F.col("w") * F.col("impact")).otherwise(F.lit(0.0))).alias("cold"))
             .where(self_filter)
             .persist(storage))
+    temps.append(cand)
     # 2. lookup pruning: the true score lies in [partial, partial + ub]; the k-th best partial
     #    is a lower bound of the k-th best true score, so candidates whose upper bound stays
     #    below it cannot enter the top-k and skip the hot-term lookups (the 2e-6 margin keeps
@@ -287,6 +293,7 @@ def _pruned_round(index: LexicalIndex, qt: DataFrame, level: int, top_k: int, se
     scored = (alive.join(hot, ["query_id", "doc_id"], "left")
               .select("query_id", "doc_id", (F.col("cold") + F.coalesce("hot", F.lit(0.0))).alias("score")))
     top = rank_top_k(scored, top_k).persist(storage)
+    temps.append(top)
     # 4. proof: a document outside the candidates scores below ub, so the query is exact
     #    when ub (rounded up) is below its k-th score
     kth = top.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("theta"))
