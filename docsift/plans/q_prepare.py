@@ -141,6 +141,7 @@ FROM fx2_queries WHERE language = 'de'
 UNION ALL SELECT 'qrels', query_id, doc_id, NULL FROM fx2_qrels WHERE language = 'de'
 UNION ALL SELECT 'corpus', doc_id, NULL, {O.remove_stopwords('text', 'german')} FROM fx2_corpus WHERE language = 'de'""")
 def q_create_dataset(spark, sf_dir):
+    """#11 dataset factory: 'de' slice of FX-2 with German stopwords removed (queries, qrels, corpus)."""
     q, r, c = create_dataset(spark, sf_dir)
     return (q.select(F.lit("queries").alias("part"), F.col("query_id").alias("id"), F.lit(None).cast("bigint").alias("other_id"), "text")
             .unionByName(r.select(F.lit("qrels").alias("part"), F.col("query_id").alias("id"), F.col("doc_id").alias("other_id"),
