@@ -37,8 +37,20 @@ def _idcg(k_col, nrel_col):
                        lambda acc, i: acc + F.lit(1.0) / F.log2(i + F.lit(1)))
 
 
-def per_query_metrics(run: DataFrame, qrels: DataFrame, k_values=C.K_VALUES) -> DataFrame:
-    """(query_id, k, n_rel, ndcg, map, recall, precision, mrr, recall_cap, hole) per evaluated query."""
+def drop_self_hits(run: DataFrame) -> DataFrame:
+    """Remove doc_id = query_id rows and close the rank gaps (a window over <= k rows per query)."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return (run.where(F.col("doc_id") != F.col("query_id"))
+            .withColumn("rank", F.row_number().over(w)))
+
+
+def per_query_metrics(run: DataFrame, qrels: DataFrame, k_values=C.K_VALUES, exclude_self: bool = False) -> DataFrame:
+    """(query_id, k, n_rel, ndcg, map, recall, precision, mrr, recall_cap, hole) per evaluated query.
+
+    ``exclude_self`` drops a query's own id from its run first (document-to-document runs).
+    """
+    if exclude_self:
+        run = drop_self_hits(run)
     kmax = max(k_values)
     rel = (qrels.where(F.col("relevance") > 0).select("query_id", "doc_id").distinct()
            .withColumn("is_rel", F.lit(1)))
@@ -81,9 +93,10 @@ def _judged_fill(pq: DataFrame, qrels: DataFrame, k_values) -> DataFrame:
     return pq.unionByName(zeros)
 
 
-def evaluate_run(run: DataFrame, qrels: DataFrame, k_values=C.K_VALUES, denominator: str = "retrieved") -> DataFrame:
+def evaluate_run(run: DataFrame, qrels: DataFrame, k_values=C.K_VALUES, denominator: str = "retrieved",
+                 exclude_self: bool = False) -> DataFrame:
     """One row per k: (k, n_queries, ndcg, map, recall, precision, mrr, recall_cap, hole)."""
-    pq = per_query_metrics(run, qrels, k_values)
+    pq = per_query_metrics(run, qrels, k_values, exclude_self)
     if denominator == "judged":
         pq = _judged_fill(pq, qrels, k_values)
     return (pq.groupBy("k")

@@ -102,3 +102,12 @@ def test_golden_values_sf001(spark):
     assert (rep[3]["ndcg"], rep[3]["map"], rep[3]["precision"], rep[3]["hole"]) == (0.98066, 0.975, 0.41667, 0.58333)
     assert (rep[10]["ndcg"], rep[10]["map"], rep[10]["recall"]) == (0.99088, 0.98214, 1.0)
     assert rep[100]["hole"] == 0.963
+
+
+def test_exclude_self_reranks(spark):
+    # doc 1 is the query itself at rank 1; without it doc 10 (relevant) moves to rank 1
+    run = _run(spark, [(1, 1, 9.0, 1), (1, 10, 5.0, 2), (1, 11, 1.0, 3)])
+    qrels = _qrels(spark, [(1, 10, 1)])
+    kept = _report(E.evaluate_run(run, qrels, (1,)))[1]
+    dropped = _report(E.evaluate_run(run, qrels, (1,), exclude_self=True))[1]
+    assert kept["precision"] == 0.0 and dropped["precision"] == 1.0 and dropped["mrr"] == 1.0
