@@ -93,9 +93,26 @@ def _judged_fill(pq: DataFrame, qrels: DataFrame, k_values) -> DataFrame:
     return pq.unionByName(zeros)
 
 
+def check_overlap(run: DataFrame, qrels: DataFrame) -> int:
+    """Number of queries present in both the run and the qrels; warns when it is 0
+    (e.g. test queries evaluated against train-only judgments)."""
+    import warnings
+
+    n = (run.select("query_id").distinct()
+         .join(qrels.where(F.col("relevance") > 0).select("query_id").distinct(), "query_id").count())
+    if n == 0:
+        warnings.warn("run and qrels share no query: every metric would be empty", RuntimeWarning, stacklevel=2)
+    return n
+
+
 def evaluate_run(run: DataFrame, qrels: DataFrame, k_values=C.K_VALUES, denominator: str = "retrieved",
-                 exclude_self: bool = False) -> DataFrame:
-    """One row per k: (k, n_queries, ndcg, map, recall, precision, mrr, recall_cap, hole)."""
+                 exclude_self: bool = False, warn_empty: bool = False) -> DataFrame:
+    """One row per k: (k, n_queries, ndcg, map, recall, precision, mrr, recall_cap, hole).
+
+    ``warn_empty`` runs :func:`check_overlap` first (one small action).
+    """
+    if warn_empty:
+        check_overlap(run, qrels)
     pq = per_query_metrics(run, qrels, k_values, exclude_self)
     if denominator == "judged":
         pq = _judged_fill(pq, qrels, k_values)

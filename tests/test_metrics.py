@@ -111,3 +111,12 @@ def test_exclude_self_reranks(spark):
     kept = _report(E.evaluate_run(run, qrels, (1,)))[1]
     dropped = _report(E.evaluate_run(run, qrels, (1,), exclude_self=True))[1]
     assert kept["precision"] == 0.0 and dropped["precision"] == 1.0 and dropped["mrr"] == 1.0
+
+
+def test_warn_on_empty_overlap(spark):
+    import pytest as _pt
+
+    run = _run(spark, [(1, 10, 1.0, 1)])
+    qrels = _qrels(spark, [(2, 10, 1)])
+    with _pt.warns(RuntimeWarning):
+        assert E.evaluate_run(run, qrels, (1,), warn_empty=True).count() == 0
