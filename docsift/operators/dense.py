@@ -109,10 +109,17 @@ def encode_two_tower(queries: DataFrame, corpus: DataFrame, dim: int = 256, quer
 
 
 def to_dense(sparse: DataFrame, dim: int) -> DataFrame:
-    """(id, dim, w) -> (id, embedding array<double>[dim])."""
-    return (sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("m"))
-            .select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                      lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding")))
+    """(id, dim, w) -> (id, embedding array<double>[dim]); one row per id (at most ``dim`` entries)."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def densify(dims: pd.Series, ws: pd.Series) -> pd.Series:
+        out = []
+        for d, w in zip(dims, ws):
+            v = np.zeros(dim)
+            v[np.asarray(d, dtype=np.int64)] = np.asarray(w, dtype=np.float64)
+            out.append(v)
+        return pd.Series(out)
+    g = sparse.groupBy("id").agg(F.collect_list("dim").alias("d"), F.collect_list("w").alias("w"))
+    return g.select("id", densify("d", "w").alias("embedding"))
 
 
 def sparse_dot(pairs: DataFrame, qvec: DataFrame, dvec: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:

@@ -97,10 +97,21 @@ def rerank_pairs(run: DataFrame, queries: DataFrame, corpus: DataFrame, index: L
 
 
 def rerank_dense(run: DataFrame, qvec: DataFrame, dvec: DataFrame, depth: int = C.RERANK_DEPTH,
-                 k: int = C.RERANK_DEPTH) -> DataFrame:
+                 k: int = C.RERANK_DEPTH, candidate_scope: str = "per_query", dim: int | None = None) -> DataFrame:
     """Re-score the first ``depth`` candidates by the cosine of L2-normalised sparse vectors
-    ``(id, dim, w)`` (per-query candidate scope) and re-rank."""
+    ``(id, dim, w)`` and re-rank.
+
+    ``candidate_scope='per_query'``: each query scores its own candidates.
+    ``'pooled'``: each query scores the union of all queries' candidates (needs ``dim``);
+    it runs through the exact block top-k kernel, so only top-k rows are ever emitted.
+    """
     pairs = run.where(F.col("rank") <= depth).select("query_id", "doc_id")
+    if candidate_scope == "pooled":
+        from docsift.operators.dense import dense_search, to_dense
+
+        pool = pairs.select(F.col("doc_id").alias("id")).distinct()
+        queries = to_dense(qvec.join(run.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi"), dim)
+        return dense_search(queries, to_dense(dvec.join(pool, "id", "left_semi"), dim), k, "dot")
     # only candidate documents need vectors: at depth 100 that is a sliver of the corpus
     cand_ids = pairs.select(F.col("doc_id").alias("id")).distinct()
     scored = sparse_dot(pairs, qvec, dvec.join(cand_ids, "id", "left_semi"))

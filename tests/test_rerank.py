@@ -36,3 +36,21 @@ def test_rerank_depth_cuts_candidates(spark):
     idx = L.bm25_index(corpus)
     out = R.rerank_pairs(run, queries, corpus, index=idx, depth=2)
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
+def test_pooled_dense_rerank_brute_force(spark):
+    from docsift.operators import dense as D
+
+    corpus, queries, _ = _setup(spark)
+    # two queries with disjoint candidate lists: pooled lets each see the other's candidates
+    run = spark.createDataFrame([(10, 1, 1.0, 1), (11, 4, 1.0, 1)], "query_id long, doc_id long, score double, rank int")
+    queries = spark.createDataFrame([(10, "alpha beta", "en"), (11, "epsilon alpha", "en")], "query_id long, text string, language string")
+    qv, dv = D.encode_two_tower(queries, corpus, 16)
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in
+           R.rerank_dense(run, qv, dv, depth=1, k=2, candidate_scope="pooled", dim=16).collect()}
+    q = {(r["id"], r["dim"]): r["w"] for r in qv.collect()}
+    d = {(r["id"], r["dim"]): r["w"] for r in dv.collect()}
+    for qid in (10, 11):
+        exp = sorted(((round(sum(w * d.get((doc, dm), 0.0) for (i, dm), w in q.items() if i == qid), 6), doc)
+                      for doc in (1, 4)), key=lambda t: (-t[0], t[1]))
+        assert [got[(qid, doc)] for _, doc in exp] == [s for s, _ in exp]
