@@ -7,9 +7,7 @@ DataFrame code uses, without a SparkSession.
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+from importlib import resources
 
 # ---------------------------------------------------------------------------
 # Fixed values (must not change between runs; the oracle SQL repeats them)
@@ -72,30 +70,15 @@ LIGHT_SUFFIXES = {
 
 
 # ---------------------------------------------------------------------------
-# Stopwords: the lists shipped inside the Spark ML jar (StopWordsRemover's
-# defaults).  Read as a resource so no JVM is needed to get them.
+# Stopwords: Spark's StopWordsRemover defaults, kept as package text so that
+# neither a JVM nor the Spark ML jar is needed to build the SQL texts.
 # ---------------------------------------------------------------------------
 
-def _mllib_jar() -> str:
-    import pyspark
-
-    hits = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not hits:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    return hits[0]
-
-
 @functools.lru_cache(maxsize=None)
 def stopwords(language_long: str) -> tuple[str, ...]:
-    """Default stopword list for ``language_long`` (e.g. 'german'), in file order."""
-    name = f"org/apache/spark/ml/feature/stopwords/{language_long}.txt"
-    with zipfile.ZipFile(_mllib_jar()) as z:
-        words = z.read(name).decode("utf-8").split()
-    seen = []
-    for w in words:
-        if w not in seen:
-            seen.append(w)
-    return tuple(seen)
+    """Default stopword list for ``language_long`` (e.g. 'german'), in file order, without repeats."""
+    text = resources.files("docsift.resources").joinpath(f"{language_long}.txt").read_text(encoding="utf-8")
+    return tuple(dict.fromkeys(text.split()))
 
 
 def stopwords_union(languages) -> tuple[str, ...]:

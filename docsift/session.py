@@ -57,7 +57,7 @@ def ship_package(spark: SparkSession) -> None:
             if "__pycache__" in root:
                 continue
             for f in files:
-                if f.endswith(".py"):
+                if f.endswith((".py", ".txt")):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
@@ -68,14 +68,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment (a shared, fault-tolerant file
-    system).  Only when it is unset (local runs, tests) do we pick a scratch
-    folder ourselves.
+    system); a cluster session without one is refused.  Only a local session
+    (tests, single machine) gets a scratch folder of its own.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="docsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="docsift-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
