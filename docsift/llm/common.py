@@ -30,16 +30,18 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def spaced_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased; null and blank give no words.
 
-    Only ASCII letters change case.  Splitting at whitespace runs leaves an empty string at the
-    front or back of the array, which the trim removes.
+    Only ASCII letters change case.  Splitting at whitespace runs leaves empty strings at both
+    ends of the array unless the text is trimmed first.
     """
-    t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    t = F.regexp_replace(t, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    t = F.btrim(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, rf"[{SPACE}]+"))
 
 
 def shingles(words: Column, n: int = 5) -> Column:
-    """Distinct 64-bit hashes of the ``n``-word shingles; fewer words make one shingle, none make none."""
+    """Distinct 64-bit hashes of the ``n``-word shingles; fewer words make one shingle, none make none.
+
+    ``words`` must be a column of its own (not an expression), since the lambda reads it for every shingle.
+    """
     hashed = F.transform(F.sequence(F.lit(0), F.size(words) - n),
                          lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)]))
     return (F.when(F.size(words) >= n, F.array_distinct(hashed))

@@ -46,3 +46,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 3, 1, 2 over 150 % of all words, at most twice each."""
     from docsift.llm.mixing import mix_sources
     return mix_sources(X.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register(S.OP4)
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in the lines and whole texts of all documents."""
+    from docsift.llm.licenses import license_scan
+    return license_scan(X.documents(spark, sf_dir))
+
+
+@register(S.OP6)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items contained in documents by at least 0.75 of their five-word shingles."""
+    from docsift.llm.decontam import leaked_items
+    return leaked_items(X.documents(spark, sf_dir), X.documents(spark, sf_dir, "benchmark"))

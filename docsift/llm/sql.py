@@ -42,3 +42,40 @@ SELECT doc_id, size, source_size, target,
          / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) * size AS taken
 FROM r
 """
+
+
+def _license_sql() -> str:
+    from docsift.llm.licenses import THRESHOLD, template_bigrams
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, g))}])" for n, g in template_bigrams())
+    return f"""
+WITH t(license, grams) AS (VALUES {rows}),
+l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+u AS (SELECT row_number() OVER () AS unit, * FROM (
+        SELECT doc_id, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, text) ELSE lines END) AS line FROM l)),
+w AS (SELECT unit, doc_id, regexp_extract_all(lower(regexp_replace(line, '[^A-Za-z0-9]+', ' ', 'g')), '[a-z0-9]+') AS words FROM u),
+b AS (SELECT unit, doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS grams
+      FROM w WHERE len(words) > 1),
+s AS (SELECT unit, doc_id, license, 2.0::DOUBLE * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) AS dice
+      FROM b JOIN t ON len(b.grams) >= len(t.grams) * {THRESHOLD / (2 - THRESHOLD)} AND len(b.grams) <= len(t.grams) * {(2 - THRESHOLD) / THRESHOLD}),
+m AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY dice DESC, license) AS r FROM s WHERE dice >= {THRESHOLD})
+SELECT doc_id, license, count(*) AS n_units, max(dice) AS dice FROM m WHERE r = 1 GROUP BY doc_id, license
+"""
+
+
+OP4 = _license_sql()
+
+#: (doc_id or item_id, distinct five-word shingles as lists of words) of a table.
+def shingle_sql(table: str, key: str) -> str:
+    return f"""
+SELECT {key}, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^{SPACE}]+') AS w FROM {table})"""
+
+
+OP6 = f"""
+WITH d AS ({shingle_sql('documents', 'doc_id')}), i AS ({shingle_sql('benchmark', 'item_id')}),
+p AS (SELECT item_id, len(g) AS n, unnest(g) AS h FROM i), q AS (SELECT doc_id, unnest(g) AS h FROM d)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n)::BIGINT AS n_item, count(*)::DOUBLE / any_value(n) AS containment
+FROM p JOIN q USING (h) GROUP BY doc_id, item_id HAVING count(*) >= 0.75 * any_value(n)
+"""
