@@ -60,3 +60,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items contained in documents by at least 0.75 of their five-word shingles."""
     from docsift.llm.decontam import leaked_items
     return leaked_items(X.documents(spark, sf_dir), X.documents(spark, sf_dir, "benchmark"))
+
+
+@register(S.OP5)
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at Jaccard 0.75 over five-word shingles."""
+    from docsift.llm.lsh_forest import near_duplicates
+    return near_duplicates(X.documents(spark, sf_dir))

@@ -79,3 +79,13 @@ p AS (SELECT item_id, len(g) AS n, unnest(g) AS h FROM i), q AS (SELECT doc_id,
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n)::BIGINT AS n_item, count(*)::DOUBLE / any_value(n) AS containment
 FROM p JOIN q USING (h) GROUP BY doc_id, item_id HAVING count(*) >= 0.75 * any_value(n)
 """
+
+OP5 = f"""
+WITH RECURSIVE s AS ({shingle_sql('documents', 'doc_id')}),
+h AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON x.h = y.h AND x.doc_id <> y.doc_id
+      GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
