@@ -67,3 +67,20 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at Jaccard 0.75 over five-word shingles."""
     from docsift.llm.lsh_forest import near_duplicates
     return near_duplicates(X.documents(spark, sf_dir))
+
+
+@register()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing, learned from three of four documents."""
+    from docsift.llm.language import held_out, identify, train
+    docs = X.documents(spark, sf_dir)
+    return identify(docs, train(docs.where(~held_out(F.col("doc_id")))))
+
+
+@register()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by a public tokenizer, through the digest cache."""
+    import public_tokenizers
+    from docsift.llm.token_counts import Counter, token_counts
+    counts = token_counts(X.documents(spark, sf_dir), Counter(public_tokenizers.path("word_bpe_49k.json")))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
