@@ -84,3 +84,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docsift.llm.token_counts import Counter, token_counts
     counts = token_counts(X.documents(spark, sf_dir), Counter(public_tokenizers.path("word_bpe_49k.json")))
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@register()
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from weak labels."""
+    from docsift.llm.quality import score, train
+    docs = X.documents(spark, sf_dir)
+    return score(docs, train(docs)[1])
+
+
+@register()
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the conditional random field."""
+    from docsift.llm.html_text import extract_text
+    return extract_text(X.documents(spark, sf_dir, "pages"))
