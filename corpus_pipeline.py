@@ -1,3 +1,71 @@
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Corpus pipeline: quality, line dedup, near-dedup, decontamination, mixing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+``run`` writes each stage's rows as Parquet and reads them again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsift.llm import decontam, line_dedup, lsh_forest, mixing, quality
+from docsift.llm.common import documents, stored
+from docsift.session import ensure_checkpoint_dir, ship_package
+
+
+def _ready(spark: SparkSession) -> None:
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly trained classifier accepts."""
+    _ready(spark)
+    return quality.accepted(docs, quality.train(docs)[1])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines found in at least 10 of them; a document of such lines only stays, empty."""
+    _ready(spark)
+    return line_dedup.LineDedup(spark, min_docs=10).insert(docs).rewrite(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of the smallest doc_id."""
+    _ready(spark)
+    copies = stored(lsh_forest.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    _ready(spark)
+    return decontam.clean_documents(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: documents as often as their source's rate takes them, numbered by ``copy``."""
+    _ready(spark)
+    return mixing.emit_mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("source mixing", mixing_stage),
+]
+
+#: The classifier, the forest's order and the filters have no SQL; tests hold run() against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    _ready(spark)
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{i}")
+    return docs

@@ -225,7 +225,11 @@ class _Page:
         for _ in range(rng.randint(1, 10)):
             kind = rng.random()
             if kind < 0.72:
-                self.block("p", self.prose() if rng.random() < 0.85 else self.sentence(1, 5), 1, end=end)
+                text = self.prose() if rng.random() < 0.85 else self.sentence(1, 5)
+                if rng.random() < 0.1:  # odd prose: signs at words, or bars between them
+                    sign = rng.choice([" | ", "*** ", "%%% ", "!! "])
+                    text = sign.join(self.rng.choice(self.words) for _ in range(rng.randint(3, 30))) + sign.rstrip()
+                self.block("p", text, 1, end=end)
             elif kind < 0.8:
                 self.block(rng.choice(["h2", "h3"]), self.label(1, 6), 1)
             elif kind < 0.87:

@@ -235,18 +235,44 @@ class LineDedup:
         one empty line; keys shorter than ``min_chars`` code points always stay; an empty table gives no rows.
         Repeated rows count as separate documents.  Other columns are ignored.
         """
-        docs = docs.select("doc_id", "text")
+        return self._pass(docs.select("doc_id", "text"), _report, RESULT)
+
+    def rewrite(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with its columns and rows, repeated lines taken out of ``text``; ``n_chars``, if there, follows.
+
+        A null text stays null.
+        """
+        return self._pass(docs, _rewrite(docs.columns), docs.schema)
+
+    def _pass(self, docs: DataFrame, make, schema) -> DataFrame:
+        at, min_chars = docs.columns.index("text"), self.min_chars
         filters = self._shared()
         if filters is not None:
             shared = self.spark.sparkContext.broadcast(filters)
-            return docs.mapInArrow(_drop_task(self.min_chars, lambda keys, batch: shared.value.dropped(keys)), RESULT)
+
+            def run(batches):
+                for batch in batches:
+                    texts = [t.split(b"\n") for t in _texts(batch, at)]
+                    keys = [[line_key(x, min_chars) for x in lines] for lines in texts]
+                    distinct = list({k for own in keys for k in own} - {None})
+                    gone = shared.value.dropped(distinct) if distinct else ()
+                    yield make(batch, texts, keys, [{k for k, g in zip(distinct, gone) if g}] * len(texts))
+
+            return docs.mapInArrow(run, schema)
         # beyond the broadcast bound: each document's distinct keys join the counts, and meet its text again
-        docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-        keys = docs.select("row", "text").mapInArrow(_keys_task(self.min_chars), "row long, key binary").distinct()
+        docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+        keys = docs.select("_row", "text").mapInArrow(_keys_task(min_chars), "row long, key binary").distinct()
         gone = (keys.join(self.counts.where(F.col("n") >= self.min_docs).select("key"), "key")
-                .groupBy("row").agg(F.collect_set("key").alias("gone")))
-        return (docs.join(gone, "row", "left").select("doc_id", "text", "gone")
-                .mapInArrow(_drop_task(self.min_chars, None), RESULT))
+                .groupBy("row").agg(F.collect_set("key").alias("_gone")))
+
+        def joined(batches):
+            for batch in batches:
+                texts = [t.split(b"\n") for t in _texts(batch, at)]
+                keys = [[line_key(x, min_chars) for x in lines] for lines in texts]
+                gone = batch.column(batch.num_columns - 1).to_pylist()
+                yield make(batch.select(range(batch.num_columns - 1)), texts, keys, [set(x or ()) for x in gone])
+
+        return docs.join(gone, docs["_row"] == gone["row"], "left").drop("_row", "row").mapInArrow(joined, schema)
 
 
 def _shard_of(key, n_shards: int):
@@ -285,28 +311,31 @@ def _keys_task(min_chars: int):
     return run
 
 
-def _drop_task(min_chars: int, test):
-    """Rebuild texts; ``test(keys, batch)`` tells which keys go, or column 2 lists each row's."""
-    def run(batches):
-        for batch in batches:
-            texts = [t.split(b"\n") for t in _texts(batch, 1)]
-            keys = [[line_key(x, min_chars) for x in lines] for lines in texts]
-            if test:
-                distinct = list({k for own in keys for k in own} - {None})
-                gone = test(distinct, batch) if distinct else ()
-                dropped = {k for k, g in zip(distinct, gone) if g}
-                per_row = [dropped] * len(texts)
-            else:
-                per_row = [set(x or ()) for x in batch.column(2).to_pylist()]
-            kept = [b"\n".join(x for x, k in zip(lines, own) if k not in drop)
-                    for lines, own, drop in zip(texts, keys, per_row)]
-            n = [sum(k in drop for k in own) for own, drop in zip(keys, per_row)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(n, pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
-    return run
+def _kept(texts, keys, gone) -> list[bytes]:
+    return [b"\n".join(x for x, k in zip(lines, own) if k not in drop) for lines, own, drop in zip(texts, keys, gone)]
+
+
+def _report(batch, texts, keys, gone):
+    kept = _kept(texts, keys, gone)
+    return pa.RecordBatch.from_arrays([
+        batch.column(0), pa.array([len(x) for x in texts], pa.int64()),
+        pa.array([sum(k in drop for k in own) for own, drop in zip(keys, gone)], pa.int64()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
+        names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
+
+
+def _rewrite(columns: list[str]):
+    at, length = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def make(batch, texts, keys, gone):
+        null = batch.column(at).is_null().to_pylist()
+        kept = [None if n else x.decode() for n, x in zip(null, _kept(texts, keys, gone))]
+        out = [batch.column(i) for i in range(len(columns))]
+        out[at] = pa.array(kept, pa.string())
+        if length is not None:
+            out[length] = pa.array([None if x is None else len(x) for x in kept], out[length].type)
+        return pa.RecordBatch.from_arrays(out, names=columns)
+    return make
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, **options) -> DataFrame:

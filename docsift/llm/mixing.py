@@ -18,6 +18,8 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_RATE = 2.0
 SEED = "mix"
+#: Sources up to which the table of rates (about 60 bytes a row) is broadcast; beyond it, it is joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -72,26 +74,32 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_ra
     """
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = source_targets(sizes, weights, budget, max_rate)
-    s, t = sizes.alias("s"), targets.alias("t")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = (F.floor("rate") + (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return (s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")))
-            .select("doc_id", "s.source", "size", "source_size", "target", rate.alias("rate"))
-            .withColumn("copies", copies)
+    rates = _rates(targets)
+    return (sizes.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+            .withColumn("copies", _copies(seed))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
 
-def emit_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: every row of ``docs`` ``copies`` times, with a ``copy`` number from 1."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    sizes = stored(sized.select("source", F.col("_size").alias("size")), "mix-sizes")
-    targets = source_targets(sizes, *[options[k] for k in ("weights", "budget", "max_rate") if k in options])
-    rates = targets.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target")
-                           / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"))
+def _rates(targets: DataFrame) -> DataFrame:
+    """Targets with their repetition rate; broadcast up to BROADCAST_SOURCES rows, which are counted first."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = targets.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate"))
+    return F.broadcast(rates) if targets.count() <= BROADCAST_SOURCES else rates
+
+
+def _copies(seed: str) -> Column:
     whole = F.floor("_rate")
-    copies = whole + (draw(F.col("doc_id"), options.get("seed", SEED)) < F.col("_rate") - whole).cast("long")
+    return (whole + (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")).cast("long")
+
+
+def emit_mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE,
+             seed: str = SEED) -> DataFrame:
+    """The mixed documents themselves: every row of ``docs`` ``copies`` times, with a number ``copy`` from 1."""
+    sizes = stored(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source")
+                   .agg(F.sum("size").alias("size")), "mix-sizes")
+    rates = _rates(source_targets(sizes, weights, budget, max_rate)).select("_source", "_rate")
+    copies = F.sequence(F.lit(1).cast("long"), _copies(seed))
     return (docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("_copies", copies).where(F.col("_copies") > 0)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))))
-            .drop("_source", "_rate", "_copies"))
+            .withColumn("copy", F.explode(F.when(_copies(seed) > 0, copies).otherwise(F.array().cast("array<bigint>"))))
+            .drop("_source", "_rate"))

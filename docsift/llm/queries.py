@@ -99,3 +99,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page by the conditional random field."""
     from docsift.llm.html_text import extract_text
     return extract_text(X.documents(spark, sf_dir, "pages"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
