@@ -32,13 +32,17 @@ from docsift.llm.common import stored
 SHINGLE = 5
 PERCENT = 75
 TREES, WIDTH, DEPTH = 32, 4, 8
+#: Slots of the wide signature (8 bits each) that screens candidates, made for members of regions only.
+SLOTS = 768
 SCREEN_SIGMA = 5
+#: Rows of a packed block on either side when the members of a region are compared.
+OUTSIDE, MEMBERS = 256, 1024
 #: Word hashes remembered by a task.
 MEMO = 500_000
 
 _RNG = np.random.default_rng(20240601)
-_MULTIPLY = _RNG.integers(1, 2 ** 63, TREES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2 ** 63, TREES * WIDTH, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(1, 2 ** 63, TREES * WIDTH + SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2 ** 63, TREES * WIDTH + SLOTS, dtype=np.uint64)
 
 
 class Shingler:
@@ -65,13 +69,13 @@ class Shingler:
         return np.unique(out)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), TREES * WIDTH) 16-bit MinHash values of non-empty sets."""
+def signatures(sets: list[np.ndarray], functions=slice(0, TREES * WIDTH), kind="<u2") -> np.ndarray:
+    """(len(sets), functions) MinHash values of non-empty sets, the low bits of ``kind``."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((TREES * WIDTH, len(sets)), "<u2")
-    for i, (a, b) in enumerate(zip(_MULTIPLY, _ADD)):
-        out[i] = np.minimum.reduceat((flat * a + b) >> np.uint64(32), starts) & np.uint64(0xFFFF)
+    out = np.empty((len(_ADD[functions]), len(sets)), kind)
+    for i, (a, b) in enumerate(zip(_MULTIPLY[functions], _ADD[functions])):
+        out[i] = (np.minimum.reduceat((flat * a + b) >> np.uint64(32), starts) & np.uint64(0xFFFF)).astype(kind)
     return np.ascontiguousarray(out.T)
 
 
@@ -102,11 +106,13 @@ def _base(batches):
 
 
 def _sets(batches):
-    shingler = Shingler()
+    shingler, wide = Shingler(), slice(TREES * WIDTH, TREES * WIDTH + SLOTS)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([shingler(t).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary()),
-            batch.column(2)], names=["id", "hashes", "signature"])
+        sets = [shingler(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        rows = [r.tobytes() for part in _parts(sets) for r in signatures(part, wide, "u1")]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()),
+                                          pa.array(rows, pa.binary()), batch.column(2)],
+                                         names=["id", "hashes", "wide", "signature"])
 
 
 def _trees(batches):
@@ -205,6 +211,60 @@ def _forest(reps: DataFrame) -> DataFrame:
 
 # -- trials and components ----------------------------------------------------
 
+def _least_matches(percent: int) -> int:
+    """Equal wide signature values that a pair at the threshold falls below with negligible probability."""
+    share = percent / 100 + (1 - percent / 100) / 256
+    return int(SLOTS * share - SCREEN_SIGMA * (SLOTS * share * (1 - share)) ** 0.5)
+
+
+def _columns(rows, key, width, kind):
+    return np.frombuffer(b"".join(m[key] for m in rows), kind).reshape(len(rows), width)
+
+
+def _compare(least: int):
+    """Pairs of one block of each side with enough equal wide values and different components.
+
+    A pair is given out in the first tree only whose region holds both.
+    """
+    def run(batches):
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                x, y = row["outside"], row["members"]
+                wide = _columns(x, "wide", SLOTS, "u1"), _columns(y, "wide", SLOTS, "u1")
+                same = np.zeros((len(x), len(y)), np.int16)
+                for slot in range(SLOTS):
+                    same += wide[0][:, slot, None] == wide[1][None, :, slot]
+                apart = np.array([m["comp"] for m in x])[:, None] != np.array([m["comp"] for m in y])[None, :]
+                i, j = np.nonzero((same >= least) & apart)
+                signs = [_columns(side, "signature", TREES * WIDTH, "<u2") for side in (x, y)]
+                shared = (signs[0][i] == signs[1][j]).reshape(-1, TREES, WIDTH).all(axis=2)
+                for a, b in zip(*(k[shared.argmax(axis=1) == row["tree"]].tolist() for k in (i, j))):
+                    found.append((min(x[a]["id"], y[b]["id"]), max(x[a]["id"], y[b]["id"]), int(same[a, b])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(
+                (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "n"])
+    return run
+
+
+def _alike(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): pairs of a region in different components with enough wide signature values equal.
+
+    Both sides are packed into blocks of about ``OUTSIDE`` and ``MEMBERS`` rows, so that the join has a row for a
+    pair of blocks and a task holds one such pair.  Two members of a region are neighbours and have been tried.
+    """
+    sized = regions.join(regions.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 2"), ["tree", "prefix"])
+    sized = sized.join(sets.select("id", "signature", "wide"), "id")
+
+    def packed(rows, name, per_block):
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(per_block)).cast("long"))
+        return (rows.groupBy("tree", "prefix", block.alias(f"{name}_block"))
+                .agg(F.collect_list(F.struct("id", "comp", "signature", "wide")).alias(name)))
+
+    blocks = packed(sized.where("comp <> top"), "outside", OUTSIDE).join(packed(sized, "members", MEMBERS), ["tree", "prefix"])
+    pairs = blocks.select("tree", "outside", "members").mapInArrow(_compare(_least_matches(percent)), "a long, b long, n int")
+    return pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -220,7 +280,7 @@ def _confirm(percent: int):
 def _screen(least: int):
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u1").reshape(batch.num_rows, SLOTS) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
     return run
 
@@ -234,9 +294,7 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those (a, b) whose sets have 100 * shared >= percent * union."""
-    share, slots = percent / 100, TREES * WIDTH
-    least = int(slots * share - SCREEN_SIGMA * (slots * share * (1 - share)) ** 0.5)
-    likely = _with_both(pairs, sets, "signature").mapInArrow(_screen(least), "a long, b long")
+    likely = _with_both(pairs, sets, "wide").mapInArrow(_screen(_least_matches(percent)), "a long, b long")
     return _with_both(likely, sets, "hashes").mapInArrow(_confirm(percent), "a long, b long")
 
 
@@ -303,7 +361,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chosen = classes.select("digest", "id", "signature").join(members, "id", "left_semi")
     sets = (docs.select("doc_id", "text").join(chosen.select(F.col("id").alias("doc_id"), "signature"), "doc_id")
-            .mapInArrow(_sets, "id long, hashes binary, signature binary")
+            .mapInArrow(_sets, "id long, hashes binary, wide binary, signature binary")
             .repartition(n, "id").persist(StorageLevel.DISK_ONLY))
 
     # 1. each end's neighbour of the longest common prefix
@@ -343,11 +401,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
               .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
     tried, links, comp = attempt(spokes, tried, links, comp)
 
-    # 4. every remaining pair of a region in different components: members outside its largest one against all
-    open_regions = mixed(comp)
-    outside = open_regions.where("comp <> top").select("tree", "prefix", F.col("id").alias("x"), F.col("comp").alias("cx"))
-    rest = (outside.join(open_regions, ["tree", "prefix"]).where("cx <> comp")
-            .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")))
+    # 4. every remaining pair of a region in different components: members outside its largest one against all,
+    # compared by signature in blocks; first each member's most alike, then all others that are still apart
+    rest = stored(_alike(mixed(comp), sets, percent), "near-rest")
+    sides = rest.select("n", F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("you")),
+                                               F.struct(F.col("b").alias("me"), F.col("a").alias("you")))).alias("e"))
+    best = sides.groupBy("e.me").agg(F.max(F.struct("n", (-F.col("e.you")).alias("you"))).alias("m"))
+    tried, links, comp = attempt(best.select(F.least("me", -F.col("m.you")).alias("a"), F.greatest("me", -F.col("m.you")).alias("b")),
+                                 tried, links, comp)
     tried, links, comp = attempt(rest, tried, links, comp)
 
     named = (base.join(classes.select("digest", "id"), "digest", "left").join(comp, "id", "left")
