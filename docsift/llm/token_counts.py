@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, counter: Counter, cache_path: str | None = Non
         return read_cache(spark, cache_path).where(F.col("tokenizer") == F.lit(bytearray(counter.digest)))
 
     misses = (rows.join(cached().select("content"), "content", "left_anti").groupBy("content")
-              .agg(F.min("doc_id").alias("doc_id")).withColumn("content", F.col("content")))
+              .agg(F.min("doc_id").alias("doc_id")))
 
     def encode(batches):
         for batch in batches:
@@ -130,7 +130,8 @@ def token_counts(docs: DataFrame, counter: Counter, cache_path: str | None = Non
                 pa.array(content, pa.binary()), pa.array([counter.digest] * len(texts), pa.binary()),
                 pa.array(counter([t.decode() for t in texts]), pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
-    chosen = docs.select("doc_id", "text").join(misses.select(F.col("doc_id").alias("_one")).distinct(),
+    # the misses grow with the input: a merge join at every size, never a broadcast
+    chosen = docs.select("doc_id", "text").join(misses.select(F.col("doc_id").alias("_one")).distinct().hint("merge"),
                                                 F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
     counts = chosen.select("text").mapInArrow(encode, CACHE)
     counts.groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
