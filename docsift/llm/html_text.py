@@ -15,6 +15,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docsift.llm.common import sliced
 from docsift.llm.html_pages import blocks, labelled_pages
 
 TRAIN_PAGES = 500
@@ -143,7 +144,7 @@ def extract_text(pages: DataFrame, field: Field | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(h, shared.value) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())],

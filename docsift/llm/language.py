@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.llm.common import sliced
+
 SAMPLE_DOCS = 64
 MIN_CHARS, MAX_CHARS = 100, 20_000
 TRAIN_CHARS = 30_000
@@ -178,7 +180,7 @@ def identify(docs: DataFrame, parser: Parser) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             langs, scores = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()),
                                               pa.array(scores, pa.float64())],

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.common import sliced
 from docsift.session import scratch_path
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -145,7 +146,7 @@ class Filters:
 
 def _count_task(min_chars: int, sign: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n: dict[bytes, int] = {}
             for text in _texts(batch, 0):
                 for key in {line_key(x, min_chars) for x in text.split(b"\n")} - {None}:
@@ -218,7 +219,7 @@ class LineDedup:
         probe = self.spark.sparkContext.broadcast(Filters(tables, self.n_shards))
 
         def wrong(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 held = probe.value.probe(batch.column(0).to_pylist()) if batch.num_rows else np.zeros(0, bool)
                 yield batch.filter(pa.array(held))
 
@@ -251,7 +252,7 @@ class LineDedup:
             shared = self.spark.sparkContext.broadcast(filters)
 
             def run(batches):
-                for batch in batches:
+                for batch in sliced(batches):
                     texts = [t.split(b"\n") for t in _texts(batch, at)]
                     keys = [[line_key(x, min_chars) for x in lines] for lines in texts]
                     distinct = list({k for own in keys for k in own} - {None})
@@ -266,7 +267,7 @@ class LineDedup:
                 .groupBy("row").agg(F.collect_set("key").alias("_gone")))
 
         def joined(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = [t.split(b"\n") for t in _texts(batch, at)]
                 keys = [[line_key(x, min_chars) for x in lines] for lines in texts]
                 gone = batch.column(batch.num_columns - 1).to_pylist()
@@ -300,7 +301,7 @@ def _change_shard(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
 
 def _keys_task(min_chars: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows, keys = [], []
             for row, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
                 own = {line_key(x, min_chars) for x in text.split(b"\n")} - {None}

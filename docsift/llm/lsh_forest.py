@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import stored
+from docsift.llm.common import sliced, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -38,7 +38,7 @@ SCREEN_SIGMA = 5
 #: Rows of a packed block on either side when the members of a region are compared.
 OUTSIDE, MEMBERS = 256, 1024
 #: Word hashes remembered by a task.
-MEMO = 500_000
+MEMO = 150_000
 
 _RNG = np.random.default_rng(20240601)
 _MULTIPLY = _RNG.integers(1, 2 ** 63, TREES * WIDTH + SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +94,7 @@ def _parts(sets, limit=200_000):
 
 def _base(batches):
     shingler = Shingler()
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingler(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         full = [s for s in sets if len(s)]
         rows = iter([r.tobytes() for part in _parts(full) for r in signatures(part)])
@@ -107,7 +107,7 @@ def _base(batches):
 
 def _sets(batches):
     shingler, wide = Shingler(), slice(TREES * WIDTH, TREES * WIDTH + SLOTS)
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingler(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         rows = [r.tobytes() for part in _parts(sets) for r in signatures(part, wide, "u1")]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()),

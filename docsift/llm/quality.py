@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import stored
+from docsift.llm.common import sliced, stored
 
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 1000
 CONFIDENT = 0.9
 BITS = 18
 ROUNDS = 200
-MEMO = 300_000
+MEMO = 100_000
 #: Signs that prose holds rarely.
 SIGNS = "!$%&*#|^~<>{}[]=+@_\\"
 
@@ -142,8 +142,8 @@ def fit(samples: list[tuple[list[int], list[float]]], targets: np.ndarray, round
     if not samples:
         return weights, bias
     rows = np.repeat(np.arange(len(samples)), [len(s) for s, _ in samples])
-    slots = np.concatenate([np.array(s, np.int64) for s, _ in samples])
-    values = np.concatenate([np.array(v) for _, v in samples])
+    slots = np.concatenate([np.asarray(s, np.int32) for s, _ in samples])
+    values = np.concatenate([np.asarray(v, np.float32) for _, v in samples])
     share = targets.mean()
     importance = np.where(targets > 0.5, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / len(samples)
     seen, seen_bias = np.full(1 << BITS, 1e-8), 1e-8
@@ -183,7 +183,7 @@ class Scorer:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel, Scorer]:
     """Label model over all documents and the scorer of its posteriors."""
     def vote(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [votes(statistics(t.split(), t)) if t else "-" * len(LABELLERS) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=["doc_id", "votes"])
 
@@ -203,17 +203,18 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel,
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded: 2 * sample_docs ids
 
     def extract(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [features((t or "").split(), statistics((t or "").split(), t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in got], pa.list_(pa.int32())),
-                                              pa.array([v for _, v in got], pa.list_(pa.float64()))], names=["doc_id", "slots", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(s, "<i4").tobytes() for s, _ in got], pa.binary()),
+                                              pa.array([np.array(v, "<f4").tobytes() for _, v in got], pa.binary())],
+                                             names=["doc_id", "slots", "values"])
 
-    rows = sorted((r["doc_id"], r["slots"], r["values"]) for r in sample.mapInArrow(
-        extract, "doc_id long, slots array<int>, values array<double>").toLocalIterator())  # bounded: the sample
+    rows = sorted((r["doc_id"], bytes(r["slots"]), bytes(r["values"])) for r in sample.mapInArrow(
+        extract, "doc_id long, slots binary, values binary").toLocalIterator())  # bounded: the sample
     targets = np.array([chosen[i] for i, _, _ in rows])
     if not len(rows) or targets.min() > 0.5 or targets.max() < 0.5:  # nothing to tell apart
         return model, Scorer(np.zeros(1 << BITS), 1.0 if not len(rows) or targets.min() > 0.5 else -1.0)
-    return model, Scorer(*fit([(s, v) for _, s, v in rows], targets))
+    return model, Scorer(*fit([(np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4")) for _, s, v in rows], targets))
 
 
 def score(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
@@ -226,7 +227,7 @@ def score(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [shared.value(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), pa.array([x >= least for x in got])],
                                              names=["doc_id", "score", "accepted"])
@@ -240,7 +241,7 @@ def accepted(docs: DataFrame, scorer: Scorer, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([shared.value(t) >= least for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm.common import sliced
 from docsift.session import scratch_path
 
 CACHE = "content binary, tokenizer binary, n_tokens long"
 #: Distinct pieces a task remembers.
-MEMO = 300_000
+MEMO = 100_000
 
 
 class Counter:
@@ -105,7 +106,7 @@ def token_counts(docs: DataFrame, counter: Counter, cache_path: str | None = Non
     cache_path = cache_path or scratch_path(spark, "token-cache")
 
     def digests(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
@@ -123,7 +124,7 @@ def token_counts(docs: DataFrame, counter: Counter, cache_path: str | None = Non
               .agg(F.min("doc_id").alias("doc_id")))
 
     def encode(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [counter.normalise(x or b"") for x in batch.column(0).cast(pa.binary()).to_pylist()]
             content = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([
