@@ -6,10 +6,10 @@
   All trees are sorted at once by (tree, key) with a range partitioning, so a large region is spread over tasks.
   Neighbours with a common prefix of at least ``WIDTH`` values are candidates; a run with one such prefix is a region.
 * Depth adapts per region, deepest first: each representative is tried with the neighbour of its longest common
-  prefix over all trees, then with its other neighbours, then regions that still hold several components are tried
-  against their best connected member, and at last every remaining pair of a region in different components.
-  Pairs inside one component need no trial, so large groups of copies cost about one trial a copy, and no
-  pair that shares a region is left out of the decision.
+  prefix over all trees, then with its other neighbours, and at last every pair of a region that is still in
+  different components (two members of a region are neighbours and need no further trial).  Pairs inside one
+  component need none either, so large groups of copies cost about one trial a copy, and no pair that
+  shares a region is left out of the decision.
 * Candidates are screened on the signatures (``SCREEN_SIGMA`` standard deviations below the threshold) and
   confirmed on the full sets.  A pair at Jaccard 0.75 misses all regions with probability (1 - 0.75^4)^32 = 5e-6.
 
@@ -250,10 +250,9 @@ def _alike(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, n): pairs of a region in different components with enough wide signature values equal.
 
     Both sides are packed into blocks of about ``OUTSIDE`` and ``MEMBERS`` rows, so that the join has a row for a
-    pair of blocks and a task holds one such pair.  Two members of a region are neighbours and have been tried.
+    pair of blocks and a task holds one such pair.
     """
-    sized = regions.join(regions.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 2"), ["tree", "prefix"])
-    sized = sized.join(sets.select("id", "signature", "wide"), "id")
+    sized = regions.join(sets.select("id", "signature", "wide"), "id")
 
     def packed(rows, name, per_block):
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(per_block)).cast("long"))
@@ -375,41 +374,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = _join_components(comp, links)
 
     # 2. the other neighbours that are in different components
-    def attempt(new, tried, links, comp):
+    def attempt(new, tried, comp):
         new = stored(_named(new.select("a", "b").distinct(), comp).where("ca <> cb").select("a", "b")
                      .join(tried, ["a", "b"], "left_anti"), "near-new")
         found = stored(linked(new, sets, percent), "near-found")
-        tried, links = tried.unionByName(new), links.unionByName(found)
-        return tried, links, _join_components(comp, found) if found.limit(1).count() else comp
-
-    tried, links, comp = attempt(pairs, tried, links, comp)
-
-    # 3. regions of several components: all members against the best connected one
-    def mixed(comp):
-        named = regions.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = named.groupBy("tree", "prefix", "comp").agg(F.count(F.lit(1)).alias("n"))
-        top = (sizes.groupBy("tree", "prefix").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("k"))
-               .where("k > 1").select("tree", "prefix", F.col("m.comp").alias("top")))
-        return stored(named.join(top, ["tree", "prefix"]), "near-mixed")
-
-    open_regions = mixed(comp)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    hub = (open_regions.join(degree, "id", "left").groupBy("tree", "prefix")
-           .agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("id")).alias("id"))).alias("h"))
-           .select("tree", "prefix", (-F.col("h.id")).alias("hub")))
-    spokes = (open_regions.join(hub, ["tree", "prefix"]).where("id <> hub")
-              .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
-    tried, links, comp = attempt(spokes, tried, links, comp)
-
-    # 4. every remaining pair of a region in different components: members outside its largest one against all,
-    # compared by signature in blocks; first each member's most alike, then all others that are still apart
-    rest = stored(_alike(mixed(comp), sets, percent), "near-rest")
-    sides = rest.select("n", F.explode(F.array(F.struct(F.col("a").alias("me"), F.col("b").alias("you")),
-                                               F.struct(F.col("b").alias("me"), F.col("a").alias("you")))).alias("e"))
-    best = sides.groupBy("e.me").agg(F.max(F.struct("n", (-F.col("e.you")).alias("you"))).alias("m"))
-    tried, links, comp = attempt(best.select(F.least("me", -F.col("m.you")).alias("a"), F.greatest("me", -F.col("m.you")).alias("b")),
-                                 tried, links, comp)
-    tried, links, comp = attempt(rest, tried, links, comp)
+        return tried.unionByName(new), _join_components(comp, found) if found.limit(1).count() else comp
+
+    tried, comp = attempt(pairs, tried, comp)
+
+    # 3. every remaining pair of a region in different components: members outside its largest one against all,
+    # compared by signature in blocks
+    named = regions.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    top = (named.groupBy("tree", "prefix", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "prefix")
+           .agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"))
+           .where("k > 1 AND size > 2").select("tree", "prefix", "size", F.col("m.comp").alias("top")))
+    rest = _alike(named.join(top, ["tree", "prefix"]), sets, percent)
+    tried, comp = attempt(rest, tried, comp)
 
     named = (base.join(classes.select("digest", "id"), "digest", "left").join(comp, "id", "left")
              .withColumn("component_id", F.coalesce("comp", "id", "doc_id")))
