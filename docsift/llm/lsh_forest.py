@@ -34,7 +34,7 @@ PERCENT = 75
 TREES, WIDTH, DEPTH = 32, 4, 8
 #: Slots of the wide signature (8 bits each) that screens candidates, made for members of regions only.
 SLOTS = 768
-SCREEN_SIGMA = 5
+SCREEN_SIGMA = 4
 #: Rows of a packed block on either side when the members of a region are compared.
 OUTSIDE, MEMBERS = 256, 1024
 #: Word hashes remembered by a task.
@@ -292,9 +292,10 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
             .join(side.withColumnRenamed(column, "y"), F.col("b") == F.col("id")).select("a", "b", "x", "y"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those (a, b) whose sets have 100 * shared >= percent * union."""
-    likely = _with_both(pairs, sets, "wide").mapInArrow(_screen(_least_matches(percent)), "a long, b long")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, screened: bool = False) -> DataFrame:
+    """Those (a, b) whose sets have 100 * shared >= percent * union; ``screened`` pairs go to the full sets at once."""
+    likely = pairs if screened else _with_both(pairs, sets, "wide").mapInArrow(
+        _screen(_least_matches(percent)), "a long, b long")
     return _with_both(likely, sets, "hashes").mapInArrow(_confirm(percent), "a long, b long")
 
 
@@ -375,10 +376,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comp = _join_components(comp, links)
 
     # 2. the other neighbours that are in different components
-    def attempt(new, tried, links, comp):
+    def attempt(new, tried, links, comp, screened=False):
         new = stored(_named(new.select("a", "b").distinct(), comp).where("ca <> cb").select("a", "b")
                      .join(tried, ["a", "b"], "left_anti"), "near-new")
-        found = stored(linked(new, sets, percent), "near-found")
+        found = stored(linked(new, sets, percent, screened), "near-found")
         tried, links = tried.unionByName(new), links.unionByName(found)
         return tried, links, _join_components(comp, found) if found.limit(1).count() else comp
 
@@ -408,8 +409,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                                                F.struct(F.col("b").alias("me"), F.col("a").alias("you")))).alias("e"))
     best = sides.groupBy("e.me").agg(F.max(F.struct("n", (-F.col("e.you")).alias("you"))).alias("m"))
     tried, links, comp = attempt(best.select(F.least("me", -F.col("m.you")).alias("a"), F.greatest("me", -F.col("m.you")).alias("b")),
-                                 tried, links, comp)
-    tried, links, comp = attempt(rest, tried, links, comp)
+                                 tried, links, comp, screened=True)
+    tried, links, comp = attempt(rest, tried, links, comp, screened=True)
 
     named = (base.join(classes.select("digest", "id"), "digest", "left").join(comp, "id", "left")
              .withColumn("component_id", F.coalesce("comp", "id", "doc_id")))
