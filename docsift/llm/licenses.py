@@ -4,11 +4,18 @@ Units are the lines of a text and, where it has several lines, the whole text.
 runs of ASCII letters and digits, lower-cased.  A template with b bigrams can reach a Dice
 coefficient t only with units of t/(2-t)*b to (2-t)/t*b distinct bigrams; a unit of n words has at most
 n-1 bigrams, and with d distinct words at least d-1, so most units are ruled out before any bigram is made.
+
+Such a unit also shares more than t/(2-t)*b of the template's bigrams, so it lacks fewer than the rest of them: of any
+``missing + 1`` chosen bigrams it holds one, and with it both words of that bigram.  Texts and lines without the words
+of any such bigram are left out by plain substring tests before they are normalised; no match is lost by it.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +66,29 @@ def template_bigrams(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     return out
 
 
+def needed_words(grams: list[list[str]], threshold: float) -> dict[str, list[str]]:
+    """Pairs of words, as {longer: [others]}: every unit that matches one of the templates holds both words of a pair."""
+    needed = {}
+    for g in grams:
+        # shared >= t * (unit + b) / 2 and unit >= shared, so shared >= t / (2 - t) * b; the margin covers rounding
+        missing = len(g) - math.ceil(threshold / (2 - threshold) * len(g) - 1e-9)
+        pairs = sorted((sorted(gram.split(" "), key=lambda w: (-len(w), w)) for gram in g), key=lambda p: (-len(p[0]), p))
+        for long, other in pairs[: missing + 1]:
+            needed.setdefault(long, set()).add(other)
+    return {w: sorted(others) for w, others in sorted(needed.items())}
+
+
+def holds_pair(text: Column, needed: dict[str, list[str]]) -> Column:
+    """Whether the lower-cased text holds both words of a pair anywhere (null: null)."""
+    def holds(low):
+        return reduce(operator.or_, [F.contains(low, F.lit(w)) & reduce(operator.or_, [F.contains(low, F.lit(o)) for o in others])
+                                     for w, others in needed.items()])
+    # the array makes the lower-cased text a variable, which is computed once for all tests
+    return F.exists(F.array(F.lower(text)), holds)
+
+
 def normalised_words(text: Column) -> Column:
-    spaced = F.btrim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), "")
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -77,9 +104,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("grams")) for n, g in grams])
 
     # explode_outer and CASE instead of filters: Catalyst would copy a filter's array expressions into the lambdas
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    units = (docs.select("doc_id", F.explode_outer(F.when(F.size(lines) > 1, F.array_append(lines, F.col("text")))
-                                                   .otherwise(lines)).alias("unit"))
+    text, needed = F.col("text"), needed_words([g for _, g in grams], threshold)
+    lines = F.filter(F.split(text, "\n", -1), lambda line: holds_pair(line, needed))
+    whole = F.when(F.contains(text, F.lit("\n")), F.array(text)).otherwise(F.array().cast("array<string>"))
+    units = (docs.select("doc_id", "text").where(holds_pair(text, needed))
+             .select("doc_id", F.explode_outer(F.concat(lines, whole)).alias("unit"))
              .select("doc_id", normalised_words(F.col("unit")).alias("words")))
     pairs = F.transform(F.sequence(F.lit(0), F.size("words") - 2),
                         lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))

@@ -110,6 +110,29 @@ def test_mixing_meets_its_targets_and_edge_rows(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.emit_mix(docs.limit(0)).count() == 0
 
 
+def test_license_scan_equals_brute_force_on_altered_templates(spark):
+    """Units around the threshold, with words lost, repeated and added: the substring tests lose no match."""
+    rng = np.random.default_rng(11)
+    grams = licenses.template_bigrams()
+    units = []
+    for _, text in licenses.TEMPLATES:
+        for _ in range(12):
+            w = text.split(" ")
+            for _ in range(int(rng.integers(0, 1 + len(w) // 4))):
+                at = int(rng.integers(0, len(w)))
+                w[at:at + 1] = [[], [w[at], w[at]], ["other"], [w[at].upper()]][int(rng.integers(0, 4))] if len(w) > 1 else w[at:at + 1]
+            units.append(" ".join(w))
+    want = {}
+    for i, unit in enumerate(units):
+        words = re.findall("[a-z0-9]+", unit.lower())
+        own = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        dice, name = min((-2 * len(own & set(g)) / ((len(own) + len(g)) or 1), n) for n, g in grams)
+        if -dice >= licenses.THRESHOLD:
+            want[i] = (name, -dice)
+    got = {r.doc_id: (r.license, r.dice) for r in licenses.license_scan(table(spark, enumerate(units))).collect()}
+    assert got == want and 0 < len(want) < len(units)
+
+
 def test_license_scan_edges(spark):
     docs = table(spark, ODD + [(20, "x\nReleased under the MIT License.\nReleased, under the MIT license"),
                                (21, "Released under the"), (22, licenses.TEMPLATES[2][1].replace(" the ", "\nthe "))])
