@@ -22,55 +22,62 @@ def normalize_rows(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def block_topk(qids: np.ndarray, q: np.ndarray, dids: np.ndarray, d: np.ndarray, k: int,
-               exclude_self: bool = False, chunk_cells: int = 16_000_000):
-    """Per query, the documents of this block that can still be in its top-k.
-
-    Scores = d @ q.T computed in row chunks (bounded memory); keeps, per query,
-    every doc scoring at least the k-th best minus a tie margin, so the final
-    exact ranking (rounded score desc, doc id asc) is unaffected by the cut.
-    Returns three aligned arrays (query ids, doc ids, scores).
+class RunningTopK:
+    """Per query, the documents seen so far that can still be in its exact top-k.
+
+    Scores = d @ q.T computed in row chunks (bounded memory).  Kept are all documents scoring at
+    least the k-th best minus a tie margin, so the final ranking (rounded score desc, doc id asc) is
+    unaffected by the cut; of documents with one and the same score only the ``k`` smallest ids.
     """
-    out_q, out_d, out_s = [], [], []
-    nq = q.shape[0]
-    if nq == 0 or d.shape[0] == 0:
-        return np.array([], dtype=qids.dtype), np.array([], dtype=dids.dtype), np.array([], dtype=np.float64)
-    step = max(1, chunk_cells // max(nq, 1))
-    cand_q, cand_d, cand_s = [], [], []
-
-    def prune(qi, di, sc):
-        if sc.size == 0:
-            return qi, di, sc
-        order = np.lexsort((-sc, qi))
-        qi, di, sc = qi[order], di[order], sc[order]
-        starts = np.r_[0, np.nonzero(np.diff(qi))[0] + 1]
-        counts = np.diff(np.r_[starts, qi.size])
-        pos = np.arange(qi.size) - np.repeat(starts, counts)
-        kth_idx = starts + np.minimum(counts, k) - 1
-        kth = np.repeat(sc[kth_idx], counts)
-        keep = (pos < k) | (sc >= kth - TIE_MARGIN)
-        return qi[keep], di[keep], sc[keep]
-
-    for lo in range(0, d.shape[0], step):
-        s = d[lo:lo + step] @ q.T                       # (rows, nq)
-        rows_ids = dids[lo:lo + step]
-        if exclude_self:
-            s = np.where(rows_ids[:, None] == qids[None, :], -np.inf, s)
-        nrow = s.shape[0]
-        if nrow > k:
-            kth = np.partition(s, nrow - k, axis=0)[nrow - k]
-            mask = (s >= kth[None, :] - TIE_MARGIN) & np.isfinite(s)
-        else:
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool = False,
+                 chunk_cells: int = 16_000_000):
+        self.qids, self.q, self.k, self.exclude_self = qids, q, k, exclude_self
+        self.step = max(1, chunk_cells // max(len(q), 1))
+        self.parts: list = []
+
+    def add(self, dids: np.ndarray, d: np.ndarray) -> None:
+        if not len(self.q):
+            return
+        for lo in range(0, d.shape[0], self.step):
+            s = d[lo:lo + self.step] @ self.q.T                       # (rows, nq)
+            ids = dids[lo:lo + self.step]
+            if self.exclude_self:
+                s = np.where(ids[:, None] == self.qids[None, :], -np.inf, s)
             mask = np.isfinite(s)
-        r, c = np.nonzero(mask)
-        cand_q.append(c)
-        cand_d.append(r + lo)
-        cand_s.append(s[r, c])
-        if sum(x.size for x in cand_s) > 8 * k * nq:
-            qi, di, sc = prune(np.concatenate(cand_q), np.concatenate(cand_d), np.concatenate(cand_s))
-            cand_q, cand_d, cand_s = [qi], [di], [sc]
-    qi, di, sc = prune(np.concatenate(cand_q), np.concatenate(cand_d), np.concatenate(cand_s))
-    out_q.append(qids[qi])
-    out_d.append(dids[di])
-    out_s.append(sc)
-    return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
+            if s.shape[0] > self.k:
+                kth = np.partition(s, s.shape[0] - self.k, axis=0)[s.shape[0] - self.k]
+                mask &= s >= kth[None, :] - TIE_MARGIN
+            r, c = np.nonzero(mask)
+            self.parts.append((c, ids[r], s[r, c]))
+            if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts) > 8 * self.k * len(self.q):
+                self._prune()
+
+    def _prune(self) -> None:
+        qi, di, sc = (np.concatenate(x) for x in zip(*self.parts))
+        if len(qi):
+            key = di if di.dtype.kind in "iuf" else di.astype(str)
+            order = np.lexsort((key, -sc, qi))
+            qi, di, sc = qi[order], di[order], sc[order]
+            new = np.r_[True, np.diff(qi) != 0]
+            kth = sc[np.minimum(np.flatnonzero(new) + self.k, np.r_[np.flatnonzero(new)[1:], qi.size]) - 1][np.cumsum(new) - 1]
+            tied = np.flatnonzero(new | np.r_[True, np.diff(sc) != 0])          # first row of each equal score
+            place = np.arange(qi.size) - np.repeat(tied, np.diff(np.r_[tied, qi.size]))
+            keep = (sc >= kth - TIE_MARGIN) & (place < self.k)
+            qi, di, sc = qi[keep], di[keep], sc[keep]
+        self.parts = [(qi, di, sc)]
+
+    def result(self):
+        """Three aligned arrays (query ids, doc ids, scores)."""
+        if not self.parts:
+            return self.qids[:0], np.array([], dtype=np.int64), np.array([], dtype=np.float64)
+        self._prune()
+        qi, di, sc = self.parts[0]
+        return self.qids[qi], di, sc
+
+
+def block_topk(qids: np.ndarray, q: np.ndarray, dids: np.ndarray, d: np.ndarray, k: int, exclude_self: bool = False):
+    """``RunningTopK`` over one block."""
+    top = RunningTopK(qids, q, k, exclude_self)
+    top.add(dids, d)
+    return top.result()

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from docsift import constants as C
 from docsift.functions.text import tokenize
-from docsift.functions.vectors import block_topk, normalize_rows, stack
+from docsift.functions.vectors import RunningTopK, block_topk, normalize_rows, stack
 from docsift.operators.lexical import rank_top_k
 from docsift.session import spread
 
@@ -122,16 +122,9 @@ def to_dense(sparse: DataFrame, dim: int) -> DataFrame:
     return g.select("id", densify("d", "w").alias("embedding"))
 
 
-def sparse_dot(pairs: DataFrame, qvec: DataFrame, dvec: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Score given (query_id, doc_id) pairs by the sparse dot product of their vectors.
-
-    The (pair, dim, wq) side is broadcast behind a row-count check, so the document
-    vectors are probed where they live instead of being shuffled for a short candidate list.
-    """
-    from docsift.operators.lexical import _maybe_broadcast
-
+def sparse_dot(pairs: DataFrame, qvec: DataFrame, dvec: DataFrame) -> DataFrame:
+    """Score given (query_id, doc_id) pairs by the sparse dot product of their vectors."""
     left = pairs.join(qvec.select(F.col("id").alias("query_id"), "dim", F.col("w").alias("wq")), "query_id")
-    left, _ = _maybe_broadcast(left, broadcast_rows)
     return (dvec.select(F.col("id").alias("doc_id"), "dim", F.col("w").alias("wd")).join(left, ["doc_id", "dim"])
             .groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score")))
 
@@ -168,16 +161,14 @@ def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot
         bc = spark.sparkContext.broadcast((qids, qm))
 
         def run(batches):
+            # one running top-k over all batches of the partition, so the rows it emits do not depend on the batch size
             qi_all, q_mat = bc.value
+            top = RunningTopK(qi_all, q_mat, k, exclude_self)
             for pdf in batches:
-                if pdf.empty:
-                    continue
-                dm = stack(pdf["embedding"], q_mat.shape[1])
-                if cos:
-                    dm = normalize_rows(dm)
-                a, b, c = block_topk(qi_all, q_mat, pdf["id"].to_numpy(), dm, k, exclude_self)
-                if a.size:
-                    yield _kernel_frame(a, b, c)
+                if not pdf.empty:
+                    dm = stack(pdf["embedding"], q_mat.shape[1])
+                    top.add(pdf["id"].to_numpy(), normalize_rows(dm) if cos else dm)
+            yield _kernel_frame(*top.result())
         return spread(corpus.select("id", "embedding")).mapInPandas(run, schema)
 
     nq, nc = queries.count(), corpus.count()

@@ -6,30 +6,19 @@ BM25 (Robertson & Zaragoza 2009):
 N and avgdl are over documents with at least one token.  Scores are rounded to
 6 decimals and ties broken by doc_id, so rankings are engine-independent.
 
-Physical design (exact top-k, no all-pairs blow-up on frequent terms):
-
-* Index: ``postings(term, doc_id, tf, dl, impact)`` where ``impact`` is the
-  per-posting BM25 tf-normalisation; ``terms(term, df, idf, tau)``; hot
-  postings pre-partitioned by (doc_id, term) for lookups; and candidate postings
-  ``cand_postings(term, doc_id)``: the whole list of every term with
-  ``df <= hot_df`` plus, for each hot term, only postings with
-  ``impact >= tau_j(term)`` (tau_j is a bucket edge of an exact impact histogram,
-  chosen so that about ``hot_df * 10^j`` postings qualify, j = 0, 1, 2).
-* Search: candidates = query terms joined with ``cand_postings`` (every group
-  is bounded by ~hot_df postings); cold terms score exactly in that join and
-  hot-term contributions are looked up in the hot postings by (doc_id, term).  A document
-  outside the candidates matches no cold term and has impact < tau for every
-  hot term, so its score is below ``UB(q) = sum_hot qtf*idf*tau``.  When the
-  k-th candidate score beats ``UB(q)`` the top-k is proven exact.  Unproven
-  queries go to the next, deeper prefix (iterative deepening); after the last
-  depth they are re-run exhaustively (broadcast join when the query-term table
-  is small, else a salted shuffle join that splits hot terms across tasks).
-  Inside a round, candidates whose partial score + UB(q) cannot reach the k-th
-  best partial score skip the hot-term lookups.
+One physical plan at every size:
+
+* Index: ``postings(term, doc_id, tf, dl, impact)`` hash-partitioned by ``doc_id``.  Whole documents
+  are shuffled by id once and tokenised after it, so counting tokens needs no exchange of its own, and
+  a frequent term's postings lie in all partitions instead of one.
+* Search: query terms go in blocks of bounded bytes.  A block is broadcast to the postings, which stay
+  where they are: grouping by (query_id, doc_id) is local to a partition, and so is the first cut to k
+  per query.  Only k rows per query and partition are exchanged.  The block size never changes results.
 """
 
 from __future__ import annotations
 
+import math
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -37,88 +26,39 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.functions.text import analyze, tokenize
-from docsift.session import cut_lineage, spread
+from docsift.session import scratch_path
 
-#: impact histogram resolution used to pick tau per hot term
-TAU_BUCKETS = 1024
-#: prefix depths of the iterative rounds: about hot_df * 10^j postings per hot term
-TAU_LEVELS = 3
-#: query-term tables up to this many rows are broadcast (checked by a count)
-BROADCAST_ROWS = 1_000_000
-#: ``auto`` strategy: run the exhaustive join when sum(df) over query terms is at most this
-EXHAUSTIVE_BUDGET = 200_000_000
+#: bytes of query terms in one broadcast block; a block of a single query may be larger
+BLOCK_BYTES = 32 << 20
+#: bytes of a query-term row beside the term itself (query id, weight, hash table entry)
+ROW_BYTES = 48
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 class LexicalIndex:
-    """Postings + term statistics; pruning tables are built lazily on first use."""
+    """Postings partitioned by document, and term statistics."""
 
-    def __init__(self, postings, terms, n_docs, avgdl, k1, b, hot_df, analyzer, storage, cached):
+    def __init__(self, postings, terms, n_docs, avgdl, k1, b, analyzer, cached):
         self.postings, self.terms = postings, terms
         self.n_docs, self.avgdl, self.k1, self.b = n_docs, avgdl, k1, b
-        self.hot_df, self.analyzer, self.storage = hot_df, analyzer, storage
+        self.analyzer = analyzer
         self._cached = list(cached)
-        self._cand = self._hot = None
-
-    def _build_pruning(self):
-        hot_terms, _ = _maybe_broadcast(self.terms.where("hot").select("term"), BROADCAST_ROWS)
-        hist = (self.postings.join(hot_terms, "term")
-                .groupBy("term", F.floor(F.col("impact") * TAU_BUCKETS).alias("bucket"))
-                .agg(F.count(F.lit(1)).alias("n")))
-        tail = Window.partitionBy("term").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("tail", F.sum("n").over(tail))
-        # per level j: the lowest bucket edge whose upper tail holds at most hot_df * 10^j
-        # postings (or the top bucket); deeper levels admit longer prefixes
-        limits = [self.hot_df * 10 ** j for j in range(TAU_LEVELS)]
-        tau = (hist.groupBy("term")
-               .agg(*[F.min(F.when(F.col("tail") <= lim, F.col("bucket"))).alias(f"b{j}") for j, lim in enumerate(limits)],
-                    F.max("bucket").alias("b_top"))
-               .select("term", *[(F.coalesce(f"b{j}", "b_top") / F.lit(float(TAU_BUCKETS))).alias(f"tau{j}")
-                                 for j in range(TAU_LEVELS)]))
-        tcols = [f"tau{j}" for j in range(TAU_LEVELS)]
-        tinfo = (self.terms.select("term", "hot").join(tau, "term", "left")
-                 .select("term", "hot", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in tcols]).persist(self.storage))
-        self._tinfo = tinfo
-        level = F.lit(TAU_LEVELS - 1)
-        for j in reversed(range(TAU_LEVELS - 1)):
-            level = F.when(F.col("impact") >= F.col(f"tau{j}"), F.lit(j)).otherwise(level)
-        level = F.when(~F.col("hot"), F.lit(0)).otherwise(level)
-        self._cand = (self.postings.join(tinfo, "term")
-                      .where(~F.col("hot") | (F.col("impact") >= F.col(tcols[-1])))
-                      .select("term", "doc_id", "impact", "hot", level.alias("level")).persist(self.storage))
-        self._hot = (self.postings.join(tinfo.where("hot").select("term"), "term").select("doc_id", "term", "impact")
-                     .repartition("doc_id", "term").persist(self.storage))
-        self._cached += [tinfo, self._cand, self._hot]
-
-    @property
-    def tau(self) -> DataFrame:
-        if self._cand is None:
-            self._build_pruning()
-        return self._tinfo
-
-    @property
-    def cand_postings(self) -> DataFrame:
-        if self._cand is None:
-            self._build_pruning()
-        return self._cand
-
-    @property
-    def hot_postings(self) -> DataFrame:
-        if self._hot is None:
-            self._build_pruning()
-        return self._hot
 
     def unpersist(self):
         for df in self._cached:
             df.unpersist()
 
     def save(self, path: str) -> str:
-        """Write the index as Parquet tables under ``path`` (a shared, durable folder):
-        ``postings`` (bucketed layout left to the writer), ``terms`` and a one-row ``meta``."""
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        """Write the index as Parquet tables under ``path`` (a shared, durable folder): ``postings``
+        (files sorted by term), ``terms`` and a one-row ``meta``, which is written last."""
+        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         spark = self.postings.sparkSession
-        meta = spark.createDataFrame([(self.n_docs, self.avgdl, self.k1, self.b, self.hot_df, self.analyzer)],
-                                     "n_docs long, avgdl double, k1 double, b double, hot_df long, analyzer string")
+        meta = spark.createDataFrame([(self.n_docs, self.avgdl, self.k1, self.b, self.analyzer)],
+                                     "n_docs long, avgdl double, k1 double, b double, analyzer string")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return path
 
@@ -127,26 +67,22 @@ def load_index(spark, path: str, storage: StorageLevel = StorageLevel.MEMORY_AND
     """Read an index written by ``LexicalIndex.save`` (lineage starts at the files)."""
     m = spark.read.parquet(f"{path}/meta").first()  # bounded: one row
     postings = spark.read.parquet(f"{path}/postings")
+    postings = postings.repartition(shuffle_partitions(postings), "doc_id").persist(storage)
     terms = spark.read.parquet(f"{path}/terms").persist(storage)
     return LexicalIndex(postings, terms, int(m["n_docs"]), float(m["avgdl"]), float(m["k1"]), float(m["b"]),
-                        int(m["hot_df"]), m["analyzer"], storage, (terms,))
+                        m["analyzer"], (postings, terms))
 
 
 def term_array(text: Column, analyzer: str | None) -> Column:
     return analyze(text, analyzer) if analyzer else tokenize(text)
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast hint only behind a row-count check (bounded by ``max_rows + 1`` rows read)."""
-    n = df.limit(max_rows + 1).count()
-    return (F.broadcast(df), True) if n <= max_rows else (df, False)
-
-
 def bm25_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", analyzer: str | None = None,
-               k1: float = C.BM25_K1, b: float = C.BM25_B, hot_df: int = 1000,
+               k1: float = C.BM25_K1, b: float = C.BM25_B,
                storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> LexicalIndex:
     """Build postings and term statistics (persisted); one small action computes N and avgdl."""
-    docs = (spread(corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")))
+    docs = (corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+            .repartition(shuffle_partitions(corpus), "doc_id")
             .select("doc_id", term_array(F.col("_text"), analyzer).alias("toks")))
     # *_outer + a null filter on the generated column: a plain explode makes Catalyst infer
     # ``size(toks) > 0`` and push it below the repartition, tokenising twice (once in the scan task)
@@ -162,22 +98,21 @@ def bm25_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", an
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     postings = base.select("term", "doc_id", "tf", "dl",
                            (F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("impact"))
-    terms = (postings.groupBy("term")
-             .agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("max_impact"))
+    terms = (base.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
              .withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-             .withColumn("hot", F.col("df") > F.lit(hot_df))
              .persist(storage))
-    return LexicalIndex(postings, terms, n_docs, avgdl, k1, b, hot_df, analyzer, storage, (base, terms))
+    return LexicalIndex(postings, terms, n_docs, avgdl, k1, b, analyzer, (base, terms))
 
 
 def query_terms(queries: DataFrame, index: LexicalIndex, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, term, qtf, w = qtf*idf, df, hot, tau) for query terms present in the index."""
-    qt = (spread(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_text")))
+    """(query_id, term, qtf, w = qtf*idf, df) for query terms present in the index."""
+    qt = (queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_text"))
+          .repartition(shuffle_partitions(queries), "query_id")
           .select("query_id", F.explode_outer(term_array(F.col("_text"), index.analyzer)).alias("term"))
           .where(F.col("term").isNotNull())
           .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    return (qt.join(index.terms.select("term", "df", "idf", "hot"), "term")
-            .select("query_id", "term", "qtf", (F.col("qtf") * F.col("idf")).alias("w"), "df", "hot"))
+    return (qt.join(index.terms.select("term", "df", "idf"), "term")
+            .select("query_id", "term", "qtf", (F.col("qtf") * F.col("idf")).alias("w"), "df"))
 
 
 def rank_top_k(scored: DataFrame, top_k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:
@@ -188,128 +123,45 @@ def rank_top_k(scored: DataFrame, top_k: int, query_id: str = "query_id", doc_id
             .where(F.col("rank") <= top_k))
 
 
-def _exhaustive(qt: DataFrame, index: LexicalIndex, broadcast_rows: int, salt_rows: int,
-                small: bool | None = None) -> DataFrame:
-    """Full term join for the given query terms; hot terms are salted when not broadcast.
-
-    ``small`` passes an already known size verdict (skips the row-count check).
-    """
-    if small is None:
-        qt_small, is_bc = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
-    else:
-        qt_small, is_bc = (F.broadcast(qt.select("query_id", "term", "w")) if small else qt), small
-    post = index.postings.select("term", "doc_id", "impact")
-    if is_bc:
-        joined = post.join(qt_small, "term")
-    else:
-        # split every term into ceil(df / salt_rows) salts: postings pick one by doc hash,
-        # query rows are replicated to all salts of their term
-        salts = index.terms.select("term", F.greatest(F.lit(1), F.ceil(F.col("df") / F.lit(salt_rows))).cast("int").alias("ns"))
-        q = (qt.join(salts, "term")
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-             .select("query_id", "term", "w", "salt"))
-        p = (post.join(salts, "term")
-             .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("ns")).cast("int"))
-             .select("term", "doc_id", "impact", "salt"))
-        joined = p.join(q, ["term", "salt"])
-    return (joined.groupBy("query_id", "doc_id")
-            .agg(F.sum(F.col("w") * F.col("impact")).alias("score")))
+def block_scores(index: LexicalIndex, block: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of every matching pair of one block of query terms (query_id, term, w)."""
+    return (index.postings.select("term", "doc_id", "impact").join(F.broadcast(block), "term")
+            .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score")))
+
+
+def _blocked(qt: DataFrame, block_bytes: int) -> tuple[DataFrame, list[int]]:
+    """Query terms with a ``block`` number, and the numbers in use; a block is at most ``block_bytes`` or one query."""
+    size = F.octet_length("term") + F.lit(ROW_BYTES)
+    total = qt.agg(F.sum(size).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(2 * total / block_bytes))
+    while True:
+        out = qt.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        sizes = (out.groupBy("block").agg(F.sum(size).alias("n"), (F.min("query_id") != F.max("query_id")).alias("several"))
+                 .collect())  # bounded: one row per block
+        if all(r["n"] <= block_bytes or not r["several"] for r in sizes):
+            return out, sorted(r["block"] for r in sizes) or [0]
+        blocks *= 2
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, query_id: str = "query_id",
-                text: str = "text", exclude_self: bool = False, strategy: str = "auto",
-                broadcast_rows: int = BROADCAST_ROWS, exhaustive_budget: int = EXHAUSTIVE_BUDGET,
+                text: str = "text", exclude_self: bool = False, block_bytes: int = BLOCK_BYTES,
                 storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Top-k BM25 run ``(query_id, doc_id, score, rank)``; every strategy is exact.
-
-    ``auto`` picks ``exhaustive`` when the join volume sum(df) over the query terms
-    is within ``exhaustive_budget`` and ``pruned`` otherwise.
-    """
-    qt = query_terms(queries, index, query_id, text).persist(storage)
-    self_filter = (F.col("query_id") != F.col("doc_id")) if exclude_self else F.lit(True)
-    # one small aggregate answers both planning questions: join volume and broadcast size
-    stats = qt.agg(F.sum("df").alias("volume"), F.count(F.lit(1)).alias("rows")).first()
-    if strategy == "auto":
-        strategy = "exhaustive" if (stats["volume"] or 0) <= exhaustive_budget else "pruned"
-    if strategy == "exhaustive":
-        known = (stats["rows"] or 0) <= broadcast_rows
-        out = rank_top_k(_exhaustive(qt, index, broadcast_rows, index.hot_df, known).where(self_filter), top_k)
-        return out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
-
-    qt = qt.join(index.tau, ["term", "hot"]).persist(storage)
-    finished = []
-    temps = [qt]
-    active = qt
-    for level in range(TAU_LEVELS):
-        safe_top, unsafe_ids = _pruned_round(index, active, level, top_k, self_filter, broadcast_rows, storage, temps)
-        finished.append(safe_top)
-        if unsafe_ids.isEmpty():
-            active = None
-            break
-        active = qt.join(unsafe_ids, "query_id", "left_semi")
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
-    if active is not None:
-        # queries whose top-k could not be proven at any depth: exhaustive (still exact)
-        out = out.unionByName(rank_top_k(_exhaustive(active, index, broadcast_rows, index.hot_df).where(self_filter), top_k))
-    # the run is small (k rows per query): checkpoint it reliably, then release the round caches
-    out = cut_lineage(out.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank")))
-    for df in temps:
-        df.unpersist()
-    return out
-
-
-def _pruned_round(index: LexicalIndex, qt: DataFrame, level: int, top_k: int, self_filter, broadcast_rows: int,
-                  storage: StorageLevel, temps: list):
-    """One depth of the pruned search; returns (proven top-k rows, ids of unproven queries)."""
-    tau = F.col(f"tau{level}")
-    qt_s, _ = _maybe_broadcast(qt.select("query_id", "term", "w"), broadcast_rows)
-    ub = qt.groupBy("query_id").agg(F.sum(F.when(F.col("hot"), F.col("w") * tau).otherwise(F.lit(0.0))).alias("ub"))
-    # 1. candidates with an exact partial score: every cold-term contribution plus the
-    #    hot-term contributions found in the prefixes of this depth
-    matched = index.cand_postings.where(F.col("level") <= level).join(qt_s, "term")
-    cand = (matched.groupBy("query_id", "doc_id")
-            .agg(F.sum(F.col("w") * F.col("impact")).alias("partial"),
-                 F.sum(F.when(~F.col("hot"), F.col("w") * F.col("impact")).otherwise(F.lit(0.0))).alias("cold"))
-            .where(self_filter)
-            .persist(storage))
-    temps.append(cand)
-    # 2. lookup pruning: the true score lies in [partial, partial + ub]; the k-th best partial
-    #    is a lower bound of the k-th best true score, so candidates whose upper bound stays
-    #    below it cannot enter the top-k and skip the hot-term lookups (the 2e-6 margin keeps
-    #    every candidate that could still tie the k-th score after 6-decimal rounding)
-    w_p = Window.partitionBy("query_id").orderBy(F.col("partial").desc(), F.col("doc_id").asc())
-    low = (cand.withColumn("_r", F.row_number().over(w_p)).where(F.col("_r") == top_k)
-           .select("query_id", F.col("partial").alias("theta_low")))
-    alive = (cand.join(ub, "query_id").join(low, "query_id", "left")
-             .where(F.col("theta_low").isNull() |
-                    (F.col("partial") + F.col("ub") + F.lit(2e-6) >= F.col("theta_low"))))
-    # 3. exact score of the survivors: cold part from the join + hot terms by (doc_id, term) lookup
-    qt_hot, _ = _maybe_broadcast(qt.where("hot").select("query_id", "term", "w"), broadcast_rows)
-    hot = (alive.select("query_id", "doc_id").join(qt_hot, "query_id")
-           .join(index.hot_postings, ["doc_id", "term"])
-           .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("hot")))
-    scored = (alive.join(hot, ["query_id", "doc_id"], "left")
-              .select("query_id", "doc_id", (F.col("cold") + F.coalesce("hot", F.lit(0.0))).alias("score")))
-    top = rank_top_k(scored, top_k).persist(storage)
-    temps.append(top)
-    # 4. proof: a document outside the candidates scores below ub, so the query is exact
-    #    when ub (rounded up) is below its k-th score
-    kth = top.where(F.col("rank") == top_k).select("query_id", F.col("score").alias("theta"))
-    verdict = (ub.join(kth, "query_id", "left")
-               .select("query_id", ((F.col("ub") <= F.lit(0.0)) |
-                                    (F.col("theta").isNotNull() &
-                                     (F.round(F.col("ub") + F.lit(1e-9), C.SCORE_DECIMALS) < F.col("theta")))).alias("safe")))
-    # one row per query, checkpointed reliably: the next round starts from a short lineage
-    # instead of nesting every earlier round's plan
-    verdict = cut_lineage(verdict)
-    safe_top = top.join(verdict.where("safe").select("query_id"), "query_id", "left_semi")
-    return safe_top, verdict.where(~F.col("safe")).select("query_id")
+    """Exact top-k BM25 run ``(query_id, doc_id, score, rank)``, written block by block to the shared folder."""
+    qt = query_terms(queries, index, query_id, text).select("query_id", "term", "w").persist(storage)
+    rows, blocks = _blocked(qt, block_bytes)
+    path = scratch_path(qt.sparkSession, "bm25-run")
+    for i in blocks:
+        scored = block_scores(index, rows.where(F.col("block") == i).drop("block"))
+        if exclude_self:
+            scored = scored.where(F.col("query_id") != F.col("doc_id"))
+        run = rank_top_k(scored, top_k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+        run.write.mode("append").parquet(path)
+    qt.unpersist()
+    return qt.sparkSession.read.schema(run.schema).parquet(path)
 
 
 def bm25_multisearch_docs(index: LexicalIndex, docs: DataFrame, top_hits: int = C.BM25_HARD_NEGATIVE_HITS,
-                          doc_id: str = "doc_id", text_col: str = "full_text", strategy: str = "auto") -> DataFrame:
+                          doc_id: str = "doc_id", text_col: str = "full_text") -> DataFrame:
     """Batched multi-search with documents as queries: ``(query_id=doc id, doc_id, score, rank)``."""
     q = docs.select(F.col(doc_id).alias("query_id"), F.col(text_col).alias("text"))
-    return bm25_search(index, q, top_k=top_hits, strategy=strategy)
+    return bm25_search(index, q, top_k=top_hits)

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from docsift import constants as C
 from docsift.functions.text import normalize_text, tokenize
-from docsift.session import spread
 from docsift.operators.dense import sparse_dot
-from docsift.operators.lexical import LexicalIndex, _maybe_broadcast, query_terms, rank_top_k
+from docsift.operators.lexical import LexicalIndex, query_terms, rank_top_k, shuffle_partitions
 
 
 def _finish(scored: DataFrame, k: int) -> DataFrame:
@@ -30,13 +29,12 @@ def coverage_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame) -
     qt = (query_terms(queries, index).join(index.terms.select("term", "idf"), "term")
           .select("query_id", "term", "idf"))
     total = qt.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    # (pair, term) rows are few (depth x query terms): broadcast them behind a count check and
-    # probe the postings in place instead of shuffling the whole inverted index
-    probe, _ = _maybe_broadcast(pairs.join(qt, "query_id"), 1_000_000)
-    present = (index.postings.select("term", "doc_id").join(probe, ["term", "doc_id"])
+    # no hint: adaptive execution sees the real bytes of the (pair, term) side, and (term, doc_id) is no hot key
+    present = (index.postings.select("term", "doc_id").join(pairs.join(qt, "query_id"), ["term", "doc_id"])
                .groupBy("query_id", "doc_id").agg(F.sum("idf").alias("hit")))
-    return (pairs.join(present, ["query_id", "doc_id"], "left").join(total, "query_id")
-            .select("query_id", "doc_id", (F.coalesce("hit", F.lit(0.0)) / F.col("total")).alias("score")))
+    # left: a query without any indexed term keeps its candidates, at score 0
+    return (pairs.join(present, ["query_id", "doc_id"], "left").join(total, "query_id", "left")
+            .select("query_id", "doc_id", F.coalesce(F.col("hit") / F.col("total"), F.lit(0.0)).alias("score")))
 
 
 #: at every token boundary of " t1 t2 t3 ... " the lookahead captures the next two tokens,
@@ -54,17 +52,16 @@ def bigrams(text) -> Column:
     return F.array_distinct(F.regexp_extract_all(padded, F.lit(_BIGRAM_REGEX), 1))
 
 
-def bigram_overlap(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def bigram_overlap(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """|distinct bigrams(query) & bigrams(doc)| per (query_id, doc_id).
 
-    Each candidate document is tokenised once (semi-join with the broadcast candidate
-    ids) and its bigram set extracted in one regex pass; each pair is then a hash-set
+    Each candidate document is tokenised once (semi-join with the candidate ids) and its bigram set extracted in one regex pass; each pair is then a hash-set
     intersection (``array_intersect``), all JVM-side.
     """
     qb = queries.select("query_id", bigrams(F.col("text")).alias("qbg"))
-    cand, _ = _maybe_broadcast(pairs.select("query_id", "doc_id").join(qb, "query_id"), broadcast_rows)
-    ids, _ = _maybe_broadcast(pairs.select("doc_id").distinct(), broadcast_rows)
-    docs = (spread(corpus.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
+    cand = pairs.select("query_id", "doc_id").join(qb, "query_id")
+    docs = (corpus.select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+            .repartition(shuffle_partitions(corpus), "doc_id")
             .select("doc_id", bigrams(F.col("text")).alias("dbg")))
     return (docs.join(cand, "doc_id")
             .select("query_id", "doc_id", F.size(F.array_intersect("dbg", "qbg")).alias("overlap")))

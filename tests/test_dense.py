@@ -95,3 +95,16 @@ def test_sparse_encoder_unit_norm(spark):
     v = D.encode_hashed_tfidf(docs, 8)
     norms = {r["id"]: r["n"] for r in v.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()}
     assert set(norms) == {1, 2} and all(abs(n - 1) < 1e-9 for n in norms.values())
+
+
+def test_emitted_rows_do_not_depend_on_the_batch_size(spark, vecs):
+    """One running top-k per task: copies of a vector and short Arrow batches add no rows."""
+    df = (vecs[0] if isinstance(vecs, tuple) else vecs)
+    df = df.unionByName(df.selectExpr("id + 100000 AS id", "embedding")).coalesce(1)
+    key, n = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for rows in ("10000", "7"):
+        spark.conf.set(key, rows)
+        hits = D.dense_hits(df, df.repartition(1), 5, "dot", exclude_self=True, force="broadcast")
+        n.append((hits.count(), hits.distinct().count()))
+    spark.conf.unset(key)
+    assert n[0] == n[1] and n[0][0] == n[0][1]

@@ -1,4 +1,4 @@
-"""BM25 against a brute-force Python implementation, and strategy equivalence."""
+"""BM25 against a brute-force Python implementation, block sizes and the physical plan."""
 
 import math
 import re
@@ -62,10 +62,10 @@ def as_dict(run):
     return out
 
 
-def test_exhaustive_matches_brute_force(spark, data):
+def test_matches_brute_force(spark, data):
     corpus, queries = data
-    idx = L.bm25_index(corpus, hot_df=1000)
-    got = as_dict(L.bm25_search(idx, queries, top_k=3, strategy="exhaustive"))
+    idx = L.bm25_index(corpus)
+    got = as_dict(L.bm25_search(idx, queries, top_k=3))
     exp = {q: v for q, v in brute(DOCS, QUERIES).items() if v}
     assert got.keys() == exp.keys()
     for q in exp:
@@ -74,33 +74,33 @@ def test_exhaustive_matches_brute_force(spark, data):
             assert abs(a - b) < 2e-6
 
 
-@pytest.mark.parametrize("hot_df", [1, 2, 3])
-def test_pruned_equals_exhaustive(spark, data, hot_df):
-    """Low hot_df forces hot terms, tau prefixes and the exhaustive fallback for unsafe queries."""
+@pytest.mark.parametrize("block_bytes", [1, 400])
+def test_block_size_does_not_change_results(spark, data, block_bytes):
     corpus, queries = data
-    idx = L.bm25_index(corpus, hot_df=hot_df)
-    for k in (1, 2, 3, 5):
-        a = as_dict(L.bm25_search(idx, queries, top_k=k, strategy="pruned"))
-        b = as_dict(L.bm25_search(idx, queries, top_k=k, strategy="exhaustive"))
-        assert a == b, (hot_df, k)
+    idx = L.bm25_index(corpus)
+    for k in (1, 5):
+        assert as_dict(L.bm25_search(idx, queries, top_k=k, block_bytes=block_bytes)) == \
+            as_dict(L.bm25_search(idx, queries, top_k=k))
 
 
-def test_salted_shuffle_path_equals_broadcast(spark, data):
+def test_pairs_are_not_exchanged(spark, data):
+    """Matching pairs are grouped where the postings lie: the only wide exchange is by query, after the partial top-k."""
     corpus, queries = data
-    idx = L.bm25_index(corpus, hot_df=2)
-    a = as_dict(L.bm25_search(idx, queries, top_k=3, strategy="exhaustive", broadcast_rows=0))
-    b = as_dict(L.bm25_search(idx, queries, top_k=3, strategy="exhaustive"))
-    assert a == b
+    idx = L.bm25_index(corpus)
+    terms = L.query_terms(queries, idx).select("query_id", "term", "w").persist()
+    terms.count()
+    plan = L.rank_top_k(L.block_scores(idx, terms), 3)._jdf.queryExecution().executedPlan().toString()
+    head = plan.split("InMemoryTableScan")[0]
+    assert head.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(query_id" in head, plan
 
 
-def test_pruned_on_fixture_with_hot_terms(spark):
+def test_golden_sums_of_the_fixture(spark):
     from docsift.plans.catalog import fx1
     from tests.conftest import SF01
 
     d = fx1(spark, SF01)
-    idx = L.bm25_index(d.corpus, hot_df=50)
-    assert idx.terms.where("hot").count() > 0
-    a = L.bm25_search(idx, d.queries, strategy="pruned").agg(F.count("*"), F.sum("score"), F.sum("doc_id")).first()
+    idx = L.bm25_index(d.corpus)
+    a = L.bm25_search(idx, d.queries).agg(F.count("*"), F.sum("score"), F.sum("doc_id")).first()
     # the golden sums of SURVEY section 5
     assert a[0] == 4000 and round(a[1], 6) == 135960.259014 and a[2] == 1993558
 
@@ -117,26 +117,12 @@ def test_exclude_self_and_multisearch(spark, data):
     assert no_self.where("query_id = doc_id").count() == 0
 
 
-def test_pruned_with_rounding_ties(spark):
-    """Documents whose scores tie after 6-decimal rounding must keep the doc_id order under pruning."""
-    docs = [(i, "common " * (i % 3 + 1) + f"rare{i % 5} filler") for i in range(1, 60)]
-    corpus = spark.createDataFrame([(d, "", t, "en") for d, t in docs], "doc_id long, title string, text string, language string")
-    queries = spark.createDataFrame([(1, "common rare1", "en"), (2, "common filler", "en"), (3, "rare2 rare3", "en")],
-                                    "query_id long, text string, language string")
-    idx = L.bm25_index(corpus, hot_df=5)
-    for k in (1, 4, 10):
-        assert as_dict(L.bm25_search(idx, queries, top_k=k, strategy="pruned")) == \
-            as_dict(L.bm25_search(idx, queries, top_k=k, strategy="exhaustive"))
-
-
 def test_index_save_load_roundtrip(spark, data):
     from docsift.session import scratch_path
 
     corpus, queries = data
-    idx = L.bm25_index(corpus, hot_df=2)
+    idx = L.bm25_index(corpus)
     path = idx.save(scratch_path(spark, "idx-test"))
     loaded = L.load_index(spark, path)
-    assert (loaded.n_docs, loaded.avgdl, loaded.hot_df) == (idx.n_docs, idx.avgdl, idx.hot_df)
-    for s in ("exhaustive", "pruned"):
-        assert as_dict(L.bm25_search(loaded, queries, top_k=3, strategy=s)) == \
-            as_dict(L.bm25_search(idx, queries, top_k=3, strategy="exhaustive"))
+    assert (loaded.n_docs, loaded.avgdl) == (idx.n_docs, idx.avgdl)
+    assert as_dict(L.bm25_search(loaded, queries, top_k=3)) == as_dict(L.bm25_search(idx, queries, top_k=3))
