@@ -28,11 +28,12 @@ class RunningTopK:
     Scores = d @ q.T computed in row chunks (bounded memory).  Kept are all documents scoring at
     least the k-th best minus a tie margin, so the final ranking (rounded score desc, doc id asc) is
     unaffected by the cut; of documents with one and the same score only the ``k`` smallest ids.
+    With ``max_score``, documents of that rounded score or more are left out before the cut.
     """
 
     def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool = False,
-                 chunk_cells: int = 16_000_000):
-        self.qids, self.q, self.k, self.exclude_self = qids, q, k, exclude_self
+                 chunk_cells: int = 16_000_000, max_score: float | None = None):
+        self.qids, self.q, self.k, self.exclude_self, self.max_score = qids, q, k, exclude_self, max_score
         self.step = max(1, chunk_cells // max(len(q), 1))
         self.parts: list = []
 
@@ -44,6 +45,8 @@ class RunningTopK:
             ids = dids[lo:lo + self.step]
             if self.exclude_self:
                 s = np.where(ids[:, None] == self.qids[None, :], -np.inf, s)
+            if self.max_score is not None:
+                s = np.where(np.round(s, 6) >= self.max_score, -np.inf, s)
             mask = np.isfinite(s)
             if s.shape[0] > self.k:
                 kth = np.partition(s, s.shape[0] - self.k, axis=0)[s.shape[0] - self.k]
@@ -76,8 +79,9 @@ class RunningTopK:
         return self.qids[qi], di, sc
 
 
-def block_topk(qids: np.ndarray, q: np.ndarray, dids: np.ndarray, d: np.ndarray, k: int, exclude_self: bool = False):
+def block_topk(qids: np.ndarray, q: np.ndarray, dids: np.ndarray, d: np.ndarray, k: int, exclude_self: bool = False,
+               max_score: float | None = None):
     """``RunningTopK`` over one block."""
-    top = RunningTopK(qids, q, k, exclude_self)
+    top = RunningTopK(qids, q, k, exclude_self, max_score=max_score)
     top.add(dids, d)
     return top.result()

@@ -138,9 +138,10 @@ def _kernel_frame(qi, di, sc):
 
 
 def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot", exclude_self: bool = False,
-               force: str | None = None) -> DataFrame:
+               force: str | None = None, max_score: float | None = None) -> DataFrame:
     """Candidate hits (query_id, doc_id, raw score) containing every query's exact top-k.
 
+    With ``max_score`` the top-k of the documents whose rounded score is below it.
     ``queries``/``corpus``: (id, embedding).  ``force`` = 'broadcast' | 'blocked'.
     """
     spark = corpus.sparkSession
@@ -163,7 +164,7 @@ def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot
         def run(batches):
             # one running top-k over all batches of the partition, so the rows it emits do not depend on the batch size
             qi_all, q_mat = bc.value
-            top = RunningTopK(qi_all, q_mat, k, exclude_self)
+            top = RunningTopK(qi_all, q_mat, k, exclude_self, max_score=max_score)
             for pdf in batches:
                 if not pdf.empty:
                     dm = stack(pdf["embedding"], q_mat.shape[1])
@@ -187,15 +188,15 @@ def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot
         qm, dm = stack(qpdf["embedding"]), stack(cpdf["cemb"])
         if cos:
             qm, dm = normalize_rows(qm), normalize_rows(dm)
-        a, b, cc = block_topk(qpdf["id"].to_numpy(), qm, cpdf["cid"].to_numpy(), dm, k, exclude_self)
+        a, b, cc = block_topk(qpdf["id"].to_numpy(), qm, cpdf["cid"].to_numpy(), dm, k, exclude_self, max_score)
         return _kernel_frame(a, b, cc)
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(pair, schema)
 
 
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "dot", exclude_self: bool = False,
-                 force: str | None = None) -> DataFrame:
+                 force: str | None = None, max_score: float | None = None) -> DataFrame:
     """Exact top-k run (query_id, doc_id, score rounded to 6, rank) by dot product or cosine."""
-    hits = dense_hits(queries, corpus, k, metric, exclude_self, force)
+    hits = dense_hits(queries, corpus, k, metric, exclude_self, force, max_score)
     return rank_top_k(hits, k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
@@ -339,24 +340,17 @@ def lsh_buckets(df: DataFrame, n_tables: int, n_bits: int, dim: int, seed: int =
             .where(F.col("bucket").isNotNull()))
 
 
-def lsh_bits_for(n_rows: int, bucket_target: int = 1000) -> int:
-    """Bits per table so an average bucket holds about ``bucket_target`` corpus vectors."""
-    return max(1, min(24, math.ceil(math.log2(max(n_rows, 2) / bucket_target))))
-
-
-def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int = 4, n_bits: int | None = 4,
+def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int = 4, n_bits: int = 4,
                exclude_self: bool = False, chunk_rows: int = BUCKET_CHUNK_ROWS) -> DataFrame:
     """Multi-table LSH: candidates share a bucket in some table; exact re-score; top-k.
 
-    ``n_bits=None`` sizes the hash from the corpus (~1000 vectors per bucket).
+    ``n_bits`` decides the answer, so it is the caller's choice and never follows the corpus size.
     Hot buckets are cut into a grid: ceil(corpus rows / chunk_rows) corpus chunks times
     ceil(query rows / chunk_rows) query chunks; each chunk pair meets in one cogroup
     task, so no task holds more than ``chunk_rows`` vectors per side and every block
     emits only rows that can reach a query's top-k.
     """
     dim = len(corpus.select("embedding").first()[0])
-    if n_bits is None:  # grow the hash with the corpus so buckets stay bounded
-        n_bits = lsh_bits_for(corpus.count())
     qb = lsh_buckets(queries, n_tables, n_bits, dim)
     cb = lsh_buckets(corpus, n_tables, n_bits, dim)
     keys = ["tbl", "bucket"]

@@ -236,10 +236,11 @@ def global_index(df: DataFrame, order_cols, name: str = "idx", partitions: int |
     from docsift.session import cut_lineage
 
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
-    s = s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    s = cut_lineage(s)
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *order_cols).sortWithinPartitions(*order_cols)
+    # partition number in the upper 31 bits, row position in the lower 33: no second exchange
+    s = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    s = (s.withColumn("_pid", F.shiftright("_at", 33)).withColumn("_local", F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
+         .drop("_at"))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -22,13 +22,40 @@ def _split(spark, sf_dir):
     return P.split_queries(fx2(spark, sf_dir).queries).select("query_id", "split")
 
 
+def _parts(queries, qrels, corpus):
+    """The three tables of a dataset as rows of one: part, id, other_id, text."""
+    none, no_text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+
+    def rows(part, df, id_col, other, text):
+        return df.select(F.lit(part).alias("part"), F.col(id_col).cast("bigint").alias("id"), other.alias("other_id"), text.alias("text"))
+
+    return (rows("queries", queries, "query_id", none, F.col("text"))
+            .unionByName(rows("qrels", qrels, "query_id", F.col("doc_id").cast("bigint"), no_text))
+            .unionByName(rows("corpus", corpus, "doc_id", none, F.col("text"))))
+
+
+def _parts_sql(queries, qrels, corpus, text="text", lead=""):
+    return f"""SELECT {lead}'queries' AS part, CAST(query_id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS other_id, {text} AS text FROM {queries}
+UNION ALL SELECT {lead}'qrels', CAST(query_id AS BIGINT), CAST(doc_id AS BIGINT), NULL FROM {qrels}
+UNION ALL SELECT {lead}'corpus', CAST(doc_id AS BIGINT), NULL, {text} FROM {corpus}"""
+
+
 # -- sources (#1-#11) ---------------------------------------------------------
 
-@register("load_tables", sql="SELECT doc_id, '' AS title, text, lang AS language FROM documents")
+@register("load_tables", sql="""
+SELECT 'documents' AS part, CAST(doc_id AS BIGINT) AS id, text, lang AS tag FROM documents
+UNION ALL SELECT 'benchmark', CAST(item_id AS BIGINT), text, NULL FROM benchmark
+UNION ALL SELECT 'embeddings', CAST(vec_id AS BIGINT), NULL, CAST(label AS VARCHAR) FROM embeddings""")
 def q_load_tables(spark, sf_dir):
-    """#1 table scan projected to the corpus schema."""
-    return S.load_tables(spark, sf_dir, ["documents"])["documents"].select(
-        "doc_id", F.lit("").alias("title"), "text", F.col("lang").alias("language"))
+    """#1 scans of the three tables: corpus, queries and labelled vectors."""
+    t = S.load_tables(spark, sf_dir)
+
+    def rows(part, id_col, text, tag):
+        return t[part].select(F.lit(part).alias("part"), F.col(id_col).cast("bigint").alias("id"), text.cast("string").alias("text"),
+                              tag.cast("string").alias("tag"))
+
+    return (rows("documents", "doc_id", F.col("text"), F.col("lang")).unionByName(rows("benchmark", "item_id", F.col("text"), F.lit(None)))
+            .unionByName(rows("embeddings", "vec_id", F.lit(None), F.col("label"))))
 
 
 @register("load_beir_folder", sql=W(O.FX2) + """
@@ -83,71 +110,70 @@ def q_build_queries(spark, sf_dir):
 
 @register("build_dataset_joint", sql=W(O.FX2, """
 j_qr AS (SELECT * FROM fx2_qrels WHERE query_id IN (SELECT query_id FROM fx2_queries)),
-j_q AS (SELECT * FROM fx2_queries WHERE query_id IN (SELECT query_id FROM j_qr))""") + """
-SELECT 'corpus' AS part, count(DISTINCT doc_id) AS n FROM fx2_corpus
-UNION ALL SELECT 'queries_before', count(DISTINCT query_id) FROM fx2_queries
-UNION ALL SELECT 'qrels_queries', count(DISTINCT query_id) FROM j_qr
-UNION ALL SELECT 'queries', count(DISTINCT query_id) FROM j_q""")
+j_q AS (SELECT * FROM fx2_queries WHERE query_id IN (SELECT query_id FROM j_qr))""")
+          + _parts_sql("j_q", "j_qr", "fx2_corpus") + """
+UNION ALL SELECT 'size of corpus', count(DISTINCT doc_id), NULL, NULL FROM fx2_corpus
+UNION ALL SELECT 'size of queries_before', count(DISTINCT query_id), NULL, NULL FROM fx2_queries
+UNION ALL SELECT 'size of qrels_queries', count(DISTINCT query_id), NULL, NULL FROM j_qr
+UNION ALL SELECT 'size of queries', count(DISTINCT query_id), NULL, NULL FROM j_q""")
 def q_build_dataset_joint(spark, sf_dir):
-    """#6 joint builder: mutual query/qrels filter, sizes per part."""
+    """#6 joint builder: the three tables after the mutual query/qrels filter, and the sizes it reports."""
     d = fx2(spark, sf_dir)
-    return P.build_dataset_joint(d.queries, d.qrels, d.corpus)[3]
+    q, r, c, sizes = P.build_dataset_joint(d.queries, d.qrels, d.corpus)
+    return _parts(q, r, c).unionByName(sizes.select(
+        F.concat(F.lit("size of "), "part").alias("part"), F.col("n").alias("id"),
+        F.lit(None).cast("bigint").alias("other_id"), F.lit(None).cast("string").alias("text")))
+
 
+LANGUAGES = ("de", "en", "es", "fr")
 
-@register("concat_languages", sql=W(O.FX2) + """
-SELECT query_id, text, language FROM fx2_queries WHERE language = 'de'
-UNION ALL SELECT query_id, text, language FROM fx2_queries WHERE language = 'fr'
-UNION ALL SELECT query_id, text, language FROM fx2_queries WHERE language = 'es'""")
+
+@register("concat_languages", sql=W(O.FX2) + "\nUNION ALL ".join(
+    f"SELECT query_id, text, language FROM fx2_queries WHERE language = '{x}'" for x in LANGUAGES))
 def q_concat_languages(spark, sf_dir):
-    """#9 concatenation of per-language slices (bag union)."""
+    """#9 concatenation of all per-language slices (bag union)."""
     q = fx2(spark, sf_dir).queries
-    return P.concat_languages(*[P.filter_language(q, lang) for lang in ("de", "fr", "es")])
-
-
-@register("assemble_dataset", sql=W(O.FX2, """
-a_q AS (SELECT * FROM fx2_queries WHERE language IN ('de', 'fr', 'es')),
-a_r AS (SELECT * FROM fx2_qrels WHERE language IN ('de', 'fr', 'es')),
-a_c AS (SELECT * FROM fx2_corpus WHERE language IN ('de', 'fr', 'es')),
-a_qr AS (SELECT DISTINCT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id FROM a_r
-         WHERE doc_id IN (SELECT doc_id FROM a_c)),
-a_qq AS (SELECT * FROM a_q WHERE CAST(query_id AS VARCHAR) IN (SELECT query_id FROM a_qr))""") + """
-SELECT 'corpus' AS part, count(*) AS n FROM a_c
-UNION ALL SELECT 'qrels', count(*) FROM a_qr
-UNION ALL SELECT 'queries', count(*) FROM a_qq""")
-def q_assemble_dataset(spark, sf_dir):
-    """#10 assembly of concatenated slices into (queries, qrels, corpus): sizes per part."""
-    d = fx2(spark, sf_dir)
-    langs = ("de", "fr", "es")
-    q = P.concat_languages(*[P.filter_language(d.queries, x) for x in langs])
-    r = P.concat_languages(*[P.filter_language(d.qrels, x) for x in langs])
-    c = P.concat_languages(*[P.filter_language(d.corpus, x) for x in langs])
-    qr = P.build_qrels(r, c.withColumn("doc_id", F.col("doc_id").cast("string")), query_col="query_id", doc_col="doc_id")
-    qq = P.build_queries(q, qr, id_col="query_id")
-    return (c.select(F.lit("corpus").alias("part")).groupBy("part").count()
-            .unionByName(qr.select(F.lit("qrels").alias("part")).groupBy("part").count())
-            .unionByName(qq.select(F.lit("queries").alias("part")).groupBy("part").count())
-            .withColumnRenamed("count", "n"))
+    return P.concat_languages(*[P.filter_language(q, lang) for lang in LANGUAGES])
 
 
-def create_dataset(spark, sf_dir, language="de", language_long="german", remove_stopwords=True, use_subset=False):
-    """#11 dataset factory on FX-2."""
+@register("assemble_dataset", sql=W(O.FX2, f"""
+a_q AS (SELECT * FROM fx2_queries WHERE language IN {LANGUAGES}),
+a_r AS (SELECT * FROM fx2_qrels WHERE language IN {LANGUAGES}),
+a_c AS (SELECT * FROM fx2_corpus WHERE language IN {LANGUAGES}),
+a_qr AS (SELECT DISTINCT query_id, doc_id FROM a_r WHERE doc_id IN (SELECT doc_id FROM a_c)),
+a_qq AS (SELECT * FROM a_q WHERE query_id IN (SELECT query_id FROM a_qr))""") + _parts_sql("a_qq", "a_qr", "a_c"))
+def q_assemble_dataset(spark, sf_dir):
+    """#10 assembly of all concatenated slices into (queries, qrels, corpus)."""
     d = fx2(spark, sf_dir)
-    return P.create_dataset(d.queries, d.qrels, d.corpus, language, language_long, remove_stopwords, use_subset)
+    q, r, c = (P.concat_languages(*[P.filter_language(df, x) for x in LANGUAGES]) for df in (d.queries, d.qrels, d.corpus))
+    qr = P.build_qrels(r, c.withColumn("doc_id", F.col("doc_id").cast("string")), query_col="query_id", doc_col="doc_id")
+    return _parts(P.build_queries(q, qr, id_col="query_id"), qr, c)
 
 
-@register("create_dataset", sql=W(O.FX2) + f"""
-SELECT 'queries' AS part, query_id AS id, CAST(NULL AS BIGINT) AS other_id, {O.remove_stopwords('text', 'german')} AS text
-FROM fx2_queries WHERE language = 'de'
-UNION ALL SELECT 'qrels', query_id, doc_id, NULL FROM fx2_qrels WHERE language = 'de'
-UNION ALL SELECT 'corpus', doc_id, NULL, {O.remove_stopwords('text', 'german')} FROM fx2_corpus WHERE language = 'de'""")
+SUBSET_CTES = """
+w AS (SELECT DISTINCT query_id FROM fx2_qrels ORDER BY query_id LIMIT 101),
+j AS (SELECT r.query_id, r.doc_id, coalesce(length(c.text), 0) > 10 AS is_long
+      FROM fx2_qrels r JOIN w ON r.query_id = w.query_id LEFT JOIN fx2_corpus c ON r.doc_id = c.doc_id),
+keep AS (SELECT query_id FROM j GROUP BY query_id HAVING arg_max(is_long, doc_id))"""
+
+
+@register("create_dataset", sql=W(O.FX2, SUBSET_CTES, """
+de_q AS (SELECT * FROM fx2_queries WHERE language = 'de'), de_r AS (SELECT * FROM fx2_qrels WHERE language = 'de'),
+de_c AS (SELECT * FROM fx2_corpus WHERE language = 'de'),
+su_q AS (SELECT * FROM fx2_queries WHERE query_id IN (SELECT query_id FROM keep)),
+su_r AS (SELECT * FROM j WHERE query_id IN (SELECT query_id FROM keep)),
+su_c AS (SELECT * FROM fx2_corpus WHERE doc_id IN (SELECT doc_id FROM j WHERE is_long))""") + "\nUNION ALL ".join((
+    _parts_sql("de_q", "de_r", "de_c", O.remove_stopwords("text", "german"), "'de without stopwords' AS branch, "),
+    _parts_sql("fx2_queries", "fx2_qrels", "fx2_corpus", lead="'mixed' AS branch, "),
+    _parts_sql("su_q", "su_r", "su_c", lead="'mixed subset' AS branch, "))))
 def q_create_dataset(spark, sf_dir):
-    """#11 dataset factory: 'de' slice of FX-2 with German stopwords removed (queries, qrels, corpus)."""
-    q, r, c = create_dataset(spark, sf_dir)
-    return (q.select(F.lit("queries").alias("part"), F.col("query_id").alias("id"), F.lit(None).cast("bigint").alias("other_id"), "text")
-            .unionByName(r.select(F.lit("qrels").alias("part"), F.col("query_id").alias("id"), F.col("doc_id").alias("other_id"),
-                                  F.lit(None).cast("string").alias("text")))
-            .unionByName(c.select(F.lit("corpus").alias("part"), F.col("doc_id").alias("id"),
-                                  F.lit(None).cast("bigint").alias("other_id"), "text")))
+    """#11 dataset factory on FX-2: German slice without stopwords, everything as it is, and the length-aware subset."""
+    d = fx2(spark, sf_dir)
+    branches = {"de without stopwords": ("de", "german", True, False), "mixed": ("mixed", None, False, False),
+                "mixed subset": ("mixed", None, False, True)}
+    out = [_parts(*P.create_dataset(d.queries, d.qrels, d.corpus, *args)).withColumn("branch", F.lit(name))
+           for name, args in branches.items()]
+    return P.concat_languages(*out)
 
 
 # -- filters and projections (#12-#18) -------------------------------------------
@@ -159,25 +185,24 @@ def q_filter_language(spark, sf_dir):
 
 
 @register("slice_by_language", sql=W(O.FX2) + """
-SELECT 'queries' AS part, language, count(*) AS n FROM fx2_queries GROUP BY language
-UNION ALL SELECT 'qrels', language, count(*) FROM fx2_qrels GROUP BY language""")
+SELECT 'queries' AS part, language, query_id, CAST(NULL AS BIGINT) AS doc_id FROM fx2_queries
+UNION ALL SELECT 'qrels', language, query_id, doc_id FROM fx2_qrels
+UNION ALL SELECT 'corpus', language, NULL, doc_id FROM fx2_corpus""")
 def q_slice_by_language(spark, sf_dir):
-    """#13 per-language slices kept as a column: sizes per (part, language)."""
+    """#13 per-language slices of the three tables, kept as a column."""
     d = fx2(spark, sf_dir)
-    return (d.queries.groupBy("language").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("queries"))
-            .unionByName(d.qrels.groupBy("language").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("qrels"))))
+    none = F.lit(None).cast("bigint")
+    return (d.queries.select(F.lit("queries").alias("part"), "language", "query_id", none.alias("doc_id"))
+            .unionByName(d.qrels.select(F.lit("qrels").alias("part"), "language", "query_id", "doc_id"))
+            .unionByName(d.corpus.select(F.lit("corpus").alias("part"), "language", none.alias("query_id"), "doc_id")))
 
 
-@register("filter_data", sql=W(O.FX2) + """
-SELECT 'queries' AS part, count(*) AS n FROM fx2_queries WHERE language = 'en'
-UNION ALL SELECT 'qrels', count(*) FROM fx2_qrels WHERE language = 'en'
-UNION ALL SELECT 'corpus', count(*) FROM fx2_corpus WHERE language = 'en'""")
+@register("filter_data", sql=W(O.FX2, *[f"f_{t} AS (SELECT * FROM fx2_{t} WHERE language = 'en')" for t in ("queries", "qrels", "corpus")])
+          + _parts_sql("f_queries", "f_qrels", "f_corpus"))
 def q_filter_data(spark, sf_dir):
-    """#14 three-table slice on one language: sizes."""
+    """#14 three-table slice on one language."""
     d = fx2(spark, sf_dir)
-    q, r, c = P.filter_data(d.queries, d.qrels, d.corpus, "en")
-    return (q.select(F.lit("queries").alias("part")).unionByName(r.select(F.lit("qrels").alias("part")))
-            .unionByName(c.select(F.lit("corpus").alias("part"))).groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    return _parts(*P.filter_data(d.queries, d.qrels, d.corpus, "en"))
 
 
 @register("filter_short_queries", sql=W(O.FX2) + "SELECT query_id, coalesce(length(text), 0) <= 3 AS is_short FROM fx2_queries")
@@ -270,11 +295,7 @@ def q_closure_subset(spark, sf_dir):
             .unionByName(c.select(F.lit("corpus").alias("part"), F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("other_id"))))
 
 
-@register("create_subset", sql=W(O.FX2, """
-w AS (SELECT DISTINCT query_id FROM fx2_qrels ORDER BY query_id LIMIT 101),
-j AS (SELECT r.query_id, r.doc_id, coalesce(length(c.text), 0) > 10 AS is_long
-      FROM fx2_qrels r JOIN w ON r.query_id = w.query_id LEFT JOIN fx2_corpus c ON r.doc_id = c.doc_id),
-keep AS (SELECT query_id FROM j GROUP BY query_id HAVING arg_max(is_long, doc_id))""") + """
+@register("create_subset", sql=W(O.FX2, SUBSET_CTES) + """
 SELECT 'queries' AS part, query_id AS id, CAST(NULL AS BIGINT) AS other_id FROM keep
 UNION ALL SELECT 'qrels', query_id, doc_id FROM j WHERE query_id IN (SELECT query_id FROM keep)
 UNION ALL SELECT 'corpus', doc_id, NULL FROM (SELECT DISTINCT doc_id FROM j WHERE is_long)

@@ -90,11 +90,14 @@ def fx1_towers(spark, sf_dir):
 TOWERS_SQL = O.hashed_tfidf_ctes("h", "fx1_corpus", HASH_DIM, queries="fx1_queries")
 
 
-@register("encode_two_tower", sql=W(O.FX1, TOWERS_SQL) + "SELECT id AS query_id, dim, round(w, 6) + CAST(0 AS DOUBLE) AS w FROM h_qv")
+@register("encode_two_tower", sql=W(O.FX1, TOWERS_SQL) + """
+SELECT 'query' AS tower, id, dim, round(w, 6) + CAST(0 AS DOUBLE) AS w FROM h_qv
+UNION ALL SELECT 'document', id, dim, round(w, 6) + CAST(0 AS DOUBLE) FROM h_dv""")
 def q_encode_two_tower(spark, sf_dir):
-    """#45 query tower (binary * idf) sharing the corpus idf with the document tower."""
-    qv, _ = fx1_towers(spark, sf_dir)
-    return qv.select(F.col("id").alias("query_id"), "dim", (F.round("w", 6) + F.lit(0.0)).alias("w"))
+    """#45 query tower (binary * idf) and document tower ((1 + ln tf) * idf) over the corpus idf."""
+    qv, dv = fx1_towers(spark, sf_dir)
+    out = qv.withColumn("tower", F.lit("query")).unionByName(dv.withColumn("tower", F.lit("document")))
+    return out.select("tower", "id", "dim", (F.round("w", 6) + F.lit(0.0)).alias("w"))
 
 
 # -- exact dense search (#46-#48) ---------------------------------------------------
@@ -122,7 +125,9 @@ def q_dense_search_cosine(spark, sf_dir):
 def q_flat_ip_search(spark, sf_dir):
     """#48 flat inner-product index: vectors persisted as an index artefact, then exact search."""
     v = fx3(spark, sf_dir)
-    idx = S.save_or_load_index(spark, lambda: v, scratch_path(spark, "index"), "fx3", "flat")
+    base = scratch_path(spark, "index")
+    S.save_or_load_index(spark, lambda: v, base, "fx3", "flat")
+    idx = S.save_or_load_index(spark, lambda: v, base, "fx3", "flat")  # found complete: read, not built
     return D.dense_search(v, idx, DENSE_K, "dot", exclude_self=True)
 
 

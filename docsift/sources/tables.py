@@ -93,7 +93,7 @@ def save_or_load_index(spark: SparkSession, build, base: str, prefix: str, ext:
     written Parquet table is the artefact (no separate id map: ids are a column).
     """
     path = index_path(base, prefix, ext)
-    if not path_exists(spark, path):
+    if not path_exists(spark, f"{path}/_SUCCESS"):  # a folder without the mark is half written
         writer = build().write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
