@@ -341,9 +341,10 @@ def lsh_buckets(df: DataFrame, n_tables: int, n_bits: int, dim: int, seed: int =
 
 
 def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int = 4, n_bits: int = 4,
-               exclude_self: bool = False, chunk_rows: int = BUCKET_CHUNK_ROWS) -> DataFrame:
+               exclude_self: bool = False, chunk_rows: int = BUCKET_CHUNK_ROWS, flips: int = 0) -> DataFrame:
     """Multi-table LSH: candidates share a bucket in some table; exact re-score; top-k.
 
+    With ``flips`` a query also probes the buckets whose keys differ from its own in up to that many bits.
     ``n_bits`` decides the answer, so it is the caller's choice and never follows the corpus size.
     Hot buckets are cut into a grid: ceil(corpus rows / chunk_rows) corpus chunks times
     ceil(query rows / chunk_rows) query chunks; each chunk pair meets in one cogroup
@@ -352,6 +353,10 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int
     """
     dim = len(corpus.select("embedding").first()[0])
     qb = lsh_buckets(queries, n_tables, n_bits, dim)
+    if flips:
+        masks = [m for m in range(1 << n_bits) if m.bit_count() <= flips]
+        qb = (qb.withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
+              .select("id", "embedding", "tbl", F.col("bucket").bitwiseXOR(F.col("mask")).alias("bucket")))
     cb = lsh_buckets(corpus, n_tables, n_bits, dim)
     keys = ["tbl", "bucket"]
     grid = (cb.groupBy(*keys).agg(F.count(F.lit(1)).alias("nd"))

@@ -71,6 +71,21 @@ def test_ann_and_quantised_recall(spark):
     assert r_pq > 0.2
 
 
+def test_ann_multi_probe_recall(spark):
+    from docsift.sources.fixtures import fx3_vectors
+
+    v = fx3_vectors(spark, SF01).select("id", "embedding")
+    exact = as_lists(D.dense_search(v, v, 10, exclude_self=True))
+    ann = as_lists(D.ann_search(v, v, 10, n_tables=4, n_bits=4, exclude_self=True, flips=1))
+    got = {name: _recall(as_lists(run), exact, 10) for name, run in (
+        ("pq", D.pq_search(v, v, 10, m=8, n_centroids=16, exclude_self=True)),
+        ("pca", D.pca_search(v, v, 10, 16, exclude_self=True)),
+        ("pca_pq", D.pca_pq_search(v, v, 10, 16, 4, 16, exclude_self=True)))}
+    print(f"recall@10 ann flips=1 {_recall(ann, exact, 10):.4f} {got}")
+    assert _recall(ann, exact, 10) >= 0.9
+    assert min(got.values()) > 0
+
+
 def test_ann_hot_bucket_chunking(spark, vecs):
     """A bucket split into many chunks gives the same answer as one chunk."""
     df, _ = vecs
