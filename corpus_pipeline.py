@@ -32,8 +32,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest doc_id."""
+    """One document of each near-duplicate group: the one of the smallest doc_id, a null one last.
+
+    Texts are told apart even where they share a doc_id or have none.  Rows equal in both stay or go together.
+    """
     _ready(spark)
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    keys = docs.select("doc_id", digest.alias("digest"))
+    odd = (keys.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+           .where(F.col("doc_id").isNull() | (F.col("a") != F.col("b"))))
+    if odd.limit(1).count():  # doc_id does not name a text: number the texts in its order
+        keys = stored(keys.distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+                      .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"),
+                              F.monotonically_increasing_id().alias("_row")), "near-keys")
+        rows = stored(docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
+                      .select(*docs.columns, "_row"), "near-rows")
+        found = lsh_forest.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+        copies = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "near-copies")
+        return rows.join(copies, "_row", "left_anti").select(docs.columns)
     copies = stored(lsh_forest.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 

@@ -49,6 +49,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     words hold and match nothing.  Rows with one id
     are judged one by one, and equal results are given once.  Null ids are kept as such.  Empty tables give no rows.
     """
+    return _leaks(docs, items, threshold, n).drop("doc").distinct()
+
+
+def _leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
+    """``leaked_items`` with ``doc``, the digest of the text that holds the item."""
     items = stored(shingled(items.select("item_id", "text").distinct(), "item_id", n=n)
                    .distinct()
                    .withColumn("item", F.xxhash64("item_id", "shingles")), "leak-items")
@@ -69,16 +74,16 @@ def leaked_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     pairs = stored(pairs.distinct(), "leak-pairs")
 
     found = texts.withColumn("doc", F.xxhash64("doc_id", "text")).join(pairs.select("doc").distinct(), "doc", "left_semi")
-    full = shingled(found, "doc", "doc_id", n=n)
+    full = shingled(found.withColumn("digest", F.md5("text")), "doc", "digest", "doc_id", n=n)
     shared = F.size(F.array_intersect("shingles", "item_shingles"))
     return (pairs.join(items.withColumnRenamed("shingles", "item_shingles"), "item").join(full, "doc")
-            .select("doc_id", "item_id", shared.cast("long").alias("n_shared"),
+            .select(F.col("digest").alias("doc"), "doc_id", "item_id", shared.cast("long").alias("n_shared"),
                     F.size("item_shingles").cast("long").alias("n_item"))
             .withColumn("containment", F.col("n_shared") / F.col("n_item"))
-            .where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold)).distinct())
+            .where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold)))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns kept."""
-    leaked = leaked_items(docs, items, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """The rows of ``docs`` that hold no item, all columns kept; decided by each row's text, whatever its doc_id."""
+    leaked = _leaks(docs, items, **options).select(F.col("doc").alias("_leaked")).distinct()
+    return docs.join(leaked, F.md5("text") == F.col("_leaked"), "left_anti")

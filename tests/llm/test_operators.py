@@ -168,6 +168,22 @@ def test_decontamination_edges(spark):
     assert decontam.leaked_items(docs.limit(0), items).count() == 0 == decontam.leaked_items(docs, items.limit(0)).count()
 
 
+def test_pipeline_decides_by_row_not_by_doc_id(spark):
+    import corpus_pipeline as C
+    item = " ".join(f"q{i}" for i in range(30))
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = table(spark, [(None, a), (None, item), (None, b), (7, c), (7, c + " " + item), (8, d), (None, None), (7, None)])
+    got = sorted(str((r.doc_id, r.text)) for r in decontam.clean_documents(docs, items).collect())
+    assert got == sorted(map(str, [(None, a), (None, b), (7, c), (8, d), (None, None), (7, None)]))
+
+    docs = table(spark, [(3, a), (5, a), (5, b), (5, c), (2, c + " end"), (None, d), (None, a + " end"), (None, b), (None, None), (4, "")])
+    got = C.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(
+        map(str, [(3, a), (5, b), (2, c + " end"), (None, d), (None, None), (4, "")]))
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     import __spark_entry__ as E
     docs = common.documents(spark, SF001)
