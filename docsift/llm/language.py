@@ -4,8 +4,11 @@ Per language a suffix automaton is built over labelled text.  A text is parsed g
 phrases that occur in the training text; the language that needs the fewest phrases a character wins.
 
 The automata come from a bounded sample of labelled rows: per language the ``SAMPLE_DOCS`` usable texts of least
-md5(doc_id), of ``MIN_CHARS`` to ``MAX_CHARS`` characters, up to ``TRAIN_CHARS`` characters in all.  As transition
-tables they are broadcast; their size is bounded by 2 * TRAIN_CHARS states of SYMBOLS four-byte entries a language.
+md5(doc_id), of ``MIN_CHARS`` to ``MAX_CHARS`` characters, up to ``TRAIN_CHARS`` characters in all.
+
+Every automaton has the letters of its own sample as alphabet.  Its ``SYMBOLS`` most frequent ones move through a
+dense table, the others through a sorted list of (state, letter); both are broadcast.  They are bounded by
+2 * TRAIN_CHARS states of SYMBOLS four-byte entries and 3 * TRAIN_CHARS listed moves a language.
 Tasks parse many texts in step: every text is cut into blocks of ``BLOCK`` symbols, a phrase ends at its block's
 end, and one numpy operation moves all blocks of a batch by one symbol.  Whole texts are parsed.
 """
@@ -42,8 +45,8 @@ def normalise(text: str) -> str:
     return GAP.join("".join(c if c.isalpha() else GAP for c in text.lower()).split())
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transition table of the automaton of all substrings; state 0 is dead, state 1 the start."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Moves {symbol: state} out of every state of the automaton of all substrings; state 0 is dead, state 1 the start."""
     step: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in symbols:
@@ -69,31 +72,74 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.zeros((len(step), n_symbols), np.int32)
-    for state, moves in enumerate(step):
-        for c, to in moves.items():
-            table[state, c] = to
-    return table
+    return step
+
+
+class Automaton:
+    """Suffix automaton of a normalised text over its own letters; symbol 0 is any other letter, 1 the gap."""
+
+    def __init__(self, text: str):
+        letters = sorted(Counter(text.replace(GAP, "")).items(), key=lambda x: (-x[1], x[0]))
+        self.codes = {GAP: 1} | {c: i for i, (c, _) in enumerate(letters, 2)}
+        self.width = len(self.codes) + 1
+        step = suffix_automaton([self.codes[c] for c in text])
+        self.table = np.zeros((len(step), SYMBOLS), np.int32)
+        self.start = np.zeros(self.width, np.int32)
+        rare = []
+        for state, moves in enumerate(step):
+            for c, to in moves.items():
+                if state == 1:
+                    self.start[c] = to
+                if c < SYMBOLS:
+                    self.table[state, c] = to
+                else:
+                    rare.append((state * self.width + c, to))
+        rare.sort()
+        self.keys = np.array([k for k, _ in rare], np.int64)
+        self.to = np.array([to for _, to in rare], np.int32)
+
+    def count(self, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Phrases of every lane of symbols; ``active`` lanes are left in each row."""
+        table = self.table.reshape(-1)
+        listed = len(self.keys) and lanes.max(initial=0) >= SYMBOLS
+        counts = np.zeros(lanes.shape[1], np.int32)
+        state = np.full(lanes.shape[1], 1, np.int64)
+        for row, n in zip(lanes, active):
+            c, s = row[:n], state[:n]
+            if listed:
+                far = np.flatnonzero(c >= SYMBOLS)
+                to = table[s * SYMBOLS + np.where(c < SYMBOLS, c, 0)]
+                key = s[far] * self.width + c[far]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[far] = np.where(self.keys[at] == key, self.to[at], 0)
+            else:
+                to = table[s * SYMBOLS + c]
+            miss = to == 0
+            counts[:n] += miss
+            state[:n] = np.maximum(np.where(miss, self.start[c], to), 1)
+        return counts + 1  # the phrase that the block's end closes
 
 
 class Parser:
-    """Automata of all languages over one alphabet; counts phrases of many texts at once."""
+    """Automata of all languages; counts phrases of many texts at once."""
 
     def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS):
         texts = {lang: GAP.join(map(normalise, rows))[:train_chars] for lang, rows in sorted(samples.items())}
         texts = {lang: t for lang, t in texts.items() if t.strip()}
-        common = Counter("".join(texts.values()).replace(GAP, "")).most_common(SYMBOLS - 2)
-        self.codes = {GAP: 1} | {c: i for i, (c, _) in enumerate(sorted(common), 2)}  # 0: any other letter
         self.langs = list(texts)
-        self.tables = [suffix_automaton([self.codes.get(c, 0) for c in t], SYMBOLS) for t in texts.values()]
-        for table in self.tables:
-            table[:, 0] = 0  # a letter outside the alphabet is never part of a phrase
+        self.automata = [Automaton(t) for t in texts.values()]
+        letters = sorted(set().union(*(a.codes for a in self.automata)) - {GAP})
+        self.codes = {GAP: 1} | {c: i for i, c in enumerate(letters, 2)}  # 0: a letter of no automaton
+        self.own = np.zeros((len(self.langs), len(self.codes) + 1), np.int32)  # code -> symbol of each automaton
+        for own, automaton in zip(self.own, self.automata):
+            for c, symbol in automaton.codes.items():
+                own[self.codes[c]] = symbol
         self._lookup = None
 
     def lookup(self) -> np.ndarray:
-        """Symbol of every code point; 255 for what is no letter."""
+        """Code of every code point; -1 for what is no letter."""
         if self._lookup is None:
-            table = np.full(0x110000, 255, np.uint8)
+            table = np.full(0x110000, -1, np.int32)
             for first in range(0, 0x110000, 4096):
                 for c in range(first, first + 4096):
                     if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
@@ -105,13 +151,13 @@ class Parser:
         return self.__dict__ | {"_lookup": None}
 
     def encode(self, text: str) -> np.ndarray:
-        """Symbols of a text, each run of other characters as one gap, none at the ends; empty without letters."""
+        """Codes of a text, each run of other characters as one gap, none at the ends; empty without letters."""
         raw = self.lookup()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-        gap = raw == 255
+        gap = raw < 0
         keep = ~gap
         keep[1:] |= gap[1:] & ~gap[:-1]
         out = np.where(gap, 1, raw)[keep]
-        return out[int(gap[0]): len(out) - int(gap[-1])] if len(raw) and not gap.all() else np.empty(0, np.uint8)
+        return out[int(gap[0]): len(out) - int(gap[-1])] if len(raw) and not gap.all() else np.empty(0, np.int32)
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(len(texts), languages): phrases of each text by each language."""
@@ -121,31 +167,18 @@ class Parser:
         for first in range(0, len(blocks), LANES):
             part = blocks[first:first + LANES]
             lengths = np.array([min(BLOCK, len(texts[i]) - at) for i, at in part])
-            lanes = np.zeros((lengths[0], len(part)), np.int64)
+            lanes = np.zeros((lengths[0], len(part)), np.int32)
             for lane, (i, at) in enumerate(part):
                 lanes[:lengths[lane], lane] = texts[i][at:at + BLOCK]
             active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
             owner = np.array([i for i, _ in part])
-            for lang, table in enumerate(self.tables):
-                out[:, lang] += np.bincount(owner, self._count(table.reshape(-1), lanes, active), len(texts)).astype(np.int64)
+            for lang, automaton in enumerate(self.automata):
+                out[:, lang] += np.bincount(owner, automaton.count(self.own[lang][lanes], active), len(texts)).astype(np.int64)
         return out
 
-    @staticmethod
-    def _count(table: np.ndarray, lanes: np.ndarray, active: np.ndarray) -> np.ndarray:
-        start = table[SYMBOLS:2 * SYMBOLS]
-        counts = np.zeros(lanes.shape[1], np.int32)
-        state = np.full(lanes.shape[1], 1, np.int64)
-        for row, n in zip(lanes, active):
-            c, s = row[:n], state[:n]
-            to = table[s * SYMBOLS + c]
-            miss = to == 0
-            counts[:n] += miss
-            state[:n] = np.maximum(np.where(miss, start[c], to), 1)
-        return counts + 1  # the phrase that the block's end closes
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: 1 - fewest phrases / second fewest, 1 for a single language."""
-        codes = [self.encode(t) if t else np.empty(0, np.uint8) for t in texts]
+        codes = [self.encode(t) if t else np.empty(0, np.int32) for t in texts]
         counts = self.phrases(codes)
         langs, scores = [], []
         for symbols, n in zip(codes, counts):

@@ -196,6 +196,27 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_every_language_keeps_its_letters():
+    rng = np.random.default_rng(4)
+    first = {"zh": 0x4E00, "ru": 0x430, "el": 0x3B1, "he": 0x5D0, "ar": 0x628, "th": 0xE01, "hi": 0x915, "ka": 0x10D0,
+             "hy": 0x561, "am": 0x1200, "ja": 0x3042, "ko": 0xAC00, "en": ord("a")}
+    words = {k: ["".join(chr(at + i) for i in rng.integers(0, 1500 if k == "zh" else 17, 4)) for _ in range(400)] for k, at in first.items()}
+    text = {k: lambda n, w=w: " ".join(rng.choice(w, n)) for k, w in words.items()}
+    parser = language.Parser({k: [t(800)] for k, t in text.items()})
+    held = {k: t(20) for k, t in text.items()}
+    assert parser.predict(list(held.values()))[0] == list(held)
+    sample = language.normalise(text["zh"](600))
+    parser = language.Parser({"zh": [sample]})
+    asked, plain, at = language.normalise(sample[:200] + "".join(c for c in held["zh"] if c in sample) + sample[500:700]), 0, 0
+    while at < len(asked):
+        n = 1
+        while at + n < len(asked) and asked[at:at + n + 1] in sample:
+            n += 1
+        plain, at = plain + 1, at + n
+    codes = parser.encode(asked)
+    assert len(codes) < language.BLOCK and len(parser.automata[0].keys) and parser.phrases([codes])[0, 0] == plain
+
+
 def test_cross_parse_counts_equal_a_plain_parse():
     text, train = "abracadabra banana cadabra", "abra cadabra ban"
     parser = language.Parser({"x": [train]})
