@@ -3,8 +3,10 @@
 Per language a suffix automaton is built over labelled text.  A text is parsed greedily into the longest
 phrases that occur in the training text; the language that needs the fewest phrases a character wins.
 
-The automata come from a bounded sample of labelled rows: per language the ``SAMPLE_DOCS`` usable texts of least
-md5(doc_id), of ``MIN_CHARS`` to ``MAX_CHARS`` characters, up to ``TRAIN_CHARS`` characters in all.
+The automata come from a bounded sample of labelled rows: per language the ``SAMPLE_DOCS`` texts of least md5(doc_id),
+up to ``TRAIN_CHARS`` characters in all.  Texts of ``MIN_CHARS`` to ``MAX_CHARS`` characters come first; others, long
+ones cut to ``MAX_CHARS``, fill the places that these leave.  Where so many texts stay below ``TRAIN_CHARS``, as many
+more are taken as it needs at their mean length.
 
 Every automaton has the letters of its own sample as alphabet.  Its ``SYMBOLS`` most frequent ones move through a
 dense table, the others through a sorted list of (state, letter); both are broadcast.  They are bounded by
@@ -194,13 +196,24 @@ class Parser:
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, train_chars: int = TRAIN_CHARS) -> Parser:
     """Parser from a bounded sample of (doc_id, text, lang) rows; null languages and texts are left out."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.length("text").between(MIN_CHARS, MAX_CHARS))
-    order = Window.partitionBy("lang").orderBy("key", "text")
-    rows = (usable.select("lang", "text", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
-            .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_docs))
-    samples: dict[str, list[tuple]] = {}
-    for r in rows.toLocalIterator():  # bounded: sample_docs texts of MAX_CHARS a language
-        samples.setdefault(r["lang"], []).append((r["n"], r["text"]))
+    fits = F.length("text").between(MIN_CHARS, MAX_CHARS)
+    usable = (labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+              .select("lang", "text", fits.alias("fits"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")))
+    order = Window.partitionBy("lang").orderBy(F.col("fits").desc(), "key", "text")
+
+    def first(rows: DataFrame, n: int) -> dict[str, list[tuple]]:
+        got: dict[str, list[tuple]] = {}
+        for r in (rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+                  .select("lang", "n", F.substring("text", 1, MAX_CHARS).alias("text")).toLocalIterator()):  # bounded: n texts a language
+            got.setdefault(r["lang"], []).append((r["n"], r["text"]))
+        return got
+
+    samples = first(usable, sample_docs)
+    chars = {lang: len(GAP.join(normalise(t) for _, t in x)) for lang, x in samples.items()}
+    short = {lang: -(-train_chars * len(x) // max(chars[lang], 1)) for lang, x in samples.items()
+             if len(x) == sample_docs and chars[lang] < train_chars}
+    if short:  # at most train_chars texts a language, of train_chars characters at their mean length
+        samples |= first(usable.where(F.col("lang").isin(list(short))), min(max(short.values()), train_chars))
     return Parser({lang: [t for _, t in sorted(x)] for lang, x in samples.items()}, train_chars)
 
 

@@ -196,6 +196,18 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_languages_of_short_and_of_long_texts_are_learned(spark):
+    rng = np.random.default_rng(3)
+    words = {k: ["".join(rng.choice(list(k), 5)) for _ in range(50)] for k in ("abcdef", "ghijkl", "mnopqr")}
+    text = {k: lambda n, w=w: " ".join(rng.choice(w, n)) for k, w in words.items()}
+    rows = [(i, text["abcdef"](60), "mid") for i in range(70)] + [(100 + i, text["ghijkl"](4), "notes") for i in range(300)]
+    rows += [(500 + i, text["mnopqr"](5000), "books") for i in range(2)] + [(600, "12 34", "digits"), (601, None, "none"), (602, "xyz", None)]
+    parser = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert parser.langs == ["books", "mid", "notes"]
+    assert parser.predict([text[k](12) for k in words])[0] == ["mid", "notes", "books"]
+    assert len(parser.automata[2].table) > 64 * 24  # more than 64 notes
+
+
 def test_every_language_keeps_its_letters():
     rng = np.random.default_rng(4)
     first = {"zh": 0x4E00, "ru": 0x430, "el": 0x3B1, "he": 0x5D0, "ar": 0x628, "th": 0xE01, "hi": 0x915, "ka": 0x10D0,
