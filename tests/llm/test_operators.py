@@ -141,6 +141,27 @@ def test_license_scan_edges(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_license_scan_finds_wrapped_and_inner_notices(spark):
+    import textwrap
+    prose = "\n".join(f"the text of line {i} tells of this and of that, and of the software" for i in range(40))
+    texts, want = [], {}
+    for name, template in licenses.TEMPLATES:
+        if len(template.split()) > 8:  # wrapped above prose
+            want[len(texts)] = (name, 1)
+            texts.append(textwrap.fill(template, 72) + "\n" + prose)
+        want[len(texts)] = (name, 1)  # a sentence of a longer line
+        texts.append("Here it is told who wrote these pages, and when. " + template + " More of it is told in the next part of the pages.")
+    want[len(texts)] = ("MIT", 2)  # a matching line and, apart from it, an inner notice
+    texts.append(f"Released under the MIT License.\n{prose} Released under the MIT License. {prose}")
+    want[len(texts)] = ("MIT", 1)
+    texts.append(prose + "\nReleased under\nthe MIT License.\n" + prose)
+    texts.append(prose)
+    got = {r.doc_id: (r.license, r.n_units) for r in licenses.license_scan(table(spark, enumerate(texts))).collect()}
+    assert got == want
+    twice = licenses.license_scan(table(spark, [(1, texts[0]), (1, texts[0]), (None, texts[0])])).collect()
+    assert {(r.doc_id, r.n_units) for r in twice} == {(1, 2), (None, 1)}
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in rng.integers(0, 500, 200)]
