@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document.  Documents are counted by vote
 pattern (at most 3^labellers patterns), and expectation-maximisation over these counts, which cover all documents,
 estimates the class prior and every labeller's accuracies.  The posterior of a document's pattern is its weak label.
-A hashed linear scorer (logistic) is trained on the posteriors of a bounded sample, ``SAMPLE_DOCS`` documents a
+A hashed linear scorer (logistic) is trained on the posteriors of a bounded sample, ``SAMPLE_DOCS`` distinct texts a
 class with the least md5(doc_id), and scores all whole texts.
 
 Scorer features: relative frequency of each word and of each word shape, hashed, and binned document ratios.
@@ -185,9 +185,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel,
     def vote(batches):
         for batch in sliced(batches):
             got = [votes(statistics(t.split(), t)) if t else "-" * len(LABELLERS) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string()), batch.column(2)],
+                                             names=["doc_id", "votes", "digest"])
 
-    voted = stored(docs.select("doc_id", "text").mapInArrow(vote, "doc_id long, votes string"), "quality-votes")
+    voted = stored(docs.select("doc_id", "text", F.md5("text").alias("digest"))
+                   .mapInArrow(vote, "doc_id long, votes string, digest string"), "quality-votes")
     counts = {r["votes"]: r["n"] for r in  # bounded: 3^labellers patterns
               voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
     model = LabelModel({p: n for p, n in counts.items() if p.strip("-")})
@@ -196,21 +198,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel,
     chosen = {}
     for good in (True, False):
         patterns = [p for p, x in model.posterior.items() if (x >= CONFIDENT if good else x <= 1 - CONFIDENT)]
-        for r in voted.where(F.col("votes").isin(patterns)).orderBy(key, "votes").limit(sample_docs).toLocalIterator():  # bounded
-            chosen[r["doc_id"]] = model.posterior[r["votes"]]
+        texts = voted.where(F.col("votes").isin(patterns)).groupBy("digest", "votes").agg(F.min(key).alias("key"))
+        for r in texts.orderBy("key", "votes", "digest").limit(sample_docs).toLocalIterator():  # bounded
+            chosen[r["digest"]] = model.posterior[r["votes"]]
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in chosen if i is not None], "doc_id long")
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # bounded: 2 * sample_docs ids
+    digests = spark.createDataFrame([(d,) for d in chosen], "digest string")
+    sample = (docs.select(F.md5("text").alias("digest"), "text").join(F.broadcast(digests), "digest", "left_semi")
+              .groupBy("digest").agg(F.first("text").alias("text")))  # bounded: 2 * sample_docs texts
 
     def extract(batches):
         for batch in sliced(batches):
             got = [features((t or "").split(), statistics((t or "").split(), t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(s, "<i4").tobytes() for s, _ in got], pa.binary()),
                                               pa.array([np.array(v, "<f4").tobytes() for _, v in got], pa.binary())],
-                                             names=["doc_id", "slots", "values"])
+                                             names=["digest", "slots", "values"])
 
-    rows = sorted((r["doc_id"], bytes(r["slots"]), bytes(r["values"])) for r in sample.mapInArrow(
-        extract, "doc_id long, slots binary, values binary").toLocalIterator())  # bounded: the sample
+    rows = sorted((r["digest"], bytes(r["slots"]), bytes(r["values"])) for r in sample.mapInArrow(
+        extract, "digest string, slots binary, values binary").toLocalIterator())  # bounded: the sample
     targets = np.array([chosen[i] for i, _, _ in rows])
     if not len(rows) or targets.min() > 0.5 or targets.max() < 0.5:  # nothing to tell apart
         return model, Scorer(np.zeros(1 << BITS), 1.0 if not len(rows) or targets.min() > 0.5 else -1.0)

@@ -295,6 +295,16 @@ def test_quality_against_labels_and_edges(spark):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0))[1]).count() == 0
 
 
+def test_quality_sample_is_bounded_by_texts_whatever_the_ids(spark, monkeypatch):
+    docs = common.documents(spark, SF001).select("doc_id", "text")
+    for changed in (docs.withColumn("doc_id", F.lit(1).cast("long")), docs.withColumn("doc_id", F.lit(None).cast("long")),
+                    docs.unionByName(docs).unionByName(docs)):
+        seen = []
+        monkeypatch.setattr(quality, "fit", lambda samples, targets: seen.append(targets) or (np.zeros(1 << quality.BITS), 0.0))
+        quality.train(changed, sample_docs=5)
+        assert [(t > 0.5).sum() for t in seen] == [5] and [(t < 0.5).sum() for t in seen] == [5]
+
+
 def test_main_text_of_generated_and_given_pages(spark):
     field = html_text.trained()
     wrong = n = 0
