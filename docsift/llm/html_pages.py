@@ -16,8 +16,10 @@ import re
 BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
             "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre "
             "section select summary table tbody td tfoot th thead tr ul".split())
-SILENT = set("script style noscript template svg iframe textarea head title object math canvas audio video".split())
-RAW = set("script style textarea title iframe noscript".split())
+SILENT = set("script style template iframe textarea head title".split())
+RAW = set("script style textarea title iframe".split())
+#: Elements in which a tag may end itself.
+FOREIGN = {"svg", "math"}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: An open element of the key is ended by the start of these.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr"},
@@ -97,6 +99,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], str, int]]:
             if tag != "head":
                 silent, closing = tag, re.compile(f"</{tag}[^>]*(?:>|$)", re.I)
                 continue
+        if m[3].rstrip().endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in open_)):
+            continue
         if tag in BLOCK:
             flush()
             if any(t == "p" for t, _ in open_[-4:]) and tag not in ("button", "label", "option", "select"):

@@ -322,6 +322,15 @@ def test_main_text_of_generated_and_given_pages(spark):
     assert html_text.extract_text(odd).count() == 3 and html_text.extract_text(odd.limit(0)).count() == 0
 
 
+def test_fallback_text_and_formulas_are_blocks():
+    page = ("<html><head><title>t</title><style>s</style></head><body><p>Let <math><mi>x</mi><mo/>=1</math> be</p>"
+            "<noscript><p>no script</p></noscript><p><svg><path/><text>label</text></svg> after</p><video>old <b>browser</b></video>"
+            "<p><svg/>end</p><iframe>i</iframe><template><p>u</p></template></body></html>")
+    got = html_pages.blocks(page)
+    assert [b[0] for b in got] == ["Let x=1 be", "no script", "label after", "old browser", "end"]
+    assert "t:svg" not in got[-1][1]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
     docs = common.documents(spark, SF001)
