@@ -45,8 +45,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, item_id, n_shared, n_item, containment): items at least ``threshold`` contained in a document.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored.  Texts with fewer than
-    ``n`` words are one shingle of all their words, so such an item is found only in an equal text; texts without
-    words hold and match nothing.  Rows with one id
+    ``n`` words are one shingle of all their words; such an item is looked for among the documents' shingles of its
+    width.  Texts without words hold and match nothing.  Rows with one id
     are judged one by one, and equal results are given once.  Null ids are kept as such.  Empty tables give no rows.
     """
     return _leaks(docs, items, threshold, n).drop("doc").distinct()
@@ -54,6 +54,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def _leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """``leaked_items`` with ``doc``, the digest of the text that holds the item."""
+    short = (items.select("item_id", spaced_words(F.col("text")).alias("words")).where(F.size("words").between(1, n - 1))
+             .select("item_id", F.size("words").alias("width"), F.xxhash64("words").alias("h")).distinct())
     items = stored(shingled(items.select("item_id", "text").distinct(), "item_id", n=n)
                    .distinct()
                    .withColumn("item", F.xxhash64("item_id", "shingles")), "leak-items")
@@ -76,12 +78,29 @@ def _leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: i
     found = texts.withColumn("doc", F.xxhash64("doc_id", "text")).join(pairs.select("doc").distinct(), "doc", "left_semi")
     full = shingled(found.withColumn("digest", F.md5("text")), "doc", "digest", "doc_id", n=n)
     shared = F.size(F.array_intersect("shingles", "item_shingles"))
-    return (pairs.join(items.withColumnRenamed("shingles", "item_shingles"), "item").join(full, "doc")
+    leaks = (pairs.join(items.withColumnRenamed("shingles", "item_shingles"), "item").join(full, "doc")
             .select(F.col("digest").alias("doc"), "doc_id", "item_id", shared.cast("long").alias("n_shared"),
                     F.size("item_shingles").cast("long").alias("n_item"))
             .withColumn("containment", F.col("n_shared") / F.col("n_item"))
             .where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold)))
 
+    widths = sorted(r["width"] for r in short.select("width").distinct().toLocalIterator())  # bounded: below n
+    if widths:
+        short = stored(short, "leak-short")
+        if short.count() <= BROADCAST_ROWS:
+            short = F.broadcast(short)
+
+        def marked(w):
+            return F.transform(shingles(F.col("words"), w), lambda h: F.struct(F.lit(w).alias("width"), h.alias("h")))
+
+        held = (texts.select("doc_id", F.md5("text").alias("doc"), spaced_words(F.col("text")).alias("words"))
+                .select("doc_id", "doc", F.explode_outer(F.concat(*map(marked, widths))).alias("m"))
+                .select("doc_id", "doc", "m.width", "m.h").join(short, ["width", "h"]))
+        one = F.lit(1).cast("long")
+        leaks = leaks.unionByName(held.select("doc", "doc_id", "item_id", one.alias("n_shared"), one.alias("n_item"),
+                                              F.lit(1.0).alias("containment")))
+    return leaks
+
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns kept; decided by each row's text, whatever its doc_id."""

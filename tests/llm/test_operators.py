@@ -217,6 +217,15 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_short_items_are_found_inside_long_documents(spark):
+    docs = table(spark, [(1, "so the Tiny item was found in a long text"), (2, "tiny items"), (3, "item tiny item tiny"), (4, "one"),
+                         (None, "a b c d e f"), (5, LONG), (6, "tiny item"), (7, None)])
+    items = spark.createDataFrame([(1, "tiny item"), (2, "b c d e"), (3, "word7"), (4, "c b a"), (5, ""), (6, None)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_shared, r.n_item, r.containment) for r in decontam.leaked_items(docs, items).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(d, i, 1, 1, 1.0) for d, i in ((1, 1), (3, 1), (6, 1), (None, 2), (5, 3))]))
+    assert sorted(str(r.doc_id) for r in decontam.clean_documents(docs, items).collect()) == ["2", "4", "7"]
+
+
 def test_languages_of_short_and_of_long_texts_are_learned(spark):
     rng = np.random.default_rng(3)
     words = {k: ["".join(rng.choice(list(k), 5)) for _ in range(50)] for k in ("abcdef", "ghijkl", "mnopqr")}
