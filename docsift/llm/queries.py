@@ -101,6 +101,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(X.documents(spark, sf_dir, "pages"))
 
 
+@register(S.OP11)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item by the Best Position Algorithm."""
+    from docsift.llm.best_position import ranked_search
+    return ranked_search(X.documents(spark, sf_dir), X.documents(spark, sf_dir, "benchmark"), k=10)
+
+
+@register(S.OP12)
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules on repetition inside every document."""
+    from docsift.llm.repetition import repetition_rules
+    return repetition_rules(X.documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register(S.OP13)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    from docsift.llm.spelling import spelling_variants
+    return spelling_variants(X.documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -89,3 +89,92 @@ r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, e.b FROM r JO
 c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+c AS (SELECT doc_id, len(terms)::BIGINT AS n, terms FROM d WHERE len(terms) > 0),
+st AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM c),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM c) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM p, st GROUP BY term, n_docs),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                                         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN p USING (term), st GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def _repetition_sql() -> str:
+    from docsift.llm.repetition import LEAST_WORDS, MAX_COVERED, MAX_REPEAT, WINDOW
+
+    def windows(name: str, m: int) -> str:
+        """Starts of the m-word windows that occur twice in a document."""
+        return f"""
+{name} AS (SELECT id, unnest(pos) AS pos FROM (
+    SELECT id, list(i) AS pos FROM (SELECT id, words, unnest(range(1, n - {m - 2})) AS i FROM w WHERE n >= {m})
+    GROUP BY id, array_to_string(list_slice(words, i, i + {m - 1}), ' ') HAVING count(*) > 1))"""
+
+    def cover(name: str, m: int) -> str:
+        return f"""
+{name}_c AS (SELECT id, count(DISTINCT pos + o)::BIGINT AS n FROM {name}, (SELECT unnest(range(0, {m})) AS o) GROUP BY id)"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, doc_id, text, words, len(words)::BIGINT AS n
+      FROM (SELECT *, regexp_extract_all(text, '[^{SPACE}]+') AS words FROM d)),
+l AS (SELECT id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^{SPACE}]') GROUP BY id),{windows("a", WINDOW)},{cover("a", WINDOW)},{windows("b", LEAST_WORDS)},{cover("b", LEAST_WORDS)},{windows("z", MAX_REPEAT + 1)},
+f AS (SELECT w.id, w.doc_id, w.n AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+             coalesce(a_c.n, 0) AS n_repeat_words, coalesce(b_c.n, 0) AS n_covered,
+             w.id IN (SELECT id FROM z) AS long_repeat
+      FROM w LEFT JOIN l USING (id) LEFT JOIN a_c USING (id) LEFT JOIN b_c USING (id)),
+g AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_covered <= {MAX_COVERED}::DOUBLE * n_words AND NOT long_repeat AS kept FROM g
+"""
+
+
+OP12 = _repetition_sql()
+
+
+def _spelling_sql() -> str:
+    """crc32 by its byte table (made from the polynomial); near words by equal texts with a letter left out."""
+    from docsift.llm.spelling import EVERY, MIN_LETTERS, MIN_TIMES
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    crc = "list_reduce({}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), {})"
+    return f"""
+WITH crc AS (SELECT {table}::BIGINT[] AS t),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+') AS runs
+      FROM documents),
+r AS (SELECT id, run, count(*)::BIGINT AS n FROM (SELECT id, unnest(runs) AS run FROM d) GROUP BY id, run),
+i AS (SELECT id, {crc.format("list_transform(string_split(id || ':', ''), lambda c: unicode(c)::BIGINT)", "4294967295::BIGINT")} AS start
+      FROM (SELECT DISTINCT id FROM r), crc),
+h AS (SELECT run, n, xor({crc.format("flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))", "start")}, 4294967295::BIGINT) AS h
+      FROM r JOIN i USING (id), crc),
+o AS (SELECT CASE WHEN h % {EVERY} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+      FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= {MIN_LETTERS} GROUP BY word HAVING sum(n) >= {MIN_TIMES}),
+x AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM v),
+y AS (SELECT word, n, pos, substr(word, 1, pos - 1) || substr(word, pos + 1) AS rest FROM x),
+e AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM y a JOIN y b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+      UNION SELECT y.word, v.word, v.n FROM y JOIN v ON y.rest = v.word
+      UNION SELECT v.word, y.word, y.n FROM y JOIN v ON y.rest = v.word),
+b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM e),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+             CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+      FROM v LEFT JOIN b ON v.word = b.word AND b.place = 1),
+s AS (WITH RECURSIVE s(word, root) AS (
+        SELECT word, word FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+      SELECT word, root FROM s WHERE root IN (SELECT word FROM f WHERE form IS NULL))
+SELECT f.word, f.form, s.root, f.n, f.n_near, f.form_n FROM f JOIN s ON f.word = s.word
+"""
+
+
+OP13 = _spelling_sql()
