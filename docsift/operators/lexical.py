@@ -12,19 +12,24 @@ One physical plan at every size:
   are shuffled by id once and tokenised after it, so counting tokens needs no exchange of its own, and
   a frequent term's postings lie in all partitions instead of one.
 * Search: query terms go in blocks of bounded bytes.  A block is broadcast to the postings, which stay
-  where they are: grouping by (query_id, doc_id) is local to a partition, and so is the first cut to k
-  per query.  Only k rows per query and partition are exchanged.  The block size never changes results.
+  where they are.  A task streams its documents' postings of the asked terms into sparse arrays with block maxima
+  and scores every query of the block against them with a running top-k (``functions.postings``).  Only about k
+  rows per query and partition leave the task.  The block size never changes results.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsift import constants as C
+from docsift.functions.postings import SEGMENT_POSTINGS, Best, PostingBlocks, segments
 from docsift.functions.text import analyze, tokenize
 from docsift.session import scratch_path
 
@@ -67,7 +72,7 @@ def load_index(spark, path: str, storage: StorageLevel = StorageLevel.MEMORY_AND
     """Read an index written by ``LexicalIndex.save`` (lineage starts at the files)."""
     m = spark.read.parquet(f"{path}/meta").first()  # bounded: one row
     postings = spark.read.parquet(f"{path}/postings")
-    postings = postings.repartition(shuffle_partitions(postings), "doc_id").persist(storage)
+    postings = postings.repartition(shuffle_partitions(postings), "doc_id").sortWithinPartitions("doc_id").persist(storage)
     terms = spark.read.parquet(f"{path}/terms").persist(storage)
     return LexicalIndex(postings, terms, int(m["n_docs"]), float(m["avgdl"]), float(m["k1"]), float(m["b"]),
                         m["analyzer"], (postings, terms))
@@ -90,7 +95,7 @@ def bm25_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", an
            .where(F.col("term").isNotNull()))
     base = (tok.groupBy("doc_id", "term", "dl")
             .agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos"))
-            .persist(storage))
+            .sortWithinPartitions("doc_id").persist(storage))
     # one posting per document has first_pos == 0, so N needs no distinct count
     stats = base.agg(F.count_if(F.col("first_pos") == 0).alias("n"), F.sum("tf").alias("tokens")).first()
     n_docs = int(stats["n"] or 0)
@@ -123,10 +128,57 @@ def rank_top_k(scored: DataFrame, top_k: int, query_id: str = "query_id", doc_id
             .where(F.col("rank") <= top_k))
 
 
-def block_scores(index: LexicalIndex, block: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every matching pair of one block of query terms (query_id, term, w)."""
-    return (index.postings.select("term", "doc_id", "impact").join(F.broadcast(block), "term")
-            .groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score")))
+def _hits_schema(query_type, doc_type) -> T.StructType:
+    return T.StructType([T.StructField("query_id", query_type), T.StructField("doc_id", doc_type),
+                         T.StructField("score", T.DoubleType())])
+
+
+def block_queries(block: DataFrame) -> tuple[list, DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """One block of query terms (query_id, term, w) for the kernel: query ids, a (term, tid) table to broadcast,
+    and per query the run of its term numbers and weights."""
+    table = block.select("query_id", "term", "w").orderBy("query_id").toArrow()  # bounded: one block
+    terms = table.column(1).combine_chunks().dictionary_encode()
+    numbers = block.sparkSession.createDataFrame(
+        pa.table({"term": terms.dictionary, "tid": pa.array(np.arange(len(terms.dictionary)), pa.int64())}))
+    ids = table.column(0).to_pylist()
+    first = [i for i, x in enumerate(ids) if not i or x != ids[i - 1]]
+    return ([ids[i] for i in first], numbers, np.append(first, len(ids)).astype(np.int64),
+            terms.indices.to_numpy().astype(np.int64), table.column(2).to_numpy())
+
+
+def hits(found: list[tuple[object, Best]], schema) -> pa.RecordBatch:
+    """The kept documents of every (query id, Best) as one batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    types = [f.type for f in to_arrow_schema(schema)]
+    counts = [len(b.scores) for _, b in found]
+    return pa.RecordBatch.from_arrays([
+        pa.array([q for (q, _), n in zip(found, counts) for _ in range(n)], types[0]),
+        pa.array([x for _, b in found for x in (b.ids.tolist() if len(b.scores) else ())], types[1]),
+        pa.array(np.concatenate([b.scores for _, b in found] + [np.empty(0)]), types[2])], names=schema.names)
+
+
+def block_hits(index: LexicalIndex, block: DataFrame, top_k: int, exclude_self: bool = False,
+               segment_postings: int = SEGMENT_POSTINGS) -> DataFrame:
+    """(query_id, doc_id, score): each partition's documents that can be in the exact top k of a block's queries."""
+    ids, numbers, runs, terms, weights = block_queries(block)
+    shared = block.sparkSession.sparkContext.broadcast((ids, runs, terms, weights))
+    schema = _hits_schema(block.schema["query_id"].dataType, index.postings.schema["doc_id"].dataType)
+    n_terms = int(terms.max(initial=-1)) + 1
+
+    def task(batches):
+        ids, runs, terms, weights = shared.value
+        best = [Best(top_k) for _ in ids]
+        for doc_ids, docs, (tids, impacts) in segments(batches, 3, segment_postings):
+            blocks = PostingBlocks(doc_ids, docs, tids, impacts, n_terms)
+            for i, query in enumerate(ids):
+                own = slice(runs[i], runs[i + 1])
+                blocks.search(terms[own], weights[own], best[i], query if exclude_self else None)
+        yield hits(list(zip(ids, best)), schema)
+
+    # the index is sorted by document in its partitions and the join keeps that order, so this sort is dropped
+    asked = (index.postings.select("term", "doc_id", "impact").join(F.broadcast(numbers), "term")
+             .select("doc_id", "tid", "impact").sortWithinPartitions("doc_id"))
+    return asked.mapInArrow(task, schema)
 
 
 def _blocked(qt: DataFrame, block_bytes: int) -> tuple[DataFrame, list[int]]:
@@ -151,9 +203,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, top_k: int = C.TOP_K, q
     rows, blocks = _blocked(qt, block_bytes)
     path = scratch_path(qt.sparkSession, "bm25-run")
     for i in blocks:
-        scored = block_scores(index, rows.where(F.col("block") == i).drop("block"))
-        if exclude_self:
-            scored = scored.where(F.col("query_id") != F.col("doc_id"))
+        scored = block_hits(index, rows.where(F.col("block") == i).drop("block"), top_k, exclude_self)
         run = rank_top_k(scored, top_k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
         run.write.mode("append").parquet(path)
     qt.unpersist()

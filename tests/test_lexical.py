@@ -84,14 +84,76 @@ def test_block_size_does_not_change_results(spark, data, block_bytes):
 
 
 def test_pairs_are_not_exchanged(spark, data):
-    """Matching pairs are grouped where the postings lie: the only wide exchange is by query, after the partial top-k."""
+    """Queries are scored where the postings lie: the only wide exchange is by query, of what the tasks kept."""
     corpus, queries = data
     idx = L.bm25_index(corpus)
     terms = L.query_terms(queries, idx).select("query_id", "term", "w").persist()
     terms.count()
-    plan = L.rank_top_k(L.block_scores(idx, terms), 3)._jdf.queryExecution().executedPlan().toString()
+    plan = L.rank_top_k(L.block_hits(idx, terms, 3), 3)._jdf.queryExecution().executedPlan().toString()
     head = plan.split("InMemoryTableScan")[0]
     assert head.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(query_id" in head, plan
+    assert head.index("WindowGroupLimit") < head.index("Exchange hashpartitioning") < head.index("MapInArrow"), plan
+    assert "Sort [doc_id" not in head and "HashAggregate" not in head, plan  # the index's own order serves
+
+
+@pytest.mark.parametrize("segment", [1, 7, 10 ** 6])
+def test_search_equals_brute_force_with_ties(spark, segment):
+    """Random corpora with many equal documents: segment cuts lose nothing."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 12])))) for i in range(150)]
+    docs += [(1000 + i, "w1 w2 w2") for i in range(40)]
+    queries = [(i, " ".join(rng.choices(words, k=4))) for i in range(12)] + [(50, "w1 w2"), (51, "w2 w2 w29")]
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    idx = L.bm25_index(corpus)
+    terms = L.query_terms(spark.createDataFrame(queries, "query_id long, text string"), idx).select("query_id", "term", "w")
+    run = L.rank_top_k(L.block_hits(idx, terms, 5, segment_postings=segment), 5)
+    got = {}
+    for r in run.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 5)))
+    want = {q: [(d, round(s, 5)) for d, s in v] for q, v in brute(docs, queries, 5).items() if v}
+    assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items()}
+
+
+def test_kernel_equals_a_full_scan():
+    import numpy as np
+
+    from docsift.functions.postings import Best, PostingBlocks
+    rng = np.random.default_rng(3)
+    for size in (1, 3, 64):
+        docs = np.repeat(np.arange(300), 5)
+        terms = np.concatenate([rng.choice(40, 5, replace=False) for _ in range(300)])
+        impacts = rng.integers(1, 4, len(docs)) / 2  # many ties
+        blocks = PostingBlocks(np.arange(300) * 2, docs, terms, impacts, 40, size)
+        for _ in range(20):
+            query = rng.choice(40, 6, replace=False)
+            weights = rng.integers(1, 3, 6).astype(float)
+            amount = np.zeros(40)
+            amount[query] = weights
+            exact = np.bincount(docs, amount[terms] * impacts, 300)
+            want = sorted((-x, 2 * i) for i, x in enumerate(exact.tolist()) if x > 0)[:10]
+            best = Best(10)
+            blocks.search(query, weights, best)
+            assert list(zip((-best.scores[:10]).tolist(), best.ids[:10].tolist())) == want
+
+
+def test_kernel_skips_blocks_that_cannot_reach_the_kth_score():
+    import numpy as np
+
+    from docsift.functions.postings import Best, PostingBlocks
+    rng = np.random.default_rng(1)
+    n = 6400
+    impacts = np.sort(rng.random(n))[::-1] + 0.01  # falling over the documents, so early blocks hold the best
+    blocks = PostingBlocks(np.arange(n), np.arange(n), np.zeros(n, np.int64), impacts, 1)
+    best = Best(10)
+    blocks.search(np.array([0]), np.array([2.0]), best)
+    assert best.ids[:10].tolist() == list(range(10)) and blocks.scored < n / 10
+    ids = PostingBlocks(np.array(["b", "a", "c"], object), np.arange(3), np.zeros(3, np.int64), np.ones(3), 1)
+    few = Best(2)
+    ids.search(np.array([0]), np.array([1.0]), few, skip="c")
+    assert few.ids.tolist() == ["a", "b"]
 
 
 def test_golden_sums_of_the_fixture(spark):
