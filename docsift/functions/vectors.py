@@ -28,33 +28,42 @@ class RunningTopK:
     Scores = d @ q.T computed in row chunks (bounded memory).  Kept are all documents scoring at
     least the k-th best minus a tie margin, so the final ranking (rounded score desc, doc id asc) is
     unaffected by the cut; of documents with one and the same score only the ``k`` smallest ids.
-    With ``max_score``, documents of that rounded score or more are left out before the cut.
+    With ``max_score``, documents of that rounded score or more are left out before the cut.  ``excluded``
+    ((document ids in order, query number of each)) lists pairs that take no part.
     """
 
     def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool = False,
-                 chunk_cells: int = 16_000_000, max_score: float | None = None):
+                 chunk_cells: int = 16_000_000, max_score: float | None = None, excluded=None):
         self.qids, self.q, self.k, self.exclude_self, self.max_score = qids, q, k, exclude_self, max_score
         self.step = max(1, chunk_cells // max(len(q), 1))
         self.parts: list = []
+        self.excluded = excluded
 
     def add(self, dids: np.ndarray, d: np.ndarray) -> None:
         if not len(self.q):
             return
         for lo in range(0, d.shape[0], self.step):
-            s = d[lo:lo + self.step] @ self.q.T                       # (rows, nq)
-            ids = dids[lo:lo + self.step]
-            if self.exclude_self:
-                s = np.where(ids[:, None] == self.qids[None, :], -np.inf, s)
-            if self.max_score is not None:
-                s = np.where(np.round(s, 6) >= self.max_score, -np.inf, s)
-            mask = np.isfinite(s)
-            if s.shape[0] > self.k:
-                kth = np.partition(s, s.shape[0] - self.k, axis=0)[s.shape[0] - self.k]
-                mask &= s >= kth[None, :] - TIE_MARGIN
-            r, c = np.nonzero(mask)
-            self.parts.append((c, ids[r], s[r, c]))
-            if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts) > 8 * self.k * len(self.q):
-                self._prune()
+            self.take(dids[lo:lo + self.step], d[lo:lo + self.step] @ self.q.T)
+
+    def take(self, ids: np.ndarray, s: np.ndarray) -> None:
+        """Documents with their scores (rows, nq), which may be written over."""
+        if self.exclude_self:
+            s = np.where(ids[:, None] == self.qids[None, :], -np.inf, s)
+        if self.excluded is not None:
+            docs, queries = self.excluded
+            low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
+            for row in np.flatnonzero(high > low):
+                s[row, queries[low[row]:high[row]]] = -np.inf
+        if self.max_score is not None:
+            s = np.where(np.round(s, 6) >= self.max_score, -np.inf, s)
+        mask = np.isfinite(s)
+        if s.shape[0] > self.k:
+            kth = np.partition(s, s.shape[0] - self.k, axis=0)[s.shape[0] - self.k]
+            mask &= s >= kth[None, :] - TIE_MARGIN
+        r, c = np.nonzero(mask)
+        self.parts.append((c, ids[r], s[r, c]))
+        if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts) > 8 * self.k * len(self.qids):
+            self._prune()
 
     def _prune(self) -> None:
         qi, di, sc = (np.concatenate(x) for x in zip(*self.parts))

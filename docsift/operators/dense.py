@@ -1,15 +1,9 @@
-"""Vector retrieval (#44-#54): hashed TF-IDF encoders, exact dot/cosine search, flat index,
-scalar and product quantisation, PCA, and bucketed (LSH) approximate search.
-
-Exact search never materialises all (query, doc) pairs: a numpy kernel scores
-blocks inside Arrow-batched tasks and emits only rows that can still make a
-query's top-k; a window (WindowGroupLimit) then ranks them.
-
-* broadcast path: the query matrix is collected and broadcast only behind a
-  size check (``BROADCAST_CELLS``); the corpus is streamed partition by partition.
-* blocked path: queries and corpus are hash-blocked; each (query block, corpus
-  block) pair meets in one cogroup task, so memory per task is bounded by the
-  block sizes and nothing passes through the driver.
+"""Vector retrieval (#44-#48, #50, #51): hashed TF-IDF encoders, exact dot/cosine search, flat index,
+scalar quantisation and bucketed (LSH) search.
+
+Exact search never materialises all (query, doc) pairs.  Queries go in blocks of at most ``BLOCK_CELLS`` vector entries:
+a block is broadcast, the corpus streams past it, and each task keeps one running top-k per query, which a
+window (WindowGroupLimit) then ranks.  The number of blocks follows the queries and never changes the result.
 """
 
 from __future__ import annotations
@@ -18,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,20 +21,33 @@ from docsift import constants as C
 from docsift.functions.text import tokenize
 from docsift.functions.vectors import RunningTopK, block_topk, normalize_rows, stack
 from docsift.operators.lexical import rank_top_k
-from docsift.session import spread
+from docsift.session import scratch_path, spread
 
-#: the query matrix is broadcast when rows * dim is at most this
-BROADCAST_CELLS = 8_000_000
-#: rows per block on the blocked path
-BLOCK_ROWS = 20_000
+#: vector entries (rows * dim) of a broadcast block of queries
+BLOCK_CELLS = 8_000_000
+#: scores that a task holds at a time
+SCORE_CELLS = 16_000_000
 #: corpus rows per LSH bucket chunk
 BUCKET_CHUNK_ROWS = 20_000
 
-def _hit_schema(qtype, dtype):
+
+def hit_schema(qtype, dtype):
     return T.StructType([T.StructField("query_id", qtype), T.StructField("doc_id", dtype),
                          T.StructField("score", T.DoubleType())])
 
 
+def hit_batch(qi, di, sc, schema) -> pa.RecordBatch:
+    """Query ids, document ids and scores as one Arrow batch of ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    types = [f.type for f in to_arrow_schema(schema)]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).tolist(), t) for x, t in zip((qi, di, sc), types)], names=schema.names)
+
+
+def finish(hits: DataFrame, k: int) -> DataFrame:
+    """Hits ranked per query (rounded score, then id) and cut to ``k``."""
+    return rank_top_k(hits, k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
 # ---------------------------------------------------------------------------
 # hashed TF-IDF encoders (#44, #45)
 # ---------------------------------------------------------------------------
@@ -137,67 +145,74 @@ def _kernel_frame(qi, di, sc):
     return pd.DataFrame({"query_id": qi, "doc_id": di, "score": sc})
 
 
-def dense_hits(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot", exclude_self: bool = False,
-               force: str | None = None, max_score: float | None = None) -> DataFrame:
-    """Candidate hits (query_id, doc_id, raw score) containing every query's exact top-k.
+def query_blocks(queries: DataFrame, cells_per_row: int, block_cells: int | None = None) -> list[DataFrame]:
+    """``queries`` in blocks of about ``block_cells`` entries (of ``cells_per_row`` each)."""
+    n = max(1, math.ceil(queries.count() * max(cells_per_row, 1) / (block_cells or BLOCK_CELLS)))
+    return [queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) if n > 1 else queries for i in range(n)]
+
+
+def blockwise(queries: DataFrame, cells_per_row: int, k: int, hits, block_cells: int | None = None) -> DataFrame:
+    """Runs of all query blocks: ``hits(ids, matrix, spark)`` gives the rows that hold each query's top k of one block.
 
-    With ``max_score`` the top-k of the documents whose rounded score is below it.
-    ``queries``/``corpus``: (id, embedding).  ``force`` = 'broadcast' | 'blocked'.
+    Every block's ranked rows are appended to a table in the shared folder.
     """
+    spark = queries.sparkSession
+    path = scratch_path(spark, "dense-run")
+    for block in query_blocks(queries, cells_per_row, block_cells):
+        table = block.select("id", "embedding").toArrow()  # bounded: one block
+        ids = table.column(0).to_numpy()
+        q = stack(table.column(1).to_pandas())
+        run = finish(hits(ids, q, spark), k)
+        run.write.mode("append").parquet(path)
+    return spark.read.schema(run.schema).parquet(path)
+
+
+def dense_hits(ids: np.ndarray, q: np.ndarray, corpus: DataFrame, schema, k: int, metric: str = "dot", exclude_self: bool = False,
+               max_score: float | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, raw score) of one block of queries: rows that contain every query's exact top k."""
     spark = corpus.sparkSession
-    schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
     cos = metric in ("cos", "cos_sim", "cosine")
-    mode = force
-    if mode is None:
-        nq = queries.count()
-        dim = len(queries.select("embedding").first()[0]) if nq else 0
-        mode = "broadcast" if nq * max(dim, 1) <= BROADCAST_CELLS else "blocked"
-
-    if mode == "broadcast":
-        qp = queries.select("id", "embedding").toPandas()  # bounded: rows * dim <= BROADCAST_CELLS checked above
-        qids = qp["id"].to_numpy()
-        qm = stack(qp["embedding"])
-        if cos:
-            qm = normalize_rows(qm)
-        bc = spark.sparkContext.broadcast((qids, qm))
-
-        def run(batches):
-            # one running top-k over all batches of the partition, so the rows it emits do not depend on the batch size
-            qi_all, q_mat = bc.value
-            top = RunningTopK(qi_all, q_mat, k, exclude_self, max_score=max_score)
-            for pdf in batches:
-                if not pdf.empty:
-                    dm = stack(pdf["embedding"], q_mat.shape[1])
-                    top.add(pdf["id"].to_numpy(), normalize_rows(dm) if cos else dm)
-            yield _kernel_frame(*top.result())
-        return spread(corpus.select("id", "embedding")).mapInPandas(run, schema)
-
-    nq, nc = queries.count(), corpus.count()
-    qb, cb = max(1, math.ceil(nq / BLOCK_ROWS)), max(1, math.ceil(nc / BLOCK_ROWS))
-    q = (queries.select("id", "embedding").withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(qb)))
-         .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    # fresh column names on the corpus side: a cogroup of two frames derived from the
-    # same scan otherwise loses the shared attributes on the right
-    c = (corpus.select(F.col("id").alias("cid"), F.col("embedding").alias("cemb"))
-         .withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(cb)))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-
-    def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return _kernel_frame([], [], [])
-        qm, dm = stack(qpdf["embedding"]), stack(cpdf["cemb"])
-        if cos:
-            qm, dm = normalize_rows(qm), normalize_rows(dm)
-        a, b, cc = block_topk(qpdf["id"].to_numpy(), qm, cpdf["cid"].to_numpy(), dm, k, exclude_self, max_score)
-        return _kernel_frame(a, b, cc)
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(pair, schema)
+    pairs = None
+    if excluded is not None:  # bounded: each task gets a document's list within the block, joined by the document's id
+        numbers = spark.createDataFrame(pa.table({"query_id": pa.array(ids.tolist()), "_n": pa.array(np.arange(len(ids)), pa.int32())}))
+        pairs = (excluded.join(F.broadcast(numbers), "query_id").groupBy(F.col("doc_id").alias("id"))
+                 .agg(F.collect_set("_n").alias("_out")))
+    shared, has_lists = spark.sparkContext.broadcast((ids, normalize_rows(q) if cos and len(q) else q)), pairs is not None
+
+    def run(batches):
+        # one running top-k over all batches of the partition, so the rows it emits do not depend on the batch size
+        qids, qm = shared.value
+        top = RunningTopK(qids, qm, k, exclude_self, max_score=max_score)
+        for batch in batches:
+            if not batch.num_rows or not len(qm):
+                continue
+            pdf = batch.to_pandas()
+            d = stack(pdf["embedding"], qm.shape[1])
+            doc_ids = pdf["id"].to_numpy()
+            if has_lists:
+                out = [np.empty(0, int) if x is None else np.asarray(x, int) for x in pdf["_out"]]
+                by = np.argsort(doc_ids, kind="stable")
+                top.excluded = (np.repeat(doc_ids[by], [len(out[i]) for i in by]), np.concatenate([out[i] for i in by]))
+            top.add(doc_ids, normalize_rows(d) if cos else d)
+        yield hit_batch(*top.result(), schema)
+
+    rows = spread(corpus.select("id", "embedding"))
+    if pairs is not None:
+        rows = rows.join(pairs, "id", "left")
+    return rows.mapInArrow(run, schema)
 
 
 def dense_search(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "dot", exclude_self: bool = False,
-                 force: str | None = None, max_score: float | None = None) -> DataFrame:
-    """Exact top-k run (query_id, doc_id, score rounded to 6, rank) by dot product or cosine."""
-    hits = dense_hits(queries, corpus, k, metric, exclude_self, force, max_score)
-    return rank_top_k(hits, k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+                 max_score: float | None = None, excluded: DataFrame | None = None, block_cells: int | None = None) -> DataFrame:
+    """Exact top-k run (query_id, doc_id, score rounded to 6, rank) by dot product or cosine.
+
+    With ``max_score`` the top k of the documents whose rounded score is below it; ``excluded`` (query_id, doc_id) are
+    pairs left out inside the search, so ``k`` need not grow with them.
+    """
+    schema = hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
+    first = queries.select("embedding").first()
+    return blockwise(queries, len(first[0]) if first else 1, k, lambda ids, q, spark: dense_hits(
+        ids, q, corpus, schema, k, metric, exclude_self, max_score, excluded), block_cells)
 
 
 # ---------------------------------------------------------------------------
@@ -238,88 +253,6 @@ def sq_search(queries: DataFrame, corpus: DataFrame, k: int = 10, exclude_self:
     return dense_search(queries, dec, k, "dot", exclude_self)
 
 
-# ---------------------------------------------------------------------------
-# PCA (#52-#54) and product quantisation (#49)
-# ---------------------------------------------------------------------------
-
-def _vec(df: DataFrame, col: str = "embedding", out: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    return df.withColumn(out, array_to_vector(F.transform(col, lambda x: x.cast("double"))))
-
-
-def pca_fit(corpus: DataFrame, k: int = 16):
-    """Spark ML PCA (covariance aggregated across executors, k-by-d eigenproblem on the driver)."""
-    from pyspark.ml.feature import PCA
-    return PCA(k=k, inputCol="features", outputCol="pca").fit(_vec(corpus))
-
-
-def pca_transform(model, df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    return model.transform(_vec(df)).select("id", vector_to_array("pca").alias("embedding"))
-
-
-def pca_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_components: int = 16, exclude_self=False):
-    model = pca_fit(corpus, n_components)
-    return dense_search(pca_transform(model, queries), pca_transform(model, corpus), k, "dot", exclude_self)
-
-
-def pq_fit(corpus: DataFrame, m: int = 8, n_centroids: int = 16, seed: int = 1, max_iter: int = 20):
-    """One KMeans (Spark ML, distributed) per sub-vector; returns the codebooks (m, c, d/m)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    dim = len(corpus.select("embedding").first()[0])
-    if dim % m:
-        raise ValueError(f"dimension {dim} is not divisible by m={m}")
-    sub = dim // m
-    books = []
-    for j in range(m):
-        part = corpus.select(array_to_vector(F.transform(F.slice("embedding", j * sub + 1, sub), lambda x: x.cast("double")))
-                             .alias("features"))
-        km = KMeans(k=n_centroids, seed=seed, maxIter=max_iter, featuresCol="features").fit(part)
-        books.append(np.vstack(km.clusterCenters()))
-    return np.stack(books)
-
-
-def pq_encode(corpus: DataFrame, books: np.ndarray) -> DataFrame:
-    """Nearest centroid per sub-vector (pandas UDF with the small codebooks broadcast)."""
-    bc = corpus.sparkSession.sparkContext.broadcast(books)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def codes(emb: pd.Series) -> pd.Series:
-        b = bc.value
-        m, _, sub = b.shape
-        x = stack(emb, m * sub).reshape(len(emb), m, sub)
-        d = ((x[:, :, None, :] - b[None, :, :, :]) ** 2).sum(axis=3)
-        return pd.Series(list(d.argmin(axis=2).astype(np.int32)))
-    return corpus.select("id", codes("embedding").alias("codes"))
-
-
-def pq_decode(codes: DataFrame, books: np.ndarray) -> DataFrame:
-    bc = codes.sparkSession.sparkContext.broadcast(books)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dec(cs: pd.Series) -> pd.Series:
-        b = bc.value
-        m = b.shape[0]
-        c = np.vstack([np.asarray(v) for v in cs.to_numpy()]) if len(cs) else np.zeros((0, m), dtype=int)
-        return pd.Series(list(np.concatenate([b[j][c[:, j]] for j in range(m)], axis=1)))
-    return codes.select("id", dec("codes").alias("embedding"))
-
-
-def pq_search(queries: DataFrame, corpus: DataFrame, k: int = 10, m: int = 8, n_centroids: int = 16,
-              exclude_self: bool = False) -> DataFrame:
-    """Asymmetric-distance PQ search: q . decode(code(d)) = sum of per-subspace lookup values."""
-    books = pq_fit(corpus, m, n_centroids)
-    dec = pq_decode(pq_encode(corpus, books), books)
-    return dense_search(queries, dec, k, "dot", exclude_self)
-
-
-def pca_pq_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_components: int = 16, m: int = 4,
-                  n_centroids: int = 16, exclude_self: bool = False) -> DataFrame:
-    model = pca_fit(corpus, n_components)
-    return pq_search(pca_transform(model, queries), pca_transform(model, corpus), k, m, n_centroids, exclude_self)
-
-
 # ---------------------------------------------------------------------------
 # bucketed approximate search: random-hyperplane LSH (#50)
 # ---------------------------------------------------------------------------
@@ -357,8 +290,13 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int
         masks = [m for m in range(1 << n_bits) if m.bit_count() <= flips]
         qb = (qb.withColumn("mask", F.explode(F.array(*map(F.lit, masks))))
               .select("id", "embedding", "tbl", F.col("bucket").bitwiseXOR(F.col("mask")).alias("bucket")))
-    cb = lsh_buckets(corpus, n_tables, n_bits, dim)
-    keys = ["tbl", "bucket"]
+    hits = bucket_hits(qb, lsh_buckets(corpus, n_tables, n_bits, dim), ["tbl", "bucket"], k, exclude_self, chunk_rows)
+    return finish(hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+
+
+def bucket_hits(qb: DataFrame, cb: DataFrame, keys: list[str], k: int, exclude_self: bool = False,
+                chunk_rows: int = BUCKET_CHUNK_ROWS) -> DataFrame:
+    """(query_id, doc_id, score) of the vectors that share a bucket: per chunk pair the rows that can reach a top k."""
     grid = (cb.groupBy(*keys).agg(F.count(F.lit(1)).alias("nd"))
             .join(qb.groupBy(*keys).agg(F.count(F.lit(1)).alias("nq")), keys)
             .select(*keys, F.greatest(F.lit(1), F.ceil(F.col("nd") / F.lit(chunk_rows))).cast("int").alias("ndc"),
@@ -367,11 +305,13 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int
          .withColumn("qc", F.pmod(F.xxhash64("id"), F.col("nqc")).cast("int"))
          .withColumn("dc", F.explode(F.sequence(F.lit(0), F.col("ndc") - 1)))
          .select("id", "embedding", *keys, "qc", "dc"))
+    # fresh column names on the corpus side: a cogroup of two frames derived from the
+    # same scan otherwise loses the shared attributes on the right
     c = (cb.join(grid, keys)
          .withColumn("dc", F.pmod(F.xxhash64("id"), F.col("ndc")).cast("int"))
          .withColumn("qc", F.explode(F.sequence(F.lit(0), F.col("nqc") - 1)))
          .select(F.col("id").alias("cid"), F.col("embedding").alias("cemb"), *keys, "qc", "dc"))
-    schema = _hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
+    schema = hit_schema(qb.schema["id"].dataType, cb.schema["id"].dataType)
 
     def pair(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
@@ -380,6 +320,4 @@ def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_tables: int
                               stack(cpdf["cemb"]), k, exclude_self)
         return _kernel_frame(a, b, cc)
     gkeys = [*keys, "qc", "dc"]
-    hits = q.groupBy(*gkeys).cogroup(c.groupBy(*gkeys)).applyInPandas(pair, schema)
-    best = hits.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return rank_top_k(best, k).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+    return q.groupBy(*gkeys).cogroup(c.groupBy(*gkeys)).applyInPandas(pair, schema)

@@ -207,3 +207,67 @@ def dot_scored_cte(name: str, queries: str, corpus: str, metric: str = "dot") ->
         s = ("list_dot_product(q.embedding, d.embedding) / (sqrt(list_dot_product(q.embedding, q.embedding))"
              " * sqrt(list_dot_product(d.embedding, d.embedding)))")
     return f"{name} AS (SELECT q.id AS query_id, d.id AS doc_id, {s} AS score FROM {queries} q, {corpus} d)"
+
+
+# -- trained vector indexes -------------------------------------------------------
+
+def kmeans_ctes(p: str, parts: str, k: int, rounds: int, fit_rows: int, seed: str = C.SPLIT_SEED) -> str:
+    """CTEs ``{p}_c`` (j, c, x): centres of the parts ``parts`` (id, j, x) after fixed rounds, and ``{p}_a`` (id, j, c)."""
+    nearest = "min({'d': round(list_distance(v.x, m.x), 9), 'c': m.c}).c"
+    out = f"""
+{p}_seed AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY md5('{seed}:' || id), id) - 1 AS c FROM (SELECT DISTINCT id FROM {parts})),
+{p}_fit AS MATERIALIZED (SELECT v.* FROM {parts} v JOIN {p}_seed s ON v.id = s.id WHERE s.c < {fit_rows}),
+{p}_c0 AS MATERIALIZED (SELECT j, c, x FROM {p}_fit v JOIN {p}_seed s ON v.id = s.id WHERE s.c < {k})"""
+    for r in range(rounds):
+        out += f""",
+{p}_n{r} AS (SELECT v.id, v.j, {nearest} AS c FROM {p}_fit v JOIN {p}_c{r} m ON v.j = m.j GROUP BY v.id, v.j),
+{p}_m{r} AS (SELECT j, c, list(x ORDER BY i) AS x FROM (
+    SELECT j, c, i, avg(x) AS x FROM (SELECT v.j, n.c, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS i
+                                      FROM {p}_fit v JOIN {p}_n{r} n ON v.id = n.id AND v.j = n.j) GROUP BY j, c, i) GROUP BY j, c),
+{p}_c{r + 1} AS MATERIALIZED (SELECT o.j, o.c, coalesce(n.x, o.x) AS x FROM {p}_c{r} o LEFT JOIN {p}_m{r} n ON o.j = n.j AND o.c = n.c)"""
+    return out + f""",
+{p}_c AS (SELECT * FROM {p}_c{rounds}),
+{p}_a AS MATERIALIZED (SELECT v.id, v.j, {nearest} AS c FROM {parts} v JOIN {p}_c m ON v.j = m.j GROUP BY v.id, v.j)"""
+
+
+def parts_cte(name: str, vectors: str, m: int, dim: int) -> str:
+    sub = dim // m
+    return f"{name} AS MATERIALIZED (SELECT id, j, list_slice(embedding, j * {sub} + 1, (j + 1) * {sub}) AS x FROM {vectors}, (SELECT unnest(range({m})) AS j))"
+
+
+def pq_ctes(p: str, vectors: str, m: int, dim: int, k: int, rounds: int, fit_rows: int, depth: int) -> str:
+    """CTE ``{p}_cand`` (query_id, doc_id): each vector's ``depth`` best others by its lookup tables."""
+    return ",".join([parts_cte(f"{p}_x", vectors, m, dim), kmeans_ctes(p, f"{p}_x", k, rounds, fit_rows), f"""
+{p}_lut AS MATERIALIZED (SELECT q.id, q.j, c.c, list_dot_product(q.x, c.x) AS s FROM {p}_x q JOIN {p}_c c ON q.j = c.j),
+{p}_s AS (SELECT l.id AS query_id, a.id AS doc_id, sum(l.s) AS score FROM {p}_lut l JOIN {p}_a a ON l.j = a.j AND l.c = a.c GROUP BY l.id, a.id)""",
+                     topk_cte(f"{p}_cand", f"{p}_s", depth, exclude_self=True)])
+
+
+def exact_cte(name: str, cand: str, vectors: str) -> str:
+    """CTE ``name`` (query_id, doc_id, score): exact products of candidates."""
+    return f"""
+{name} AS (SELECT c.query_id, c.doc_id, list_dot_product(q.embedding, d.embedding) AS score
+           FROM {cand} c JOIN {vectors} q ON c.query_id = q.id JOIN {vectors} d ON c.doc_id = d.id)"""
+
+
+def pca_ctes(p: str, vectors: str, dim: int, k: int, rounds: int) -> str:
+    """CTEs ``{p}_u`` (comps DOUBLE[][]), ``{p}_cov`` (cov DOUBLE[][]) and ``{p}_y`` (id, embedding): the projections."""
+    start = f"list_transform(range({dim}), lambda i: CAST((i * 31 + ({{}}) * 17) % 97 + 1 AS DOUBLE))"
+    return f"""
+{p}_e AS (SELECT id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM {vectors}),
+{p}_mean AS (SELECT i, avg(x) AS m FROM {p}_e GROUP BY i),
+{p}_ij AS (SELECT a.i, b.i AS j, avg(a.x * b.x) AS s FROM {p}_e a JOIN {p}_e b ON a.id = b.id GROUP BY a.i, b.i),
+{p}_cov AS MATERIALIZED (SELECT list(r ORDER BY i) AS cov FROM (SELECT s.i, list(s.s - a.m * b.m ORDER BY s.j) AS r
+    FROM {p}_ij s JOIN {p}_mean a ON s.i = a.i JOIN {p}_mean b ON s.j = b.i GROUP BY s.i)),
+{p}_u AS MATERIALIZED (SELECT done AS comps FROM (
+  WITH RECURSIVE it(step, v, done) AS (
+    SELECT 0, {start.format(0)}, []::DOUBLE[][]
+    UNION ALL
+    SELECT step + 1, CASE WHEN (step + 1) % {rounds} = 0 THEN {start.format(f"(step + 1) // {rounds}")} ELSE u END,
+           CASE WHEN (step + 1) % {rounds} = 0 THEN list_append(done, u) ELSE done END
+    FROM (SELECT step, done, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u FROM (
+      SELECT step, done, list_transform(range(1, {dim + 1}), lambda i: w0[i] - coalesce(list_sum(list_transform(range(1, len(done) + 1), lambda j: f[j] * done[j][i])), 0)) AS w
+      FROM (SELECT *, list_transform(done, lambda d: list_dot_product(d, w0)) AS f
+            FROM (SELECT step, done, list_transform(cov, lambda r: list_dot_product(r, v)) AS w0 FROM it, {p}_cov WHERE step < {k * rounds}))))
+  ) SELECT done FROM it WHERE step = {k * rounds})),
+{p}_y AS MATERIALIZED (SELECT id, list_transform(comps, lambda u: list_dot_product(u, embedding)) AS embedding FROM {vectors}, {p}_u)"""
