@@ -1,56 +1,299 @@
-"""Experiment matrix (#67) and run comparison (#68).
+"""Experiment grid (#67) and run comparison (#68) over shared statistics.
 
-An experiment is (name, analyzer, stopword languages); each builds its index
-once, runs BM25 over the same queries and is evaluated per language in one
-grouping-sets pass.  The matrix is one long DataFrame keyed by ``experiment``.
+A grid is a list of cells: an analyzer (or none), stopwords kept or removed, and a slice of the dataset (a language, a
+link set or a subset: its queries, its judgments and its documents).  Instead of an index per cell there is
+
+* one postings table ``(analyzer, doc_id, slices, term, tf_v, dl_v ...)`` for all cells: ``tf_v`` and ``dl_v`` leave
+  the v-th choice of stopword lists out, and bit i of ``slices`` says that the document is in slice i;
+* per cell N and avgdl, and df(term, cell) of the asked terms: conditional counts over that table, one aggregate each;
+* one search: the kernel cuts a task's postings to each cell (``functions.postings``) and scores the cell's queries;
+* one evaluation: runs and judgments are keyed by (cell, query) and (cell, document).
+
+Rerank cells take a cell's run as their first stage and score its top 100 again.  Their capped recall is that of the
+first stage, as the experiments report it; all other metrics are of the reranked run.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions.text import remove_stopwords
+from docsift import constants as C
+from docsift.functions.postings import SEGMENT_POSTINGS, Best, PostingBlocks, segments
+from docsift.functions.text import normalize_text, split_tokens, stem_text, stopword_filter
+from docsift.operators import dense as D
 from docsift.operators import evaluate as E
 from docsift.operators import lexical as L
+from docsift.operators import rerank as R
+from docsift.session import scratch_path
+
+#: Slices and cells of one grid: a slice is a bit of a long, a cell's statistics are columns of one aggregate.
+MAX_SLICES = 63
 
 
 @dataclass(frozen=True)
-class Experiment:
+class Cell:
+    """One experiment: BM25 with ``analyzer`` over ``slice``, the ``stopwords`` lists (languages) removed beforehand."""
+
     name: str
+    slice: str
     analyzer: str | None = None
     stopwords: tuple = ()
 
 
-def run_experiment(exp: Experiment, corpus: DataFrame, queries: DataFrame, index: L.LexicalIndex | None = None) -> DataFrame:
-    if exp.stopwords:
-        corpus = corpus.withColumn("text", remove_stopwords("text", exp.stopwords))
-        queries = queries.withColumn("text", remove_stopwords("text", exp.stopwords))
-    idx = index or L.bm25_index(corpus, analyzer=exp.analyzer)
-    return L.bm25_search(idx, queries)
+@dataclass(frozen=True)
+class RerankCell:
+    """The top 100 of cell ``first`` re-scored: 'pairs' (the default pair scorer) or 'dense' (two-tower cosine)."""
+
+    name: str
+    first: str
+    scorer: str
+
+
+@dataclass
+class Slice:
+    """Queries (query_id, text), judgments, and documents: all of the corpus, a condition on it, or a table of ids."""
+
+    queries: DataFrame
+    qrels: DataFrame
+    docs: object = None
+
+
+def _analyzed(text, analyzer: str | None):
+    """(raw, terms): tokens before and after stemming, without the analyzer's own stopwords."""
+    raw = split_tokens(normalize_text(F.lower(text)))
+    if not analyzer:
+        return raw, raw
+    raw = stopword_filter(raw, C.stopwords(analyzer))
+    return raw, split_tokens(stem_text(F.array_join(raw, " "), analyzer))
+
+
+def _token_counts(rows: DataFrame, keys: list[str], analyzers, variants) -> DataFrame:
+    """(keys, analyzer, term, tf_0, tf_1, ...) of ``_text``: ``tf_v`` without the words of the v-th stopword lists.
+
+    ``rows`` already lies where it shall be counted; nothing is exchanged.
+    """
+    per = []
+    for name in analyzers:
+        raw, terms = _analyzed(F.col("_text"), name or None)
+        per.append(F.struct(F.lit(name).alias("analyzer"), raw.alias("raw"), terms.alias("term")))
+    one = rows.select(*keys, F.explode(F.array(*per)).alias("a"))
+    # *_outer and a filter on its result keep the tokenising above the exchange
+    tokens = (one.select(*keys, "a.analyzer", F.explode_outer(F.arrays_zip("a.raw", "a.term")).alias("t"))
+              .select(*keys, "analyzer", "t.raw", "t.term").where(F.col("term").isNotNull()))
+    words: dict[str, int] = {}
+    for v, languages in enumerate(variants):
+        for w in C.stopwords_union(languages):
+            words[w] = words.get(w, 0) | 1 << v
+    stops = rows.sparkSession.createDataFrame(list(words.items()), "raw string, out long")  # fixed lists, a few thousand words
+    tokens = tokens.join(F.broadcast(stops), "raw", "left")
+    out = F.coalesce("out", F.lit(0))
+    return tokens.groupBy(*keys, "analyzer", "term").agg(*[
+        F.count_if(out.bitwiseAND(F.lit(1 << v)) == 0).cast("int").alias(f"tf_{v}") for v in range(len(variants))])
+
+
+class Grid:
+    """Shared statistics of a grid's cells over one corpus (doc_id, text and the columns that slice conditions use)."""
+
+    def __init__(self, corpus: DataFrame, slices: dict[str, Slice], cells: list[Cell],
+                 k1: float = C.BM25_K1, b: float = C.BM25_B, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+        if len(slices) > MAX_SLICES:
+            raise ValueError(f"a grid has at most {MAX_SLICES} slices")
+        self.corpus, self.slices, self.cells, self.k1, self.b = corpus, slices, list(cells), k1, b
+        self.bit = {name: i for i, name in enumerate(slices)}
+        self.analyzers = sorted({c.analyzer or "" for c in cells})
+        self.variants = sorted({c.stopwords for c in cells})
+        self.spark = corpus.sparkSession
+        self.postings = self._postings().persist(storage)
+        self.n_docs, self.avgdl = self._sizes()
+
+    def members(self) -> DataFrame:
+        """``corpus`` with its ``slices`` bits."""
+        out, bits = self.corpus, []
+        for name, s in self.slices.items():
+            here = F.lit(True)
+            if isinstance(s.docs, DataFrame):
+                flag = f"_in_{self.bit[name]}"
+                out = out.join(s.docs.select("doc_id").distinct().withColumn(flag, F.lit(True)), "doc_id", "left")
+                here = F.col(flag).isNotNull()
+            elif s.docs is not None:
+                here = F.coalesce(s.docs, F.lit(False))
+            bits.append(F.when(here, F.lit(1 << self.bit[name])).otherwise(F.lit(0)))
+        mask = bits[0]
+        for bit in bits[1:]:
+            mask = mask.bitwiseOR(bit)
+        return out.withColumn("slices", mask.cast("long"))
+
+    def _postings(self) -> DataFrame:
+        docs = (self.members().select("doc_id", "slices", F.col("text").alias("_text"))
+                .repartition(L.shuffle_partitions(self.corpus), "doc_id"))
+        counts = _token_counts(docs, ["doc_id", "slices"], self.analyzers, self.variants)
+        whole = Window.partitionBy("doc_id", "analyzer")  # documents lie in one partition, so only its own sort is added
+        return counts.select("*", *[F.sum(f"tf_{v}").over(whole).cast("int").alias(f"dl_{v}") for v in range(len(self.variants))])
+
+    def _counts(self, cell: Cell) -> str:
+        return f"tf_{self.variants.index(cell.stopwords)}"
+
+    def _inside(self, cell: Cell):
+        """Rows of the postings that belong to a cell."""
+        return ((F.col("analyzer") == (cell.analyzer or "")) & (F.col(self._counts(cell)) > 0)
+                & (F.col("slices").bitwiseAND(F.lit(1 << self.bit[cell.slice])) != 0))
+
+    def _sizes(self):
+        """N and avgdl of every cell: lengths per (analyzer, document), which lie in one partition, then one row."""
+        lengths = self.postings.groupBy("analyzer", "doc_id", "slices").agg(*[
+            F.sum(f"tf_{v}").alias(f"tf_{v}") for v in range(len(self.variants))])
+        row = lengths.agg(*[x for i, c in enumerate(self.cells) for x in (
+            F.count_if(self._inside(c)).alias(f"n{i}"),
+            F.sum(F.when(self._inside(c), F.col(self._counts(c)))).alias(f"t{i}"))]).first()
+        n = [int(row[f"n{i}"] or 0) for i in range(len(self.cells))]
+        return n, [float(row[f"t{i}"] or 0) / x if x else 1.0 for i, x in enumerate(n)]
+
+    def queries(self) -> DataFrame:
+        """(slice bit, query_id, text) of all slices."""
+        out = None
+        for name, s in self.slices.items():
+            rows = s.queries.select(F.lit(self.bit[name]).alias("bit"), "query_id", "text")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def qrels(self) -> DataFrame:
+        """Judgments of every cell, keyed by (cell, query) and (cell, document)."""
+        out = None
+        for i, cell in enumerate(self.cells):
+            rows = self.slices[cell.slice].qrels.select(
+                F.struct(F.lit(i).alias("cell"), "query_id").alias("query_id"),
+                F.struct(F.lit(i).alias("cell"), "doc_id").alias("doc_id"), "relevance")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def query_terms(self) -> DataFrame:
+        """(cell, query_id, analyzer, term, w): qtf * idf(term, cell) of every cell's query terms."""
+        rows = (self.queries().select("bit", "query_id", F.col("text").alias("_text"))
+                .repartition(L.shuffle_partitions(self.corpus), "query_id"))
+        asked = _token_counts(rows, ["bit", "query_id"], self.analyzers, self.variants)
+        cells = self.spark.createDataFrame(
+            [(i, self.bit[c.slice], c.analyzer or "", self.variants.index(c.stopwords)) for i, c in enumerate(self.cells)],
+            "cell int, bit int, analyzer string, variant int")  # the grid's cells
+        counts = F.array(*[F.col(f"tf_{v}") for v in range(len(self.variants))])
+        asked = (asked.join(F.broadcast(cells), ["bit", "analyzer"])
+                 .select("cell", "query_id", "analyzer", "term", counts[F.col("variant")].alias("qtf")).where(F.col("qtf") > 0))
+        wanted = asked.select("analyzer", "term").distinct()
+        df = (self.postings.join(wanted, ["analyzer", "term"], "left_semi").groupBy("analyzer", "term")
+              .agg(F.array(*[F.count_if(self._inside(c)) for c in self.cells]).alias("df")))
+        n = F.array(*[F.lit(float(x)) for x in self.n_docs])
+        dfc = F.col("df")[F.col("cell")]
+        idf = F.log(F.lit(1.0) + (n[F.col("cell")] - dfc + F.lit(0.5)) / (dfc + F.lit(0.5)))
+        return (asked.join(df, ["analyzer", "term"]).where(dfc > 0)
+                .select("cell", "query_id", "analyzer", "term", (F.col("qtf") * idf).alias("w")))
+
+    def search(self, top_k: int = C.TOP_K, block_bytes: int = L.BLOCK_BYTES, segment_postings: int = SEGMENT_POSTINGS) -> DataFrame:
+        """Runs of all cells (cell, query_id, doc_id, score, rank): exact top k by BM25 with each cell's statistics."""
+        terms = self.query_terms().select(F.struct("cell", "query_id").alias("query_id"),
+                                          F.concat_ws(" ", "analyzer", "term").alias("term"), "w").persist()
+        rows, blocks = L._blocked(terms, block_bytes)
+        path = scratch_path(self.spark, "grid-run")
+        for i in blocks:
+            found = self._block_hits(rows.where(F.col("block") == i).drop("block"), top_k, segment_postings)
+            run = L.rank_top_k(found, top_k).select(F.col("query_id.cell").alias("cell"), F.col("query_id.query_id").alias("query_id"),
+                                                    "doc_id", "score", F.col("rank").cast("int").alias("rank"))
+            run.write.mode("append").parquet(path)
+        terms.unpersist()
+        return self.spark.read.schema(run.schema).parquet(path)
+
+    def _block_hits(self, block: DataFrame, top_k: int, segment_postings: int) -> DataFrame:
+        ids, numbers, runs, terms, weights = L.block_queries(block)
+        shapes = [(self.bit[c.slice], self.variants.index(c.stopwords), avg) for c, avg in zip(self.cells, self.avgdl)]
+        shared = self.spark.sparkContext.broadcast((ids, runs, terms, weights, shapes))
+        schema = L._hits_schema(block.schema["query_id"].dataType, self.postings.schema["doc_id"].dataType)
+        n_terms, n_variants, k1, b = int(terms.max(initial=-1)) + 1, len(self.variants), self.k1, self.b
+
+        def task(batches):
+            ids, runs, terms, weights, shapes = shared.value
+            best = [Best(top_k) for _ in ids]
+            asked: dict[int, list[int]] = {}
+            for i, query in enumerate(ids):
+                asked.setdefault(query["cell"], []).append(i)
+            for doc_ids, docs, (tids, slices, *counts) in segments(batches, 3 + 2 * n_variants, segment_postings):
+                for cell, queries in asked.items():
+                    bit, variant, avgdl = shapes[cell]
+                    tf, dl = counts[variant], counts[n_variants + variant]
+                    mine = ((slices >> bit) & 1).astype(bool) & (tf > 0)
+                    tf, dl = tf[mine].astype(float), dl[mine]
+                    impact = tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * dl / avgdl))
+                    blocks = PostingBlocks(doc_ids, docs[mine], tids[mine], impact, n_terms)
+                    for i in queries:
+                        own = slice(runs[i], runs[i + 1])
+                        blocks.search(terms[own], weights[own], best[i])
+            yield L.hits(list(zip(ids, best)), schema)
+
+        columns = [f"{x}_{v}" for x in ("tf", "dl") for v in range(n_variants)]
+        rows = (self.postings.withColumn("term", F.concat_ws(" ", "analyzer", "term")).join(F.broadcast(numbers), "term")
+                .select("doc_id", "tid", "slices", *columns).sortWithinPartitions("doc_id"))
+        return rows.mapInArrow(task, schema)
+
+    def index_of(self, cell: Cell) -> L.LexicalIndex:
+        """A cell's part of the shared postings as an index of its own (for the rerankers)."""
+        i = self.cells.index(cell)
+        f = self._counts(cell)
+        postings = self.postings.where(self._inside(cell)).select("term", "doc_id", F.col(f).cast("long").alias("tf"))
+        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log(F.lit(1.0) + (F.lit(float(self.n_docs[i])) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+        return L.LexicalIndex(postings, df.withColumn("idf", idf), self.n_docs[i], self.avgdl[i], self.k1, self.b, cell.analyzer, ())
+
+    def rerank(self, cell: RerankCell, run: DataFrame, dim: int = 256) -> DataFrame:
+        """The run of ``cell.first`` (query_id, doc_id, score, rank), re-scored to rank 100."""
+        first = next(c for c in self.cells if c.name == cell.first)
+        slice_ = self.slices[first.slice]
+        corpus = self.members().where(F.col("slices").bitwiseAND(F.lit(1 << self.bit[first.slice])) != 0).select("doc_id", "text")
+        index = self.index_of(first)
+        if cell.scorer == "pairs":
+            return R.rerank_pairs(run, slice_.queries, corpus, index=index)
+        if cell.scorer == "dense":
+            found = run.where(F.col("rank") <= C.RERANK_DEPTH).select(F.col("doc_id").alias("id"))
+            return R.rerank_dense(run, *D.encode_two_tower(slice_.queries, corpus, dim, index=index, doc_ids=found))
+        raise ValueError(f"unknown scorer {cell.scorer!r}")
+
+
+def experiment_grid(grid: Grid, rerank: list[RerankCell] = (), run: DataFrame | None = None, k_values=C.K_VALUES) -> DataFrame:
+    """(experiment, slice, k, n_queries, metrics) of every cell, and of every rerank cell."""
+    run = grid.search() if run is None else run
+    keyed = run.select(F.struct("cell", "query_id").alias("query_id"), F.struct("cell", "doc_id").alias("doc_id"), "rank")
+    qrels = grid.qrels()
+    names = F.array(*[F.lit(c.name) for c in grid.cells])
+    slices = F.array(*[F.lit(c.slice) for c in grid.cells])
+    first = _mean(E.per_query_metrics(keyed, qrels, k_values), F.col("query_id.cell"))
+    out = first.select(names[F.col("cell")].alias("experiment"), slices[F.col("cell")].alias("slice"), "k", "n_queries", *E.METRICS)
+    for cell in rerank:
+        i = next(i for i, c in enumerate(grid.cells) if c.name == cell.first)
+        stage = run.where(F.col("cell") == i).drop("cell")
+        judged = grid.slices[grid.cells[i].slice].qrels
+        again = _mean(E.per_query_metrics(grid.rerank(cell, stage), judged, k_values), F.lit(i))
+        capped = first.where(F.col("cell") == i).select("k", F.col("recall_cap").alias("first_recall_cap"))
+        out = out.unionByName(again.join(capped, "k", "left").withColumn("recall_cap", F.col("first_recall_cap"))
+                              .select(F.lit(cell.name).alias("experiment"), F.lit(grid.cells[i].slice).alias("slice"), "k", "n_queries", *E.METRICS))
+    return out
+
+
+def _mean(per_query: DataFrame, cell) -> DataFrame:
+    return (per_query.withColumn("cell", cell).groupBy("cell", "k")
+            .agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(F.avg(m), C.METRIC_DECIMALS).alias(m) for m in E.METRICS]))
 
 
-def experiment_matrix(experiments, corpus: DataFrame, queries: DataFrame, qrels: DataFrame,
-                      indexes: dict | None = None, runs: dict | None = None) -> DataFrame:
-    """Union of per-language evaluation reports, one block per experiment.
+def compare_runs(matrix: DataFrame, baselines: dict[str, str], default: str) -> DataFrame:
+    """Long form (experiment, slice, k, metric, value, baseline, delta): every metric beside that of a baseline.
 
-    ``indexes`` / ``runs`` hand in already built indexes or runs by experiment name.
+    ``baselines`` names the baseline experiment of each slice; ``default`` serves the others.
     """
-    out = None
-    for exp in experiments:
-        run = (runs or {}).get(exp.name)
-        if run is None:
-            run = run_experiment(exp, corpus, queries, (indexes or {}).get(exp.name))
-        rep = E.evaluate_by_language(run, qrels, queries).withColumn("experiment", F.lit(exp.name))
-        out = rep if out is None else out.unionByName(rep)
-    return out.select("experiment", "language", "k", "n_queries", *E.METRICS)
-
-
-def compare_runs(matrix: DataFrame, baseline: str) -> DataFrame:
-    """Long form (experiment, language, k, metric, value, baseline, delta) against one experiment."""
-    long = E.metrics_long(matrix, id_cols=("experiment", "language", "k"))
-    base = long.where(F.col("experiment") == baseline).select("language", "k", "metric", F.col("value").alias("baseline"))
-    return (long.join(base, ["language", "k", "metric"], "left")
-            .withColumn("delta", F.round(F.col("value") - F.col("baseline"), 5) + F.lit(0.0)))
+    long = E.metrics_long(matrix, id_cols=("experiment", "slice", "k"))
+    named = F.lit(default)
+    for slice_, name in baselines.items():
+        named = F.when(F.col("slice") == slice_, F.lit(name)).otherwise(named)
+    base = long.select(F.col("experiment").alias("against"), "k", "metric", F.col("value").alias("baseline"))
+    return (long.withColumn("against", named).join(base, ["against", "k", "metric"], "left")
+            .select("experiment", "slice", "k", "metric", "value", "against", "baseline",
+                    (F.round(F.col("value") - F.col("baseline"), 5) + F.lit(0.0)).alias("delta")))
