@@ -29,7 +29,7 @@ from docsift.operators import dense as D
 from docsift.operators import evaluate as E
 from docsift.operators import lexical as L
 from docsift.operators import rerank as R
-from docsift.session import scratch_path
+from docsift.session import scratch_path, stored
 
 #: Slices and cells of one grid: a slice is a bit of a long, a cell's statistics are columns of one aggregate.
 MAX_SLICES = 63
@@ -108,11 +108,15 @@ class Grid:
         self.analyzers = sorted({c.analyzer or "" for c in cells})
         self.variants = sorted({c.stopwords for c in cells})
         self.spark = corpus.sparkSession
+        # small tables of ids and query texts, so that no plan below repeats how the slices were made
+        self.members = stored(self._members(), "grid-members")
+        self.asked = stored(self._tagged("queries", ["query_id", "text"]), "grid-queries")
+        self.judged = stored(self._tagged("qrels", ["query_id", "doc_id", "relevance"]), "grid-qrels")
         self.postings = self._postings().persist(storage)
         self.n_docs, self.avgdl = self._sizes()
 
-    def members(self) -> DataFrame:
-        """``corpus`` with its ``slices`` bits."""
+    def _members(self) -> DataFrame:
+        """(doc_id, slices): the slice bits of every document."""
         out, bits = self.corpus, []
         for name, s in self.slices.items():
             here = F.lit(True)
@@ -126,10 +130,18 @@ class Grid:
         mask = bits[0]
         for bit in bits[1:]:
             mask = mask.bitwiseOR(bit)
-        return out.withColumn("slices", mask.cast("long"))
+        return out.select("doc_id", mask.cast("long").alias("slices"))
+
+    def _tagged(self, part: str, columns: list[str]) -> DataFrame:
+        """A table of all slices with the slice's bit."""
+        out = None
+        for name, s in self.slices.items():
+            rows = getattr(s, part).select(F.lit(self.bit[name]).alias("bit"), *columns)
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     def _postings(self) -> DataFrame:
-        docs = (self.members().select("doc_id", "slices", F.col("text").alias("_text"))
+        docs = (self.corpus.select("doc_id", F.col("text").alias("_text")).join(self.members, "doc_id")
                 .repartition(L.shuffle_partitions(self.corpus), "doc_id"))
         counts = _token_counts(docs, ["doc_id", "slices"], self.analyzers, self.variants)
         whole = Window.partitionBy("doc_id", "analyzer")  # documents lie in one partition, so only its own sort is added
@@ -153,34 +165,24 @@ class Grid:
         n = [int(row[f"n{i}"] or 0) for i in range(len(self.cells))]
         return n, [float(row[f"t{i}"] or 0) / x if x else 1.0 for i, x in enumerate(n)]
 
-    def queries(self) -> DataFrame:
-        """(slice bit, query_id, text) of all slices."""
-        out = None
-        for name, s in self.slices.items():
-            rows = s.queries.select(F.lit(self.bit[name]).alias("bit"), "query_id", "text")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+    def cell_table(self) -> DataFrame:
+        """(cell, bit, analyzer, variant) of the grid's cells."""
+        return self.spark.createDataFrame(
+            [(i, self.bit[c.slice], c.analyzer or "", self.variants.index(c.stopwords)) for i, c in enumerate(self.cells)],
+            "cell int, bit int, analyzer string, variant int")
 
     def qrels(self) -> DataFrame:
         """Judgments of every cell, keyed by (cell, query) and (cell, document)."""
-        out = None
-        for i, cell in enumerate(self.cells):
-            rows = self.slices[cell.slice].qrels.select(
-                F.struct(F.lit(i).alias("cell"), "query_id").alias("query_id"),
-                F.struct(F.lit(i).alias("cell"), "doc_id").alias("doc_id"), "relevance")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+        return (self.judged.join(F.broadcast(self.cell_table().select("cell", "bit")), "bit")
+                .select(F.struct("cell", "query_id").alias("query_id"), F.struct("cell", "doc_id").alias("doc_id"), "relevance"))
 
     def query_terms(self) -> DataFrame:
         """(cell, query_id, analyzer, term, w): qtf * idf(term, cell) of every cell's query terms."""
-        rows = (self.queries().select("bit", "query_id", F.col("text").alias("_text"))
+        rows = (self.asked.select("bit", "query_id", F.col("text").alias("_text"))
                 .repartition(L.shuffle_partitions(self.corpus), "query_id"))
         asked = _token_counts(rows, ["bit", "query_id"], self.analyzers, self.variants)
-        cells = self.spark.createDataFrame(
-            [(i, self.bit[c.slice], c.analyzer or "", self.variants.index(c.stopwords)) for i, c in enumerate(self.cells)],
-            "cell int, bit int, analyzer string, variant int")  # the grid's cells
         counts = F.array(*[F.col(f"tf_{v}") for v in range(len(self.variants))])
-        asked = (asked.join(F.broadcast(cells), ["bit", "analyzer"])
+        asked = (asked.join(F.broadcast(self.cell_table()), ["bit", "analyzer"])
                  .select("cell", "query_id", "analyzer", "term", counts[F.col("variant")].alias("qtf")).where(F.col("qtf") > 0))
         wanted = asked.select("analyzer", "term").distinct()
         df = (self.postings.join(wanted, ["analyzer", "term"], "left_semi").groupBy("analyzer", "term")
@@ -248,14 +250,16 @@ class Grid:
     def rerank(self, cell: RerankCell, run: DataFrame, dim: int = 256) -> DataFrame:
         """The run of ``cell.first`` (query_id, doc_id, score, rank), re-scored to rank 100."""
         first = next(c for c in self.cells if c.name == cell.first)
-        slice_ = self.slices[first.slice]
-        corpus = self.members().where(F.col("slices").bitwiseAND(F.lit(1 << self.bit[first.slice])) != 0).select("doc_id", "text")
+        bit = self.bit[first.slice]
+        corpus = self.corpus.select("doc_id", "text").join(
+            self.members.where(F.col("slices").bitwiseAND(F.lit(1 << bit)) != 0).select("doc_id"), "doc_id", "left_semi")
+        queries = self.asked.where(F.col("bit") == bit).select("query_id", "text")
         index = self.index_of(first)
         if cell.scorer == "pairs":
-            return R.rerank_pairs(run, slice_.queries, corpus, index=index)
+            return R.rerank_pairs(run, queries, corpus, index=index)
         if cell.scorer == "dense":
             found = run.where(F.col("rank") <= C.RERANK_DEPTH).select(F.col("doc_id").alias("id"))
-            return R.rerank_dense(run, *D.encode_two_tower(slice_.queries, corpus, dim, index=index, doc_ids=found))
+            return R.rerank_dense(run, *D.encode_two_tower(queries, corpus, dim, index=index, doc_ids=found))
         raise ValueError(f"unknown scorer {cell.scorer!r}")
 
 
@@ -267,11 +271,12 @@ def experiment_grid(grid: Grid, rerank: list[RerankCell] = (), run: DataFrame |
     names = F.array(*[F.lit(c.name) for c in grid.cells])
     slices = F.array(*[F.lit(c.slice) for c in grid.cells])
     first = _mean(E.per_query_metrics(keyed, qrels, k_values), F.col("query_id.cell"))
+    first = stored(first, "grid-first")
     out = first.select(names[F.col("cell")].alias("experiment"), slices[F.col("cell")].alias("slice"), "k", "n_queries", *E.METRICS)
     for cell in rerank:
         i = next(i for i, c in enumerate(grid.cells) if c.name == cell.first)
         stage = run.where(F.col("cell") == i).drop("cell")
-        judged = grid.slices[grid.cells[i].slice].qrels
+        judged = grid.judged.where(F.col("bit") == grid.bit[grid.cells[i].slice]).select("query_id", "doc_id", "relevance")
         again = _mean(E.per_query_metrics(grid.rerank(cell, stage), judged, k_values), F.lit(i))
         capped = first.where(F.col("cell") == i).select("k", F.col("recall_cap").alias("first_recall_cap"))
         out = out.unionByName(again.join(capped, "k", "left").withColumn("recall_cap", F.col("first_recall_cap"))
