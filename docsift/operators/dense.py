@@ -27,6 +27,8 @@ from docsift.session import scratch_path, spread
 BLOCK_CELLS = 8_000_000
 #: scores that a task holds at a time
 SCORE_CELLS = 16_000_000
+#: steps of a query's largest weight in the integer SQ scan
+SQ_LEVELS = 32_767
 #: corpus rows per LSH bucket chunk
 BUCKET_CHUNK_ROWS = 20_000
 
@@ -61,7 +63,7 @@ def hash_sign(term):
 
 
 def term_stats(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", index=None):
-    """(id, term, tf) and (term, idf) with smooth idf = ln((1+N)/(1+df)) + 1 (N = all corpus rows).
+    """(id, term, tf) and (term, df, idf) with smooth idf = ln((1+N)/(1+df)) + 1 (N = all corpus rows).
 
     With a ``LexicalIndex`` built on the same corpus and tokenizer, its postings and
     document frequencies are reused instead of tokenising again.
@@ -75,19 +77,37 @@ def term_stats(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .select("id", F.explode_outer(tokenize(F.col("_t"))).alias("term")).where(F.col("term").isNotNull())
               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
         df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log(F.lit(float(1 + n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    idf = df.select("term", "df", (F.log(F.lit(float(1 + n)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     return tf, idf
 
 
-def encode_sparse(tf: DataFrame, idf: DataFrame, dim: int, weighting: str = "log") -> DataFrame:
+def split_term_join(tf: DataFrame, terms: DataFrame, heavy: int | None = None) -> DataFrame:
+    """``tf`` with the columns of ``terms`` (one row a term, with its document frequency ``df``), skew-free.
+
+    With P postings in all, at most ``heavy`` terms have P / heavy or more: these are broadcast, so their postings stay
+    where they are.  The postings of the other terms meet their rows in a shuffle, none with more than P / heavy of them.
+    ``heavy`` is 16 for each shuffle partition, 4096 at least.
+    """
+    spark = tf.sparkSession
+    heavy = heavy or max(4096, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = terms.agg(F.sum("df")).first()[0] or 0
+    many = F.col("df") * heavy >= total
+    columns = [c for c in terms.columns if c not in ("term", "df")]
+    found = tf.join(F.broadcast(terms.where(many).drop("df")), "term", "left")  # at most ``heavy`` rows
+    rest = found.where(F.col(columns[0]).isNull()).drop(*columns).join(terms.where(~many).drop("df"), "term")
+    return found.where(F.col(columns[0]).isNotNull()).unionByName(rest)
+
+
+def encode_sparse(tf: DataFrame, idf: DataFrame, dim: int, weighting: str = "log", heavy: int | None = None) -> DataFrame:
     """Signed hashed TF-IDF: (id, dim, w), L2-normalised per id.
 
     weighting 'log': (1 + ln tf) * idf (document tower); 'binary': idf (query tower).
-    The md5 bucket and sign are computed once per distinct term, not per posting.
+    The md5 bucket and sign are computed once per distinct term, not per posting; no task holds a frequent
+    term's postings (``split_term_join``).
     """
     tfw = F.lit(1.0) + F.log(F.col("tf").cast("double")) if weighting == "log" else F.lit(1.0)
-    hashed = idf.select("term", hash_bucket(F.col("term"), dim).alias("dim"), hash_sign(F.col("term")).alias("sign"), "idf")
-    x = (tf.join(hashed, "term")
+    hashed = idf.select("term", "df", hash_bucket(F.col("term"), dim).alias("dim"), hash_sign(F.col("term")).alias("sign"), "idf")
+    x = (split_term_join(tf, hashed, heavy)
          .select("id", "dim", (F.col("sign") * tfw * F.col("idf")).alias("w"))
          .groupBy("id", "dim").agg(F.sum("w").alias("w")))
     norms = x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -239,18 +259,46 @@ def sq_encode(corpus: DataFrame, lo, hi) -> DataFrame:
     return corpus.select("id", code.alias("codes"))
 
 
-def sq_decode(codes: DataFrame, lo, hi) -> DataFrame:
-    lo_a, hi_a = F.array(*[F.lit(float(v)) for v in lo]), F.array(*[F.lit(float(v)) for v in hi])
-    dec = F.transform("codes", lambda c, i: F.element_at(lo_a, i + 1)
-                      + c * (F.element_at(hi_a, i + 1) - F.element_at(lo_a, i + 1)) / F.lit(255.0))
-    return codes.select("id", dec.alias("embedding"))
+def sq_weights(q: np.ndarray, lo, hi):
+    """(offset, scale, integer weights) of each query: score = offset + scale * (weights . codes).
+
+    A query's weights q_i * (hi_i - lo_i) / 255 are rounded to ``SQ_LEVELS`` steps of their largest magnitude.
+    """
+    lo, span = np.asarray(lo), (np.asarray(hi) - np.asarray(lo)) / 255.0
+    w = q * span[None, :]
+    scale = np.abs(w).max(axis=1, initial=0.0) / SQ_LEVELS
+    scale[scale == 0] = 1.0
+    return q @ lo, scale, np.floor(w / scale[:, None] + 0.5)
 
 
 def sq_search(queries: DataFrame, corpus: DataFrame, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """Asymmetric SQ8 search: queries exact, corpus decoded from 8-bit codes."""
+    """SQ8 search: integer products of the queries' weights with the byte codes, one rescale a query.
+
+    Codes are never decoded.  Weights and codes are integers, so the products are exact whatever the order of the sum (they
+    stay far below 2^53, where floating-point matrix products are exact too).
+    """
     lo, hi = sq_fit(corpus)
-    dec = sq_decode(sq_encode(corpus, lo, hi), lo, hi)
-    return dense_search(queries, dec, k, "dot", exclude_self)
+    coded = sq_encode(corpus, lo, hi).select("id", F.transform("codes", lambda c: (c - 128).cast("tinyint")).alias("codes"))
+    schema = hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
+
+    def hits(ids, q, spark):
+        shared = spark.sparkContext.broadcast((ids, *sq_weights(q, lo, hi)) if len(q) else (ids, q, q, q))
+
+        def run(batches):
+            qids, offset, scale, weights = shared.value
+            top = RunningTopK(qids, weights, k, exclude_self)
+            step = max(1, SCORE_CELLS // max(len(qids), 1))
+            for batch in batches:
+                if not batch.num_rows or not len(qids):
+                    continue
+                codes = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+                for start in range(0, len(doc_ids), step):
+                    products = (codes[start:start + step].astype(np.float64) + 128.0) @ weights.T
+                    top.take(doc_ids[start:start + step], offset[None, :] + scale[None, :] * products)
+            yield hit_batch(*top.result(), schema)
+        return spread(coded).mapInArrow(run, schema)
+    return blockwise(queries, len(lo), k, hits)
 
 
 # ---------------------------------------------------------------------------

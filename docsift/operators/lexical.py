@@ -56,27 +56,6 @@ class LexicalIndex:
         for df in self._cached:
             df.unpersist()
 
-    def save(self, path: str) -> str:
-        """Write the index as Parquet tables under ``path`` (a shared, durable folder): ``postings``
-        (files sorted by term), ``terms`` and a one-row ``meta``, which is written last."""
-        self.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        spark = self.postings.sparkSession
-        meta = spark.createDataFrame([(self.n_docs, self.avgdl, self.k1, self.b, self.analyzer)],
-                                     "n_docs long, avgdl double, k1 double, b double, analyzer string")
-        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-        return path
-
-
-def load_index(spark, path: str, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "LexicalIndex":
-    """Read an index written by ``LexicalIndex.save`` (lineage starts at the files)."""
-    m = spark.read.parquet(f"{path}/meta").first()  # bounded: one row
-    postings = spark.read.parquet(f"{path}/postings")
-    postings = postings.repartition(shuffle_partitions(postings), "doc_id").sortWithinPartitions("doc_id").persist(storage)
-    terms = spark.read.parquet(f"{path}/terms").persist(storage)
-    return LexicalIndex(postings, terms, int(m["n_docs"]), float(m["avgdl"]), float(m["k1"]), float(m["b"]),
-                        m["analyzer"], (postings, terms))
-
 
 def term_array(text: Column, analyzer: str | None) -> Column:
     return analyze(text, analyzer) if analyzer else tokenize(text)

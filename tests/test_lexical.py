@@ -177,14 +177,3 @@ def test_exclude_self_and_multisearch(spark, data):
     no_self = L.bm25_search(idx, docs.withColumnRenamed("doc_id", "query_id").withColumnRenamed("full_text", "text"),
                             top_k=2, exclude_self=True)
     assert no_self.where("query_id = doc_id").count() == 0
-
-
-def test_index_save_load_roundtrip(spark, data):
-    from docsift.session import scratch_path
-
-    corpus, queries = data
-    idx = L.bm25_index(corpus)
-    path = idx.save(scratch_path(spark, "idx-test"))
-    loaded = L.load_index(spark, path)
-    assert (loaded.n_docs, loaded.avgdl) == (idx.n_docs, idx.avgdl)
-    assert as_dict(L.bm25_search(loaded, queries, top_k=3)) == as_dict(L.bm25_search(idx, queries, top_k=3))
