@@ -117,7 +117,7 @@ def _sets(batches):
 
 def _trees(batches):
     slots = (np.arange(TREES)[:, None] * WIDTH + np.arange(DEPTH)[None, :]) % (TREES * WIDTH)
-    for batch in batches:
+    for batch in sliced(batches):
         n = batch.num_rows
         if n:
             signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, TREES * WIDTH)
@@ -150,9 +150,7 @@ def _neighbours(batches):
         return out
 
     member = False  # whether the last row is already given out as a member
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in sliced(batches, 4096):
         tree, key, ids = (batch.column(i).to_pylist() for i in range(3))
         if first is None:
             first = (tree[0], key[0], ids[0])
@@ -227,7 +225,7 @@ def _compare(least: int):
     A pair is given out in the first tree only whose region holds both.
     """
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):  # one pair of blocks as Python objects at a time
             found = []
             for row in batch.to_pylist():
                 x, y = row["outside"], row["members"]
@@ -267,7 +265,7 @@ def _alike(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _confirm(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 64):
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -279,7 +277,7 @@ def _confirm(percent: int):
 
 def _screen(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u1").reshape(batch.num_rows, SLOTS) for i in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((a == b).sum(axis=1) >= least))
     return run
@@ -299,27 +297,30 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, screened:
     return _with_both(likely, sets, "hashes").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the (u, v) edges are a forest of stars: every u has one v, and no v is a u."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out")),
+                                          F.struct(F.col("v").alias("id"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    other = ends.groupBy("id").agg(F.sum("out").alias("n"), F.min("out").alias("least")).where((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("least") == 0)))
+    return other.limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): for every endpoint of the (a, b) edges the smallest id of its component.
 
     Alternates large stars (every larger neighbour points to the least neighbour) and small stars (smaller
-    neighbours and the vertex do) until nothing changes.  Minima are pre-aggregated and the joins can be split by
-    AQE, so a vertex with very many edges is no single group.
+    neighbours and the vertex do) until the edges are stars, each vertex beside the least of its component.  Minima
+    are pre-aggregated and the joins can be split by AQE, so a vertex with very many edges is no single group.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
 def _join_components(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -379,6 +380,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def attempt(new, tried, links, comp, screened=False):
         new = stored(_named(new.select("a", "b").distinct(), comp).where("ca <> cb").select("a", "b")
                      .join(tried, ["a", "b"], "left_anti"), "near-new")
+        if not new.limit(1).count():
+            return tried, links, comp
         found = stored(linked(new, sets, percent, screened), "near-found")
         tried, links = tried.unionByName(new), links.unionByName(found)
         return tried, links, _join_components(comp, found) if found.limit(1).count() else comp
