@@ -105,4 +105,6 @@ def _leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: i
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns kept; decided by each row's text, whatever its doc_id."""
     leaked = _leaks(docs, items, **options).select(F.col("doc").alias("_leaked")).distinct()
-    return docs.join(leaked, F.md5("text") == F.col("_leaked"), "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name of a column can clash with one made here
+    text = F.col(names[docs.columns.index("text")])
+    return docs.toDF(*names).join(leaked, F.md5(text) == F.col("_leaked"), "left_anti").toDF(*docs.columns)

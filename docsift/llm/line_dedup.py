@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -196,7 +195,7 @@ class LineDedup:
             change = crossed.select(_shard_of("key", self.n_shards), "key", "add")
             self.filters = self._write(
                 self.filters.groupBy("shard").cogroup(change.groupBy("shard"))
-                .applyInPandas(_change_shard, "shard int, table binary"), "line-filters")
+                .applyInArrow(_change_shard, "shard int, table binary"), "line-filters")
             if self.filters.where(F.length("table") == 0).limit(1).count() == 0:
                 return
         # first build, or a shard ran full: new filters from the exact counts, with shards of bounded size
@@ -206,7 +205,7 @@ class LineDedup:
             n_shards *= 2
         self.n_shards = n_shards
         self.filters = self._write(full.select(_shard_of("key", n_shards), "key").groupBy("shard")
-                                   .applyInPandas(_build_shard, "shard int, table binary"), "line-filters")
+                                   .applyInArrow(_build_shard, "shard int, table binary"), "line-filters")
 
     def _shared(self) -> "Filters | None":
         """Filters and exceptions for a broadcast, or None if they exceed its bound."""
@@ -261,8 +260,10 @@ class LineDedup:
 
             return docs.mapInArrow(run, schema)
         # beyond the broadcast bound: each document's distinct keys join the counts, and meet its text again
-        docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-        keys = docs.select("_row", "text").mapInArrow(_keys_task(min_chars), "row long, key binary").distinct()
+        names = [f"c{i}" for i in range(len(docs.columns))]  # no name of a column can clash with one made here
+        id_, columns = names[docs.columns.index("doc_id")], docs.columns
+        docs = docs.toDF(*names).withColumn("_row", F.xxhash64(id_, names[at]))
+        keys = docs.select("_row", names[at]).mapInArrow(_keys_task(min_chars), "row long, key binary").distinct()
         gone = (keys.join(self.counts.where(F.col("n") >= self.min_docs).select("key"), "key")
                 .groupBy("row").agg(F.collect_set("key").alias("_gone")))
 
@@ -271,7 +272,7 @@ class LineDedup:
                 texts = [t.split(b"\n") for t in _texts(batch, at)]
                 keys = [[line_key(x, min_chars) for x in lines] for lines in texts]
                 gone = batch.column(batch.num_columns - 1).to_pylist()
-                yield make(batch.select(range(batch.num_columns - 1)), texts, keys, [set(x or ()) for x in gone])
+                yield make(batch.select(range(len(columns))).rename_columns(columns), texts, keys, [set(x or ()) for x in gone])
 
         return docs.join(gone, docs["_row"] == gone["row"], "left").drop("_row", "row").mapInArrow(joined, schema)
 
@@ -284,19 +285,23 @@ def _shard_of(key, n_shards: int):
     return F.pmod(value, F.lit(n_shards)).cast("int").alias("shard")
 
 
-def _build_shard(group: pd.DataFrame) -> pd.DataFrame:
-    new = Cuckoo.of(_pairs(sorted(group["key"])))
-    return pd.DataFrame({"shard": group["shard"].iloc[:1], "table": [new.table.tobytes()]})
+def _shard_row(shard: int, table: bytes) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "table": pa.array([table], pa.binary())})
 
 
-def _change_shard(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
-    shard = (old if len(old) else change)["shard"].iloc[0]
-    add = _pairs(sorted(change["key"][change["add"]])) if len(change) else np.zeros((0, 2), np.uint64)
-    gone = _pairs(sorted(change["key"][~change["add"]])) if len(change) else add
-    table = np.frombuffer(old["table"].iloc[0], np.uint32).reshape(-1, SLOTS).copy() if len(old) else Cuckoo.sized(2 * len(add)).table
+def _build_shard(group: pa.Table) -> pa.Table:
+    new = Cuckoo.of(_pairs(sorted(group["key"].to_pylist())))
+    return _shard_row(group["shard"][0].as_py(), new.table.tobytes())
+
+
+def _change_shard(old: pa.Table, change: pa.Table) -> pa.Table:
+    shard = (old if len(old) else change)["shard"][0].as_py()
+    add, gone = (_pairs(sorted(k for k, a in zip(change["key"].to_pylist(), change["add"].to_pylist()) if a == which))
+                 for which in (True, False))
+    table = np.frombuffer(old["table"][0].as_py(), np.uint32).reshape(-1, SLOTS).copy() if len(old) else Cuckoo.sized(2 * len(add)).table
     new = Cuckoo(table)
     new.remove(gone)
-    return pd.DataFrame({"shard": [shard], "table": [new.table.tobytes() if new.add(add) else b""]})  # b"": full
+    return _shard_row(shard, new.table.tobytes() if new.add(add) else b"")  # b"": full
 
 
 def _keys_task(min_chars: int):
