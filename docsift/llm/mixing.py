@@ -27,9 +27,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(rf"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """Uniform number in [0, 1) from 52 bits of md5(seed:doc_id); a null id draws as an empty one."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """Uniform number in [0, 1) from 52 bits of md5(seed:doc_id:md5(text)); nulls draw as empty ones.
+
+    With the text in it, rows that share an id, or have none, draw apart.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"),
+                            F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
@@ -68,15 +72,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_ra
     """(doc_id, source, size, source_size, target, copies, taken) per row of ``docs`` (doc_id, text, source).
 
     ``copies`` is how often the mix takes the document, ``taken`` = copies * size.  Reruns agree, since the draw
-    depends on seed and doc_id alone; repeated rows with one doc_id share their draw and are each a document.
+    depends on seed, doc_id and text alone; rows equal in both share their draw and are each a document.
     Null and empty texts have size 0 and are taken by the same rule; a source without any words gets target 0 and
     copies 0.  A null source is a source of its own.  An empty table gives no rows.  Other columns are ignored.
     """
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                               draw(F.col("doc_id"), F.col("text"), seed).alias("draw")), "mix-sizes")
     targets = source_targets(sizes, weights, budget, max_rate)
     rates = _rates(targets)
     return (sizes.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("copies", _copies(seed))
+            .withColumn("copies", _copies(F.col("draw"), F.col("_rate")))
             .select("doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
 
@@ -88,18 +93,27 @@ def _rates(targets: DataFrame) -> DataFrame:
     return F.broadcast(rates) if targets.count() <= BROADCAST_SOURCES else rates
 
 
-def _copies(seed: str) -> Column:
-    whole = F.floor("_rate")
-    return (whole + (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")).cast("long")
+def _copies(drawn: Column, rate: Column) -> Column:
+    whole = F.floor(rate)
+    return (whole + (drawn < rate - whole).cast("long")).cast("long")
 
 
 def emit_mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_rate: float = MAX_RATE,
              seed: str = SEED) -> DataFrame:
-    """The mixed documents themselves: every row of ``docs`` ``copies`` times, with a number ``copy`` from 1."""
+    """The mixed documents themselves: every row of ``docs`` as often as it is taken, with a number ``copy`` from 1.
+
+    A column ``copy`` of ``docs`` is replaced, all others are kept, whatever their names.  Null and empty texts have size 0
+    and are taken by their source's rate; very long texts count whole; a null source is a source of its own; rows
+    equal in doc_id and text are taken equally often; an empty table gives no rows.
+    """
     sizes = stored(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source")
                    .agg(F.sum("size").alias("size")), "mix-sizes")
     rates = _rates(source_targets(sizes, weights, budget, max_rate)).select("_source", "_rate")
-    copies = F.sequence(F.lit(1).cast("long"), _copies(seed))
-    return (docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-            .withColumn("copy", F.explode(F.when(_copies(seed) > 0, copies).otherwise(F.array().cast("array<bigint>"))))
-            .drop("_source", "_rate"))
+    kept = [c for c in docs.columns if c != "copy"]
+    names = [f"c{i}" for i in range(len(kept))]  # no name of a column can clash with one made here
+    plain = docs.select(*kept).toDF(*names)
+    id_, text, source = (F.col(names[kept.index(x)]) for x in ("doc_id", "text", "source"))
+    taken = _copies(draw(id_, text, seed), F.col("_rate"))
+    copies = F.when(taken > 0, F.sequence(F.lit(1).cast("long"), taken)).otherwise(F.array().cast("array<bigint>"))
+    return (plain.join(rates, source.eqNullSafe(F.col("_source"))).select(*names, F.explode(copies).alias("copy"))
+            .toDF(*kept, "copy"))

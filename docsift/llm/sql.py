@@ -25,7 +25,8 @@ SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT A
 """
 
 OP3 = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{SPACE}]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{SPACE}]+')), 0)::BIGINT AS size,
+                  coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS key FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w,
               2.0::DOUBLE * source_size AS cap FROM s0),
@@ -35,10 +36,10 @@ s2 AS (SELECT *, coalesce(sum(cap) OVER o - cap, 0) AS cap_before, sum(w) OVER (
 level AS (SELECT (budget - cap_before)::DOUBLE AS rest, w_left::DOUBLE AS w_left FROM s2
           WHERE cap >= w * (budget - cap_before)::DOUBLE / w_left::DOUBLE ORDER BY cap / w, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(cap, coalesce(w::DOUBLE * rest / w_left, cap)) AS target FROM s1 LEFT JOIN level ON true),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+r AS (SELECT doc_id, key, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-       (floor(rate)::BIGINT + (concat('0x', substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE
+       (floor(rate)::BIGINT + (concat('0x', substr(md5('mix:' || key), 1, 13))::BIGINT::DOUBLE
          / 4503599627370496.0::DOUBLE < rate - floor(rate))::BIGINT) * size AS taken
 FROM r
 """
