@@ -91,9 +91,8 @@ class TopK:
         floor = np.concatenate([[0.0], np.cumsum(least[order])])
         # a row that adds no more than the least amount in the first e lists cannot reach ``at`` by the others
         essential = min(int(np.searchsorted(-(floor + rest), -at, side="right")), len(order))
-        traversed = np.zeros_like(q)
-        traversed[order[:essential]] = q[order[:essential]]
-        partial = traversed @ lists
+        terms = order[:essential]
+        partial = q @ lists if essential == len(order) else q[terms] @ lists[terms]  # the essential lists alone
         found = np.flatnonzero(partial + rest[essential] >= at)
         partial = partial[found]
         for rank in range(essential, len(order)):
