@@ -136,6 +136,9 @@ class Parser:
         for own, automaton in zip(self.own, self.automata):
             for c, symbol in automaton.codes.items():
                 own[self.codes[c]] = symbol
+        # a longer sample has longer matches: phrases cost the bits of a place in the sample, which makes samples of
+        # different length comparable
+        self.cost = np.array([np.log2(len(t) + 2) for t in texts.values()])
         self._lookup = None
 
     def lookup(self) -> np.ndarray:
@@ -179,7 +182,10 @@ class Parser:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text: 1 - fewest phrases / second fewest, 1 for a single language."""
+        """Language and score of each text: 1 - least / second least cost of its phrases, 1 for a single language.
+
+        A phrase costs log2 of the length of the language's sample.
+        """
         codes = [self.encode(t) if t else np.empty(0, np.int32) for t in texts]
         counts = self.phrases(codes)
         langs, scores = [], []
@@ -188,6 +194,7 @@ class Parser:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
+            n = n * self.cost
             order = np.argsort(n, kind="stable")
             langs.append(self.langs[order[0]])
             scores.append(1.0 - n[order[0]] / n[order[1]] if len(order) > 1 else 1.0)
