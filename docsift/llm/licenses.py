@@ -14,7 +14,9 @@ A window runs from one bigram of a template to another and has as many bigrams,
 bounds allow.  It counts where neither lines nor the whole text show the notice: it overlaps no matching line, it is
 not of the licence that the whole text matches, and if it lies in one line, that line was not compared as a whole with
 this template, nor with one of the same licence of which it shares more bigrams outside the window than inside.  Of overlapping
-windows the one that shares most bigrams counts (ties: Dice, licence name, the first).
+windows the one that shares most bigrams counts (ties: Dice, licence name, the first); if that one's line was compared,
+none of them does, rather than a poorer one of another licence.  A matching line that is part of a wrapped notice of
+another licence, which shares more bigrams, counts as that notice.
 """
 
 from __future__ import annotations
@@ -49,6 +51,21 @@ TEMPLATES = (
                 "General Public License as published by the Free Software Foundation, either version 3 of the License, "
                 "or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+                "or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                 "License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
@@ -62,6 +79,12 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-3.0", "Licensed under CC BY 3.0."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
     ("Proprietary", "All rights reserved."),
 )
 
@@ -111,7 +134,8 @@ def _column(expression: Column) -> Column:
 
 
 def windows(rows: DataFrame, grams: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
-    """(doc_id, text, license, number, shared, dice, first, last, from_line, to_line): per template and first bigram the best window."""
+    """Per template and first bigram the best window: doc_id, text, license, number, shared, dice, first, last, from_line,
+    to_line, and whether its line was ``compared`` as a whole."""
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     table = []
     for number, (name, g) in enumerate(grams):
@@ -159,8 +183,8 @@ def windows(rows: DataFrame, grams: list[tuple[str, list[str]]], threshold: floa
     compared = F.exists(F.array(*table), lambda t: (t["license"] == F.col("t.license"))
                         & (F.size("own") >= F.size(t["grams"]) * F.lit(low)) & (F.size("own") <= F.size(t["grams"]) * F.lit(high))
                         & ((t["grams"] == F.col("t.grams")) | (F.size(F.array_intersect("own", t["grams"])) > 2 * F.col("shared"))))
-    return (rows.where(F.col("own").isNull() | ~compared)
-            .select("doc_id", "text", "t.license", "t.number", "shared", "dice", "first", "last", "from_line", "to_line"))
+    return rows.select("doc_id", "text", "t.license", "t.number", "shared", "dice", "first", "last", "from_line", "to_line",
+                       (F.col("own").isNotNull() & compared).alias("compared"))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,10 +214,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     units = units.select("doc_id", "text", "line", F.when(possible, F.array_distinct(pairs)).alias("grams"))
     able = F.filter(table, lambda t: (F.size("grams") >= F.size(t["grams"]) * F.lit(low))
                     & (F.size("grams") <= F.size(t["grams"]) * F.lit(high)))
-    scored = F.transform(able, lambda t: F.struct(
-        (F.lit(2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.size("grams") + F.size(t["grams"]))).alias("dice"),
-        t["license"].alias("license")))
-    best = F.reduce(scored, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")),
+    held = F.transform(able, lambda t: F.struct(t.alias("t"), F.size(F.array_intersect(F.col("grams"), t["grams"])).alias("shared")))
+    scored = F.transform(held, lambda h: F.struct(
+        (F.lit(2.0) * h["shared"] / (F.size("grams") + F.size(h["t"]["grams"]))).alias("dice"),
+        h["t"]["license"].alias("license"), h["shared"].alias("shared")))
+    best = F.reduce(scored, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license"), F.lit(0).alias("shared")),
                     lambda a, b: F.when((b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["license"] < a["license"])), b)
                     .otherwise(a))
     found = (units.select("doc_id", "text", "line", F.when(F.col("grams").isNotNull(), best).alias("best"))
@@ -201,19 +226,24 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
              .where(F.col("hit").isNotNull()))
     # rows equal in doc_id and text give equal units, so their number is that of the units by that of the distinct ones
     wide = windows(rows, grams, threshold)
-    no_window = F.lit(None).cast("struct<fewer:int,cost:double,license:string,first:int,last:int,from_line:int,to_line:int,number:int>")
-    both = found.select("doc_id", F.md5("text").alias("row"), F.struct("line", "hit.license", "hit.dice").alias("unit"),
+    no_window = F.lit(None).cast("struct<fewer:int,cost:double,license:string,first:int,last:int,from_line:int,to_line:int,number:int,compared:boolean>")
+    both = found.select("doc_id", F.md5("text").alias("row"), F.struct("line", "hit.license", "hit.dice", "hit.shared").alias("unit"),
                         no_window.alias("window")).unionByName(
-        wide.select("doc_id", F.md5("text").alias("row"), F.lit(None).cast("struct<line:int,license:string,dice:double>").alias("unit"),
-                    F.struct((-F.col("shared")).alias("fewer"), (-F.col("dice")).alias("cost"), "license", "first", "last", "from_line", "to_line", "number").alias("window")))
+        wide.select("doc_id", F.md5("text").alias("row"), F.lit(None).cast("struct<line:int,license:string,dice:double,shared:int>").alias("unit"),
+                    F.struct((-F.col("shared")).alias("fewer"), (-F.col("dice")).alias("cost"), "license", "first", "last", "from_line", "to_line", "number", "compared").alias("window")))
     rows = both.groupBy("doc_id", "row").agg(F.collect_set("unit").alias("units"), F.collect_set("window").alias("windows"),
                                              F.count(F.lit(1)).alias("n"))
-    free = F.array_sort(F.filter("windows", lambda w: ~F.exists("units", lambda u: u["line"].between(w["from_line"], w["to_line"]))))
-    rows = rows.select("doc_id", "units", (F.col("n") / (F.size("units") + F.size("windows"))).cast("long").alias("n"),
-                       _column(free).alias("windows"))
+    within = lambda u, w: u["line"].between(w["from_line"], w["to_line"])
+    # a line that is part of a wrapped notice of another licence is that notice, not a poorer one of its own
+    part = lambda u: F.exists("windows", lambda w: within(u, w) & (w["from_line"] < w["to_line"])
+                              & (-w["fewer"] > u["shared"]) & (w["license"] != u["license"]))
+    rows = rows.select("doc_id", (F.col("n") / (F.size("units") + F.size("windows"))).cast("long").alias("n"), "windows",
+                       _column(F.filter("units", lambda u: ~part(u))).alias("units"))
+    free = F.array_sort(F.filter("windows", lambda w: ~F.exists("units", lambda u: within(u, w))))
+    rows = rows.select("doc_id", "units", "n", _column(free).alias("windows"))
     apart = F.aggregate("windows", F.filter("windows", lambda w: F.lit(False)), lambda kept, w: F.when(
         F.exists(kept, lambda k: (k["first"] <= w["last"]) & (w["first"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(w))))
-    new = F.filter(apart, lambda w: ~F.exists("units", lambda u: (u["line"] == WHOLE) & (u["license"] == w["license"])))
+    new = F.filter(apart, lambda w: ~w["compared"] & ~F.exists("units", lambda u: (u["line"] == WHOLE) & (u["license"] == w["license"])))
     pair = lambda x, dice: F.struct(x["license"].alias("license"), dice.alias("dice"))
     hits = F.concat(F.transform("units", lambda u: pair(u, u["dice"])), F.transform(new, lambda w: pair(w, -w["cost"])))
     return (rows.select("doc_id", "n", F.explode_outer(hits).alias("hit")).where(F.col("hit").isNotNull())
