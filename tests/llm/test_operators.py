@@ -353,3 +353,82 @@ def test_pipeline_stages(spark):
         if i == 3:
             assert decontam.leaked_items(docs, common.documents(spark, SF001, "benchmark")).count() == 0
             assert lsh_forest.near_duplicates(docs).where("not kept").count() == 0
+
+
+# -- columns of any name, equal rows, samples of different length ------------------
+
+def odd_columns(spark, texts):
+    """documents with the names that operators once made for themselves."""
+    extra = {"_id": 1, "_row": 2, "_digest": "d", "_rate": 0.5, "_source": "z", "copy": 9, "row": 3, "_leaked": True, "digest": "e", "draw": 0.1}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *[F.lit(v).alias(k) for k, v in extra.items()])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as P
+    near = " ".join(f"w{i}" for i in range(60))
+    docs = odd_columns(spark, ODD + [(20, near), (21, near + " more")])
+    out = P.near_stage(spark, docs, SF001)
+    assert out.columns == docs.columns and out.where("_rate = 0.5 AND _row = 2 AND copy = 9").count() == out.count()
+    mixed = mixing.emit_mix(docs)
+    assert sorted(mixed.columns) == sorted(docs.columns) and mixed.where("copy < 1 OR _source <> 'z'").count() == 0
+    assert P.benchmark_stage(spark, docs, SF001).columns == docs.columns
+    for mb in (64, 0):  # 0: beyond the broadcast bound
+        out = line_dedup.LineDedup(spark, 1, broadcast_mb=mb).insert(docs).rewrite(docs)
+        assert out.columns == docs.columns and out.where("row = 3 AND _row = 2").count() == docs.count()
+
+
+def test_near_stage_keeps_one_of_equal_rows(spark):
+    import corpus_pipeline as P
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = odd_columns(spark, [(3, a), (3, a), (3, a), (5, b), (5, a), (None, a), (None, b), (None, b), (None, None), (None, None), (7, "")])
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in P.near_stage(spark, docs, SF001).collect()), key=str)
+    assert got == sorted([(False, 3, a), (False, 5, b), (True, 0, None), (False, 7, "")], key=str)
+    alone = odd_columns(spark, [(1, a), (2, a + " x"), (3, b)])
+    assert sorted(r.doc_id for r in P.near_stage(spark, alone, SF001).collect()) == [1, 3]
+
+
+def test_mix_draws_apart_for_rows_that_share_an_id(spark):
+    """With all ids null the taken words still come near every source's target."""
+    docs = spark.createDataFrame([(None, f"w{i} " * 5, "en", "abc"[i % 3], 1) for i in range(3000)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for r in mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect():
+        assert abs(r.t - r.g) <= 0.05 * r.g
+
+
+def test_maxscore_traverses_the_essential_lists_only():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(-20, 20, (4000, 32)).astype(float)
+    rows[:, 8:] /= 10
+    rows = np.floor(rows)
+    q = rows[0]
+    scores = rows @ q
+    kth = np.sort(scores)[-5]
+    low, high = rows.min(axis=0), rows.max(axis=0)
+    found, got = maxscore.TopK._search(q, np.ascontiguousarray(rows.T), np.maximum(q * low, q * high), np.minimum(q * low, q * high), kth)
+    assert found.tolist() == np.flatnonzero(scores >= kth).tolist() and (got == scores[found]).all()
+
+
+def test_language_samples_of_different_length_are_comparable(spark):
+    """A language of a few hundred letters is still told from others with long samples."""
+    docs = [(r.text, r.lang) for r in common.documents(spark, SF001).where("length(text) > 400").select("text", "lang").collect()]
+    samples = {}
+    for text, lang in docs:
+        samples.setdefault(lang, []).append(text)
+    langs = sorted(samples)
+    for short in langs:
+        cut = {x: ["\n".join(t[::2])[:1000] if x == short else "\n".join(t[::2])] for x, t in samples.items()}
+        parser = language.Parser(cut)
+        held = [t for t in samples[short][1::2]]
+        right = sum(x == short for x in parser.predict(held)[0])
+        assert right >= 0.9 * len(held), (short, right, len(held))
+
+
+def test_license_families_are_told_apart(spark):
+    """Every template's own notice, and it among other text, is found under its own name only."""
+    texts = [(i, text) for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    texts += [(1000 + i, "Some words before it.\n" + text + "\nand more words after.") for i, text in texts]
+    got = {}
+    for r in licenses.license_scan(table(spark, texts)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {licenses.TEMPLATES[i % 1000][0]} for i, _ in texts}
