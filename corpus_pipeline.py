@@ -20,7 +20,11 @@ def _ready(spark: SparkSession) -> None:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly trained classifier accepts."""
+    """Documents that the weakly trained classifier accepts.
+
+    Null and empty texts are rejected; very long ones are scored whole; every row is judged for itself, so repeated
+    rows and null ids stay or go alike; an empty table stays empty; all columns are kept.
+    """
     _ready(spark)
     return quality.accepted(docs, quality.train(docs)[1])
 
@@ -34,34 +38,41 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of the smallest doc_id, a null one last.
 
-    Texts are told apart even where they share a doc_id or have none.  Rows equal in both stay or go together.
+    Texts are told apart even where they share a doc_id or have none; of rows equal in both one stays.  Null and
+    empty texts link with nothing, so they stay (once for each doc_id); very long texts are compared whole; of ties the
+    smaller doc_id stays; an empty table stays empty; other columns, of any name, are kept.
     """
     _ready(spark)
-    digest = F.coalesce(F.md5("text"), F.lit(""))
-    keys = docs.select("doc_id", digest.alias("digest"))
-    odd = (keys.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-           .where(F.col("doc_id").isNull() | (F.col("a") != F.col("b"))))
-    if odd.limit(1).count():  # doc_id does not name a text: number the texts in its order
-        keys = stored(keys.distinct().orderBy(F.col("doc_id").asc_nulls_last(), "digest")
-                      .select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"),
-                              F.monotonically_increasing_id().alias("_row")), "near-keys")
-        rows = stored(docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")))
-                      .select(*docs.columns, "_row"), "near-rows")
-        found = lsh_forest.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-        copies = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "near-copies")
-        return rows.join(copies, "_row", "left_anti").select(docs.columns)
-    copies = stored(lsh_forest.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name of a column can clash with one made here
+    plain = docs.toDF(*names)
+    id_, text = (F.col(names[docs.columns.index(x)]) for x in ("doc_id", "text"))
+    digest = F.coalesce(F.md5(text), F.lit(""))
+    odd = plain.groupBy(id_.alias("doc_id")).count().where(F.col("doc_id").isNull() | (F.col("count") > 1))
+    if odd.limit(1).count():  # doc_id does not name a row: one row a text and id, numbered in their order
+        one = (plain.withColumn("digest", digest).groupBy(id_.alias("doc_id"), "digest")
+               .agg(F.first(F.struct(*names)).alias("r")))
+        rows = stored(one.orderBy(F.col("doc_id").asc_nulls_last(), "digest")
+                      .select(F.monotonically_increasing_id().alias("row"), "r.*"), "near-rows")
+        found = lsh_forest.near_duplicates(rows.select(F.col("row").alias("doc_id"), text.alias("text")))
+        copies = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("row")).distinct(), "near-copies")
+        return rows.join(copies, "row", "left_anti").select(*names).toDF(*docs.columns)
+    found = lsh_forest.near_duplicates(plain.select(id_.alias("doc_id"), text.alias("text")))
+    copies = stored(found.where(~F.col("kept")).select("doc_id").distinct(), "near-copies")
+    return plain.join(copies, id_ == copies["doc_id"], "left_anti").toDF(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Decided by row: null and empty texts hold none and stay, very long ones are searched whole, repeated rows go
+    together, an empty table (of documents or items) changes nothing, all columns are kept.
+    """
     _ready(spark)
     return decontam.clean_documents(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: documents as often as their source's rate takes them, numbered by ``copy``."""
+    """The mix itself: documents as often as their source's rate takes them, numbered by ``copy`` (see ``emit_mix``)."""
     _ready(spark)
     return mixing.emit_mix(docs)
 
