@@ -89,14 +89,14 @@ def bm25_index(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", an
 
 
 def query_terms(queries: DataFrame, index: LexicalIndex, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, term, qtf, w = qtf*idf, df) for query terms present in the index."""
+    """(query_id, term, qtf, w = qtf*idf, df, idf) for query terms present in the index."""
     qt = (queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("_text"))
           .repartition(shuffle_partitions(queries), "query_id")
           .select("query_id", F.explode_outer(term_array(F.col("_text"), index.analyzer)).alias("term"))
           .where(F.col("term").isNotNull())
           .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     return (qt.join(index.terms.select("term", "df", "idf"), "term")
-            .select("query_id", "term", "qtf", (F.col("qtf") * F.col("idf")).alias("w"), "df"))
+            .select("query_id", "term", "qtf", (F.col("qtf") * F.col("idf")).alias("w"), "df", "idf"))
 
 
 def rank_top_k(scored: DataFrame, top_k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:

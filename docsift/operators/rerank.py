@@ -26,11 +26,11 @@ def coverage_scores(pairs: DataFrame, index: LexicalIndex, queries: DataFrame) -
     """idf-weighted query-term coverage of each (query_id, doc_id) pair:
     sum of idf over distinct query terms present in the doc / sum of idf over distinct query terms.
     """
-    qt = (query_terms(queries, index).join(index.terms.select("term", "idf"), "term")
-          .select("query_id", "term", "idf"))
+    qt = query_terms(queries, index).select("query_id", "term", "idf")
     total = qt.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    # no hint: adaptive execution sees the real bytes of the (pair, term) side, and (term, doc_id) is no hot key
-    present = (index.postings.select("term", "doc_id").join(pairs.join(qt, "query_id"), ["term", "doc_id"])
+    # the postings lie by document: only the candidates' ones leave their partitions, and (term, doc_id) is no hot key
+    near = index.postings.select("term", "doc_id").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    present = (near.join(pairs.join(qt, "query_id"), ["term", "doc_id"])
                .groupBy("query_id", "doc_id").agg(F.sum("idf").alias("hit")))
     # left: a query without any indexed term keeps its candidates, at score 0
     return (pairs.join(present, ["query_id", "doc_id"], "left").join(total, "query_id", "left")

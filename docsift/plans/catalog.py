@@ -7,6 +7,8 @@ integers, doubles rounded to 6 (scores) or 5 (metrics) decimals, and no arrays.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from docsift import constants as C
 from docsift.operators import evaluate as E
 from docsift.operators import lexical as L
+from docsift.operators.dense import split_term_join
 from docsift.plans import oracle as O
 from docsift.sources import fixtures as FX
 
@@ -52,14 +55,15 @@ def normalize_output(df: DataFrame) -> DataFrame:
 # shared building blocks (cached per session + scale so composite queries reuse them)
 # ---------------------------------------------------------------------------
 
-_CACHE: dict = {}
+#: What queries of one session share; gone with the session.
+_CACHE: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 def _cached(spark, key, build):
-    k = (id(spark), key)
-    if k not in _CACHE:
-        _CACHE[k] = build()
-    return _CACHE[k]
+    held = _CACHE.setdefault(spark, {})
+    if key not in held:
+        held[key] = build()
+    return held[key]
 
 
 def _persisted(ds: FX.Dataset, queries: bool) -> FX.Dataset:
@@ -142,8 +146,9 @@ def q_evaluate_by_language(spark, sf_dir):
 def q_bm25_index(spark, sf_dir):
     """#40 inverted index: postings with document frequency and idf."""
     idx = fx1_index(spark, sf_dir)
-    return (idx.postings.join(idx.terms.select("term", "df", "idf"), "term")
-            .select("term", "doc_id", "tf", "dl", "df", F.round("idf", 6).alias("idf")))
+    terms = idx.terms.select("term", "df", "idf", F.col("df").alias("n_docs"))
+    return (split_term_join(idx.postings.select("term", "doc_id", "tf", "dl"), terms)
+            .select("term", "doc_id", "tf", "dl", F.col("n_docs").alias("df"), F.round("idf", 6).alias("idf")))
 
 
 # registration side effects: the other query groups
