@@ -12,12 +12,10 @@ equi-join on the hash finds every true pair; candidates are then verified with
 a real substring test.  Shorter passages use smaller (k, w) levels down to
 (1, 1), so the join is exact for any non-empty passage.
 
-Two physical forms:
-* passages with a checked size bound are broadcast and matched inside each
-  document partition (no shuffle of documents at all); there every k-gram hash
-  of the document is tested against the passage anchors, so no winnowing is needed;
-* otherwise fingerprints are equi-joined on the hash (shuffle on the hash, AQE
-  splits hot hashes) and the candidates are verified by joins on the ids.
+One plan at every size: fingerprints meet passage anchors in an equi-join on (hash, salt), where the salt is taken from
+the document, so the documents of a hash that very many share (a boilerplate passage) lie in ``SALTS`` tasks or
+more.  The candidate pairs are written, which tells Spark their size, and joined with the documents they name for
+the substring test; Spark broadcasts whichever side of these joins is small by its own statistics.
 """
 
 from __future__ import annotations
@@ -28,17 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.session import spread
+from docsift.session import spread, stored
 
 #: (k, w) levels, largest first; a passage of length L uses the first level with L >= k + w - 1.
 LEVELS = ((16, 48), (6, 10), (3, 1), (1, 1))
 _BASE = np.uint64(1_000_003)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-#: broadcast only when the passages are at most this many characters in total
-BROADCAST_MAX_CHARS = 64 * 1024 * 1024
-#: candidate (passage, document) pairs broadcast for verification up to this many rows
-VERIFY_BROADCAST_ROWS = 200_000
+#: parts that the documents of one hash are split into
+SALTS = 16
 
 
 def _kgram_hashes(text: str, k: int) -> np.ndarray:
@@ -115,86 +111,36 @@ def _passage_table(passages: DataFrame, id_col: str, text_col: str) -> DataFrame
 
 
 def contains_join(passages: DataFrame, docs: DataFrame, passage_id: str = "item_id", passage_text: str = "text",
-                  doc_id: str = "doc_id", doc_text: str = "text", doc_cols=(), force: str | None = None) -> DataFrame:
+                  doc_id: str = "doc_id", doc_text: str = "text", doc_cols=()) -> DataFrame:
     """Pairs (passage_id, doc_id, *doc_cols) with ``contains(doc_text, passage_text)``.
 
     Empty/null passages are skipped (they would match every document).
-    ``force`` = 'broadcast' | 'shuffle' pins the physical form (tests).
     """
     spark = docs.sparkSession
     p = _passage_table(passages, passage_id, passage_text)
-    pid_type = passages.schema[passage_id].dataType
-    did_type = docs.schema[doc_id].dataType
-    extra = [docs.schema[c] for c in doc_cols]
-
-    mode = force
-    if mode is None:
-        stats = p.agg(F.count("*").alias("n"), F.sum(F.length("_ptext")).alias("chars")).first()
-        mode = "broadcast" if (stats["chars"] or 0) <= BROADCAST_MAX_CHARS else "shuffle"
-
-    if mode == "broadcast":
-        # with every passage anchor at hand, no winnowing is needed: a passage occurring in
-        # the document contributes its minimum k-gram hash to the document's k-gram hashes,
-        # so one vectorised membership test per document and k finds every candidate
-        rows = [(r["_pid"], r["_ptext"]) for r in p.toLocalIterator()]  # bounded: <= BROADCAST_MAX_CHARS checked above
-        by_k: dict[int, dict[int, list]] = {}
-        for pid, ptext in rows:
-            k = min(LEVELS[0][0], len(ptext))
-            by_k.setdefault(k, {}).setdefault(anchor(ptext, k), []).append((pid, ptext))
-        index = {k: (np.array(sorted(t.keys()), dtype=np.int64), t) for k, t in by_k.items()}
-        bc = spark.sparkContext.broadcast(index)
-        out_schema = T.StructType([T.StructField("passage_id", pid_type), T.StructField(doc_id, did_type)] + extra)
-        keep = [doc_id, doc_text, *doc_cols]
-
-        def match(batches):
-            idx = bc.value
-            for pdf in batches:
-                out_p, out_rows = [], []
-                for row in pdf.itertuples(index=False):
-                    text = row[1]
-                    if not text:
-                        continue
-                    for k, (keys, table) in idx.items():
-                        h = _kgram_hashes(text, k).view(np.int64)
-                        for hv in np.unique(h[np.isin(h, keys)]).tolist():
-                            for pid, ptext in table[hv]:
-                                if ptext in text:
-                                    out_p.append(pid)
-                                    out_rows.append((row[0],) + tuple(row[2:]))
-                if out_p:
-                    res = pd.DataFrame(out_rows, columns=[doc_id, *doc_cols])
-                    res.insert(0, "passage_id", out_p)
-                    yield res
-        return (spread(docs.select(*keep)).mapInPandas(match, out_schema)
-                .dropDuplicates(["passage_id", doc_id]))
-
-    # shuffle form: fingerprints equi-joined on the hash, then verified
     levels_present = [r[0] for r in p.select(_level_col("_ptext").alias("lv")).distinct().collect()]  # bounded: len(LEVELS) rows
 
     @F.pandas_udf(T.LongType())
     def _anchor(texts: pd.Series, lvs: pd.Series) -> pd.Series:
         return pd.Series([anchor(t, LEVELS[lv][0]) for t, lv in zip(texts, lvs)], dtype="Int64")
 
-    anchors = p.withColumn("_lv", _level_col("_ptext")).withColumn("_h", _anchor("_ptext", "_lv"))
+    anchors = (p.withColumn("_lv", _level_col("_ptext")).withColumn("_h", _anchor("_ptext", "_lv"))
+               .select("_pid", "_lv", "_h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s")))
     cand = None
     for lv in levels_present:
         k, w = LEVELS[lv]
 
         _fp = _fingerprint_udf(k, w)
         fp = (spread(docs).select(F.col(doc_id).alias("_did"), F.explode_outer(_fp(F.col(doc_text))).alias("_h"))
-              .where(F.col("_h").isNotNull()))
-        part = (anchors.where(F.col("_lv") == lv).select("_pid", "_h")
-                .join(fp, "_h").select("_pid", "_did").distinct())
+              .where(F.col("_h").isNotNull()).withColumn("_s", F.pmod(F.xxhash64("_did"), F.lit(SALTS)).cast("int")))
+        part = (anchors.where(F.col("_lv") == lv).select("_pid", "_h", "_s")
+                .join(fp, ["_h", "_s"]).select("_pid", "_did").distinct())
         cand = part if cand is None else cand.unionByName(part)
     if cand is None:
-        return spark.createDataFrame([], T.StructType([T.StructField("passage_id", pid_type),
-                                                       T.StructField(doc_id, did_type)] + extra))
-    # verification needs the document text: probe the documents where they live with the
-    # (few) candidate pairs broadcast behind a row-count check; a shuffle join beyond it
-    pairs = cand.join(p, "_pid")
-    n_pairs = pairs.limit(VERIFY_BROADCAST_ROWS + 1).count()
-    if n_pairs <= VERIFY_BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
+        return spark.createDataFrame([], T.StructType([T.StructField("passage_id", passages.schema[passage_id].dataType),
+                                                       T.StructField(doc_id, docs.schema[doc_id].dataType),
+                                                       *[docs.schema[c] for c in doc_cols]]))
+    pairs = stored(cand, "contain-pairs").join(p, "_pid")
     verified = (docs.select(F.col(doc_id).alias("_did"), F.col(doc_text).alias("_dtext"), *doc_cols).join(pairs, "_did")
                 .where(F.instr(F.col("_dtext"), F.col("_ptext")) > 0))
-    return verified.select(F.col("_pid").alias("passage_id"), F.col("_did").alias(doc_id), *doc_cols)
+    return verified.select(F.col("_pid").alias("passage_id"), F.col("_did").alias(doc_id), *doc_cols).dropDuplicates(["passage_id", doc_id])

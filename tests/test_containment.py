@@ -1,8 +1,8 @@
-"""Exact containment join vs brute force, both physical forms and all fingerprint levels."""
+"""Exact containment join vs brute force, at all fingerprint levels."""
 
-import pytest
+from pyspark.sql import functions as F
 
-from docsift.operators.containment import contains_join, winnow, anchor, LEVELS
+from docsift.operators.containment import LEVELS, SALTS, anchor, contains_join, winnow
 
 
 DOCS = [
@@ -27,11 +27,10 @@ def brute():
     return sorted((p, d) for p, pt in PASSAGES for d, dt in DOCS if pt in dt)
 
 
-@pytest.mark.parametrize("force", ["broadcast", "shuffle"])
-def test_contains_join_exact(spark, force):
+def test_contains_join_exact(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     passages = spark.createDataFrame(PASSAGES, "item_id long, text string")
-    got = sorted((r["passage_id"], r["doc_id"]) for r in contains_join(passages, docs, force=force).collect())
+    got = sorted((r["passage_id"], r["doc_id"]) for r in contains_join(passages, docs).collect())
     assert got == brute()
 
 
@@ -55,6 +54,19 @@ def test_contains_join_property(spark, docs, passages):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     p = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
     expected = sorted((i, j) for i, pt in enumerate(passages) for j, dt in enumerate(docs) if pt in dt)
-    for force in ("broadcast", "shuffle"):
-        got = sorted((r["passage_id"], r["doc_id"]) for r in contains_join(p, d, force=force).collect())
-        assert got == expected, force
+    got = sorted((r["passage_id"], r["doc_id"]) for r in contains_join(p, d).collect())
+    assert got == expected
+
+
+def test_documents_of_a_hot_hash_are_split(spark):
+    """A passage that every document holds: its rows are dealt by (hash, salt), not by the hash alone."""
+    shared = "the same long notice stands in every one of these documents, word by word, at some place of it"
+    docs = spark.createDataFrame([(i, f"{i} own words " + shared + f" {i * 7} more") for i in range(300)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = contains_join(spark.createDataFrame([(1, shared)], "item_id long, text string"), docs)
+        assert out.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    salts = {r[0] for r in docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).distinct().collect()}
+    assert len(salts) == SALTS
