@@ -32,7 +32,7 @@ MIN_LETTERS, MIN_TIMES, EVERY = 5, 3, 97
 GROUPS = 13
 LEVELS = (10, 6, 12, 1, 11, 7, 0, 9, 4, 8, 5, 2, 3)
 #: Words of a shard's block, of a leaf, and of a run of asking words; letters compared at a time.
-SHARD_WORDS, LEAF_WORDS, RUN_WORDS, CELLS = 20_000, 64, 20_000, 4_000_000
+SHARD_WORDS, LEAF_WORDS, RUN_WORDS, CELLS = 4_000, 64, 20_000, 4_000_000
 #: Distinct words that a reading task holds before it hands them on.
 TABLE_WORDS = 400_000
 OWN, SAME, LONGER = 1, 2, 3
