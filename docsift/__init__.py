@@ -6,7 +6,6 @@ sources    scans and sinks (tables, BEIR folders, JSON triplets, index artefacts
 functions  column-expression helpers (tokenising, stopwords, stemming, vector maths)
 operators  relational operators (preparation, BM25, dense search, rerank, metrics, training sets)
 plans      compositions (experiment matrix, run comparison) and the SQL oracle texts
-streaming  incremental variants (the source project has no streaming; see its docstring)
 """
 
 __version__ = "0.1.0"
