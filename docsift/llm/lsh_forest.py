@@ -36,9 +36,9 @@ TREES, WIDTH, DEPTH = 32, 4, 8
 SLOTS = 768
 SCREEN_SIGMA = 4
 #: Rows of a packed block on either side when the members of a region are compared.
-OUTSIDE, MEMBERS = 256, 1024
+OUTSIDE, MEMBERS = 128, 512
 #: Word hashes remembered by a task.
-MEMO = 150_000
+MEMO = 50_000
 
 _RNG = np.random.default_rng(20240601)
 _MULTIPLY = _RNG.integers(1, 2 ** 63, TREES * WIDTH + SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -292,8 +292,9 @@ def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, screened: bool = False) -> DataFrame:
     """Those (a, b) whose sets have 100 * shared >= percent * union; ``screened`` pairs go to the full sets at once."""
-    likely = pairs if screened else _with_both(pairs, sets, "wide").mapInArrow(
-        _screen(_least_matches(percent)), "a long, b long")
+    # written: the screen's and the confirmation's workers are not up at the same time
+    likely = pairs if screened else stored(_with_both(pairs, sets, "wide").mapInArrow(
+        _screen(_least_matches(percent)), "a long, b long"), "near-likely")
     return _with_both(likely, sets, "hashes").mapInArrow(_confirm(percent), "a long, b long")
 
 
