@@ -17,24 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift import constants as C
-from docsift.functions.vectors import RunningTopK
+from docsift.functions.vectors import TILE_QUERIES, RunningTopK
 from docsift.operators import dense as D
-from docsift.operators.lexical import rank_top_k
+from docsift.operators.dense import matrix
 
 #: Vectors that k-means is fitted on at most, rows compared with all centres at a time.
 FIT_ROWS = 65_536
 STEP_ROWS = 1024
+#: Rows of lookup sums that are added up together.
+SUM_ROWS = 64
 #: Decimals of the distances that decide between centres (equal ones go to the first centre).
 DISTANCE_DECIMALS = 9
 
 
-def matrix(column) -> np.ndarray:
-    """Arrow list column (rows of one length) as a float64 matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(axis=2)).round(DISTANCE_DECIMALS)
 
@@ -128,70 +123,99 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_lists: int
 # -- product quantisation (#49) -----------------------------------------------
 
 def pq_codes(vectors: DataFrame, books: np.ndarray) -> DataFrame:
-    """(id, codes binary): one byte a part, the nearest of at most 256 centres."""
+    """(id, codes binary, other columns): one byte a part, the nearest of at most 256 centres."""
     if books.shape[1] > 256:
         raise ValueError("a code is one byte: at most 256 centres")
     shared = vectors.sparkSession.sparkContext.broadcast(books)
-    schema = T.StructType([T.StructField("id", vectors.schema["id"].dataType), T.StructField("codes", T.BinaryType())])
+    others = [f for f in vectors.schema.fields if f.name not in ("id", "embedding")]
+    schema = T.StructType([T.StructField("id", vectors.schema["id"].dataType), T.StructField("codes", T.BinaryType()), *others])
 
     def encode(batches):
         b = shared.value
         for batch in _steps(batches):
             x = matrix(batch.column(1)).reshape(batch.num_rows, len(b), -1)
             codes = np.stack([distances(x[:, j], b[j]).argmin(axis=1) for j in range(len(b))], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in codes], pa.binary())],
-                                             names=["id", "codes"])
-    return vectors.select("id", "embedding").mapInArrow(encode, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in codes], pa.binary()), *batch.columns[2:]],
+                                             names=schema.names)
+    return vectors.select("id", "embedding", *[f.name for f in others]).mapInArrow(encode, schema)
+
+
+class Reranked(RunningTopK):
+    """A running top-``depth`` by an approximate score; what it emits are the best ``best`` of it by exact products.
+
+    A document's exact product with a query is taken when it enters, so no vector is looked up a second time.
+    """
+
+    def __init__(self, qids, q, depth, exclude_self, exact, best):
+        super().__init__(qids, q, depth, exclude_self)
+        self.exact, self.best = exact, best
+
+    def second(self, d: np.ndarray):
+        return lambda r, c: np.einsum("ij,ij->i", d[r], self.exact[c])
 
+    def finished(self):
+        return self.ranked(self.best)
 
-def pq_scan(queries: DataFrame, codes: DataFrame, books: np.ndarray, depth: int, exclude_self: bool = False) -> DataFrame:
+
+def _top(columns, q, depth, exclude_self, best):
+    """(running top, second scores of a batch's columns) of a scan with or without exact vectors."""
+    if best is None:
+        return RunningTopK(columns["id"], q, depth, exclude_self), lambda batch: None
+    top = Reranked(columns["id"], q, depth, exclude_self, matrix(columns["exact"]), best)
+    return top, lambda batch: top.second(matrix(batch["vector"]))
+
+
+def _scan(queries: DataFrame, corpus: DataFrame, cells: int, depth: int, best: int | None, search) -> DataFrame:
+    """The run of ``search``, with exact vectors in ``exact`` (queries) and ``vector`` (corpus) where ``best`` is given."""
+    schema = D.hit_schema(queries.schema["id"].dataType, corpus.schema["id"].dataType)
+    return D.finish(D.streamed_hits(queries, corpus, D.chunk_count(queries, cells, depth), search, schema), best or depth)
+
+
+def pq_scan(queries: DataFrame, codes: DataFrame, books: np.ndarray, depth: int, exclude_self: bool = False,
+            best: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): each query's best ``depth`` by the sum of its lookup table's entries.
 
-    A query's table holds its product with every centre of every part; a block of tables is broadcast and the byte codes
-    stream past it.  No vector is decoded.
+    A query's table holds its product with every centre of every part; the byte codes stream past a chunk of tables.  No
+    vector is decoded.  With ``best``, the ``best`` of these by the products of ``exact`` (queries) and ``vector`` (codes).
     """
     m = len(books)
 
-    def tables(q):
-        return np.einsum("qjs,jcs->jcq", q.reshape(len(q), m, -1), books)  # part, code, query
-
-    def scan(shared):
-        def run(batches):
-            ids, table = shared.value
-            top = RunningTopK(ids, table[0].T, depth, exclude_self)
-            step = max(1, D.SCORE_CELLS // max(len(ids), 1))
-            for batch in batches:
-                doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, m)
-                for start in range(0, len(code), step):
-                    part = code[start:start + step]
-                    scores = table[0][part[:, 0]].copy()
+    def search(columns):
+        q = matrix(columns["embedding"])
+        top, second = _top(columns, q, depth, exclude_self, best)
+        tables = [np.ascontiguousarray(np.einsum("qjs,jcs->jcq", q[a:b].reshape(b - a, m, -1), books)) for a, b in top.tiles()]
+
+        def feed(ids, batch):
+            code = np.frombuffer(b"".join(batch["codes"].to_pylist()), np.uint8).reshape(-1, m).astype(np.intp)
+
+            def scores(rows, a, b):
+                table, part = tables[a // TILE_QUERIES], code[rows]
+                out = np.empty((len(part), b - a))
+                for low in range(0, len(part), SUM_ROWS):  # sums of a few rows stay in the core's cache
+                    some, sums = part[low:low + SUM_ROWS], out[low:low + SUM_ROWS]
+                    np.take(table[0], some[:, 0], axis=0, out=sums, mode="clip")
+                    held = np.empty_like(sums)
                     for j in range(1, m):
-                        scores += table[j][part[:, j]]
-                    top.take(doc_ids[start:start + step], scores)
-            yield D.hit_batch(*top.result(), schema)
-        return run
-
-    schema = D.hit_schema(queries.schema["id"].dataType, codes.schema["id"].dataType)
-    return D.blockwise(queries, books.shape[0] * books.shape[1], depth,
-                       lambda ids, q, spark: codes.mapInArrow(scan(spark.sparkContext.broadcast((ids, tables(q)))), schema))
+                        np.take(table[j], some[:, j], axis=0, out=held, mode="clip")
+                        sums += held
+                return out
+            top.score(ids, scores, second(batch))
+        return top, feed
+    return _scan(queries, codes, books.shape[0] * books.shape[1], depth, best, search)
 
 
-def exact_rerank(candidates: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Candidates (query_id, doc_id) ranked by the exact inner product of their vectors, cut to ``k``."""
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    pairs = (candidates.select("query_id", "doc_id")
-             .join(queries.select(F.col("id").alias("query_id"), double("embedding").alias("q")), "query_id")
-             .join(corpus.select(F.col("id").alias("doc_id"), double("embedding").alias("d")), "doc_id"))
-    score = F.aggregate(F.zip_with("q", "d", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return D.finish(pairs.select("query_id", "doc_id", score.alias("score")), k)
+def _with_exact(queries: DataFrame, corpus: DataFrame):
+    """Both with their vectors twice: ``embedding``, and ``exact`` (queries) or ``vector`` (corpus) for the exact products."""
+    return (queries.select("id", "embedding", F.col("embedding").alias("exact")),
+            corpus.select("id", "embedding", F.col("embedding").alias("vector")))
 
 
 def pq_search(queries: DataFrame, corpus: DataFrame, k: int = 10, m: int = 16, n_centroids: int = 32, rounds: int = 8,
               depth: int = 100, exclude_self: bool = False) -> DataFrame:
     """Product quantisation: ``depth`` candidates by lookup tables over byte codes, ranked by their exact products."""
     books = kmeans(corpus, n_centroids, rounds, m)
-    return exact_rerank(pq_scan(queries, pq_codes(corpus, books), books, depth, exclude_self), queries, corpus, k)
+    q, c = _with_exact(queries, corpus)
+    return pq_scan(q, pq_codes(c, books), books, depth, exclude_self, k)
 
 
 # -- PCA (#52-#54) ------------------------------------------------------------
@@ -255,31 +279,36 @@ def _shares(found, cov) -> np.ndarray:
 
 
 def pca_project(components: np.ndarray, vectors: DataFrame) -> DataFrame:
-    """(id, embedding): the vectors in the components' coordinates."""
-    schema = T.StructType([T.StructField("id", vectors.schema["id"].dataType), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    """(id, embedding, other columns): the vectors in the components' coordinates."""
+    others = [f for f in vectors.schema.fields if f.name not in ("id", "embedding")]
+    schema = T.StructType([T.StructField("id", vectors.schema["id"].dataType), T.StructField("embedding", T.ArrayType(T.DoubleType())), *others])
     shared = vectors.sparkSession.sparkContext.broadcast(components)
 
     def project(batches):
         for batch in _steps(batches):
             y = matrix(batch.column(1)) @ shared.value.T
             offsets = pa.array(np.arange(batch.num_rows + 1) * y.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))],
-                                             names=["id", "embedding"])
-    return vectors.select("id", "embedding").mapInArrow(project, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel())), *batch.columns[2:]],
+                                             names=schema.names)
+    return vectors.select("id", "embedding", *[f.name for f in others]).mapInArrow(project, schema)
 
 
 def pca_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_components: int = 32, rounds: int = 20, depth: int = 200,
                exclude_self: bool = False) -> DataFrame:
     """``depth`` candidates by the products of the projections (exhaustive), ranked by their exact products."""
     components, _ = pca_fit(corpus, n_components, rounds)
-    found = D.dense_search(pca_project(components, queries), pca_project(components, corpus), depth, "dot", exclude_self)
-    return exact_rerank(found, queries, corpus, k)
+    q, c = _with_exact(queries, corpus)
+
+    def search(columns):
+        top, second = _top(columns, matrix(columns["exact"]) @ components.T, depth, exclude_self, k)
+        return top, lambda ids, batch: top.add(ids, matrix(batch["vector"]) @ components.T, second(batch))
+    return _scan(q.select("id", "exact"), c.select("id", "vector"), components.shape[1], depth, k, search)
 
 
 def pca_pq_search(queries: DataFrame, corpus: DataFrame, k: int = 10, n_components: int = 32, pca_rounds: int = 20, m: int = 16,
                   n_centroids: int = 32, rounds: int = 8, depth: int = 300, exclude_self: bool = False) -> DataFrame:
     """Product quantisation of the projections: ``depth`` candidates by lookup tables, ranked by their exact products."""
     components, _ = pca_fit(corpus, n_components, pca_rounds)
-    q, c = pca_project(components, queries), pca_project(components, corpus)
-    books = kmeans(c, n_centroids, rounds, m)
-    return exact_rerank(pq_scan(q, pq_codes(c, books), books, depth, exclude_self), queries, corpus, k)
+    q, c = (pca_project(components, x) for x in _with_exact(queries, corpus))
+    books = kmeans(c.select("id", "embedding"), n_centroids, rounds, m)
+    return pq_scan(q, pq_codes(c, books), books, depth, exclude_self, k)

@@ -192,3 +192,32 @@ def test_emitted_rows_do_not_depend_on_the_batch_size(spark, vecs):
         n.append((hits.count(), hits.distinct().count()))
     spark.conf.unset(key)
     assert n[0] == n[1] and n[0][0] == n[0][1]
+
+
+def test_searches_hold_a_chunk_of_queries_alone(spark, vecs, monkeypatch):
+    """Deep searches go in chunks bounded by the rows they keep; candidates are ranked exactly without a join."""
+    df, m = vecs
+    want = {q: as_lists(f()) for q, f in (("pca", lambda: Q.pca_search(df, df, 5, 6, 5, 20, exclude_self=True)),
+                                          ("pq", lambda: Q.pq_search(df, df, 5, 4, 8, 3, 20, exclude_self=True)))}
+    monkeypatch.setattr(D, "CHUNK_HITS", 20 * 40)
+    assert D.chunk_count(df, 16, 20) == 8
+    run = Q.pca_search(df, df, 5, 6, 5, 20, exclude_self=True)
+    assert as_lists(run) == want["pca"] and as_lists(Q.pq_search(df, df, 5, 4, 8, 3, 20, exclude_self=True)) == want["pq"]
+    assert "Join" not in run._jdf.queryExecution().executedPlan().toString()
+    comps, _ = Q.pca_fit(df, 6, 5)
+    near, exact = (m @ comps.T) @ (m @ comps.T).T, m @ m.T
+    for q in range(300):
+        deep = sorted((-round(near[q, d], 6), d) for d in range(300) if d != q)[:20]
+        assert want["pca"][q] == [d for _, d in sorted((-round(exact[q, d], 6), d) for _, d in deep)[:5]]
+
+
+def test_running_top_is_bounded_and_rounds_as_spark(spark):
+    from docsift.functions.vectors import RunningTopK, half_up
+    rng = np.random.default_rng(1)
+    top = RunningTopK(np.arange(50), rng.standard_normal((50, 4)), 10)
+    for i in range(40):
+        top.add(np.arange(i * 100, i * 100 + 100), rng.standard_normal((100, 4)))
+        assert sum(len(p[0]) for p in top.parts[0]) <= 2 * 10 * 50
+    scores = [0.1234565, -0.1234565, 2.5e-6, 0.1234564999, 1e-9, 1234.5678905, 3.0]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(scores)], "i int, x double").selectExpr("i", "round(x, 6) AS r").orderBy("i").collect()
+    assert half_up(np.array(scores)).tolist() == [r["r"] for r in got]
