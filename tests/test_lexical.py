@@ -177,3 +177,29 @@ def test_exclude_self_and_multisearch(spark, data):
     no_self = L.bm25_search(idx, docs.withColumnRenamed("doc_id", "query_id").withColumnRenamed("full_text", "text"),
                             top_k=2, exclude_self=True)
     assert no_self.where("query_id = doc_id").count() == 0
+
+
+def test_products_equal_a_full_scan():
+    """Frequent and rare terms, short and long queries, a skipped id: products over segments give the exact top k."""
+    import numpy as np
+
+    from docsift.functions.postings import Best, PostingProducts
+    rng = np.random.default_rng(4)
+    docs = np.concatenate([np.full(n, i) for i, n in enumerate(rng.integers(1, 30, 300))])
+    terms = np.concatenate([rng.choice(40, n, replace=False) for n in np.bincount(docs)])
+    impacts = rng.integers(1, 4, len(docs)) / 2  # many ties
+    queries = [rng.choice(40, n, replace=False) for n in (1, 5, 40, 12, 30, 2, 7, 9, 33)]
+    runs = np.append(0, np.cumsum([len(q) for q in queries]))
+    weights = rng.integers(1, 3, runs[-1]).astype(float)
+    for share in (1, 3, 10 ** 6):
+        best = [Best(10) for _ in queries]
+        for low, high in ((0, 130), (130, 131), (131, 300)):
+            here = (docs >= low) & (docs < high)
+            PostingProducts(np.arange(low, high) * 2, docs[here] - low, terms[here], impacts[here], 40, share).search(
+                runs, np.concatenate(queries), weights, best, [2 * i for i in range(len(queries))])
+        for i, q in enumerate(queries):
+            amount = np.zeros(40)
+            amount[q] = weights[runs[i]:runs[i + 1]]
+            exact = np.bincount(docs, amount[terms] * impacts, 300)
+            want = sorted((-x, 2 * d) for d, x in enumerate(exact.tolist()) if x > 0 and d != i)[:10]
+            assert list(zip((-best[i].scores[:10]).tolist(), best[i].ids[:10].tolist())) == want
