@@ -221,3 +221,15 @@ def test_running_top_is_bounded_and_rounds_as_spark(spark):
     scores = [0.1234565, -0.1234565, 2.5e-6, 0.1234564999, 1e-9, 1234.5678905, 3.0]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(scores)], "i int, x double").selectExpr("i", "round(x, 6) AS r").orderBy("i").collect()
     assert half_up(np.array(scores)).tolist() == [r["r"] for r in got]
+
+
+def test_sparse_vectors_are_exchanged_once(spark):
+    """Sums, norms, their join and dense rows share one exchange by id."""
+    tf = spark.createDataFrame([(i, f"t{j}", 1 + j % 3) for i in range(20) for j in range(i % 7 + 1)], "id long, term string, tf long")
+    idf = spark.createDataFrame([(f"t{j}", 5, 1.0 + j) for j in range(7)], "term string, df long, idf double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = D.to_dense(D.encode_sparse(tf, idf, 8), 8)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    by_id = [line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line]
+    assert by_id and all("REPARTITION_BY_NUM" in line for line in by_id), plan
