@@ -1,8 +1,11 @@
 """Exact containment join vs brute force, at all fingerprint levels."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docsift.operators.containment import LEVELS, SALTS, anchor, contains_join, winnow
+from docsift.operators.containment import LEVELS, SALTS, _kgram_hashes, anchor, contains_join, fingerprint_batches, winnow
 
 
 DOCS = [
@@ -70,3 +73,29 @@ def test_documents_of_a_hot_hash_are_split(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     salts = {r[0] for r in docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).distinct().collect()}
     assert len(salts) == SALTS
+
+
+def test_hashes_of_every_width_equal_the_plain_sum():
+    text = "Größe, née 1984 – 漢字 " * 9
+    cp = [ord(c) for c in text]
+    for k in range(1, 20):
+        plain = []
+        for i in range(len(cp) - k + 1):
+            h = 0
+            for c in cp[i:i + k]:
+                h = (h * 1_000_003 + c) % 2 ** 64
+            h = (h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2 ** 64
+            plain.append(h ^ (h >> 29))
+        assert _kgram_hashes(text, k).tolist() == plain
+    assert _kgram_hashes("ab", 3).size == 0
+
+
+def test_fingerprints_leave_in_small_batches_whatever_the_batch_of_texts():
+    draw = random.Random(5)
+    texts = [None, ""] + ["".join(draw.choices("abcdefgh ", k=400)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    k, w = LEVELS[1]
+    out = list(fingerprint_batches(iter([batch]), k, w, limit=500))
+    rows = [(i, h) for b in out for i, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert len(out) > 10 and max(b.num_rows for b in out) < 500 + 400
+    assert rows == [(i, int(h)) for i, t in enumerate(texts) for h in winnow(t, k, w)]
