@@ -2,9 +2,11 @@
 
 A store is a folder on the shared file system:
 
-* ``seg-<id>/postings/part=<n>``  (term, doc_id, tf, dl), range-partitioned and sorted by term;
+* ``seg-<id>/postings/part=<n>``  (term, doc_id, tf, dl), range-partitioned and sorted by term and document, so the
+                                  postings of a frequent term lie in several parts;
 * ``seg-<id>/parts``              the least and largest term of each part;
 * ``seg-<id>/terms``              (term, df), in the segment's own documents;
+* ``seg-<id>/docs``               (doc_id, tokens) of these documents;
 * ``seg-<id>/deleted``            ids that the segment takes out of earlier segments;
 * ``versions/v=<number>``         one row: the segments in order, N and the number of tokens.  It is written last,
   so a version is either whole or not there; readers take the newest whole one.
@@ -18,6 +20,7 @@ terms are not read.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -72,21 +75,27 @@ class LexicalStore:
         name = f"seg-{uuid.uuid4().hex[:12]}"
         at = f"{self.path}/{name}"
         index = L.bm25_index(docs, analyzer=analyzer)
-        n = L.shuffle_partitions(docs)
-        rows = index.postings.select("term", "doc_id", "tf", "dl").repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id")
-        rows.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{at}/postings")
-        if path_exists(self.spark, f"{at}/postings/_SUCCESS") and index.n_docs:
-            written = self.spark.read.parquet(f"{at}/postings")
-            parts = written.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"))
+        n_docs, tokens = index.n_docs, round(index.avgdl * index.n_docs)
+        # the part leads the sort, so writing by part needs no second one
+        (index.postings.select("term", "doc_id", "tf", "dl")
+         .repartitionByRange(L.partitions_for(docs, tokens, L.PARTITION_TOKENS), "term", "doc_id")
+         .withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "term", "doc_id")
+         .write.partitionBy("part").parquet(f"{at}/postings"))
+        index.postings.groupBy("doc_id").agg(F.sum("tf").alias("tokens")).write.parquet(f"{at}/docs")
+        index.unpersist()
+        if path_exists(self.spark, f"{at}/postings/_SUCCESS") and n_docs:
+            # frequencies first: the bounds then come from a row for each term and part, and one scan of the terms serves both
+            counts = (self.spark.read.parquet(f"{at}/postings").groupBy("part", "term").agg(F.count(F.lit(1)).alias("df"))
+                      .persist(StorageLevel.MEMORY_AND_DISK))
         else:
-            parts = self.spark.createDataFrame([], "part int, first string, last string")
-        parts.coalesce(1).write.parquet(f"{at}/parts")
-        index.terms.select("term", "df").write.parquet(f"{at}/terms")
+            counts = self.spark.createDataFrame([], "part int, term string, df long")
+        counts.groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{at}/terms")
+        (counts.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last"))
+         .coalesce(1).write.parquet(f"{at}/parts"))
+        counts.unpersist()
         if deleted is None:
             deleted = docs.select("doc_id").limit(0)
         deleted.select("doc_id").distinct().write.parquet(f"{at}/deleted")
-        n_docs, tokens = index.n_docs, round(index.avgdl * index.n_docs)
-        index.unpersist()
         return name, n_docs, tokens
 
     def create(self, docs: DataFrame, analyzer: str | None = None) -> "LexicalStore":
@@ -107,8 +116,8 @@ class LexicalStore:
 
     def _change(self, docs: DataFrame, out: DataFrame) -> "LexicalStore":
         v = self.version()
-        gone = (self._postings(list(v["segments"])).join(out.distinct(), "doc_id", "left_semi")
-                .groupBy("doc_id").agg(F.sum("tf").alias("tokens")).persist())
+        gone = (self._docs(list(v["segments"])).join(out.distinct(), "doc_id", "left_semi")
+                .groupBy("doc_id").agg(F.sum("tokens").alias("tokens")).persist())
         less = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()
         name, n_docs, tokens = self._segment(docs, v["analyzer"], gone)
         gone.unpersist()
@@ -117,6 +126,17 @@ class LexicalStore:
 
     # -- reading --------------------------------------------------------------
 
+    def _living(self, rows: DataFrame, later: list[str]) -> DataFrame:
+        """``rows`` of a segment without the documents that the ``later`` segments delete."""
+        for name in later:
+            rows = rows.join(self.spark.read.parquet(f"{self.path}/{name}/deleted"), "doc_id", "left_anti")
+        return rows
+
+    def _docs(self, segments: list[str]) -> DataFrame:
+        """Living documents (doc_id, tokens)."""
+        return reduce(DataFrame.unionByName, [self._living(self.spark.read.parquet(f"{self.path}/{name}/docs"), segments[i + 1:])
+                                              for i, name in enumerate(segments)])
+
     def _postings(self, segments: list[str], terms: DataFrame | None = None) -> DataFrame:
         """Living postings (term, doc_id, tf, dl); with ``terms`` only parts that may hold one of them are read."""
         out = None
@@ -132,8 +152,7 @@ class LexicalStore:
             if not parts:
                 continue
             rows = self.spark.read.parquet(f"{at}/postings").where(F.col("part").isin(parts)).select("term", "doc_id", "tf", "dl")
-            for later in segments[i + 1:]:
-                rows = rows.join(self.spark.read.parquet(f"{self.path}/{later}/deleted"), "doc_id", "left_anti")
+            rows = self._living(rows, segments[i + 1:])
             out = rows if out is None else out.unionByName(rows)
         if out is None:
             out = self.spark.read.parquet(f"{self.path}/{segments[0]}/deleted").limit(0).select(
@@ -141,8 +160,11 @@ class LexicalStore:
         return out if terms is None else out.join(terms.select("term").distinct(), "term", "left_semi")
 
     def read(self, queries: DataFrame | None = None, query_id: str = "query_id", text: str = "text",
-             storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> L.LexicalIndex:
-        """The newest version as an index; with ``queries`` only the postings of their terms, scored as in the whole."""
+             storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> L.LexicalIndex:
+        """The newest version as an index; with ``queries`` only the postings of their terms, scored as in the whole.
+
+        ``storage`` None: nothing is persisted, for callers that go through the postings once.
+        """
         v = self.version()
         n_docs, avgdl = v["n_docs"], v["tokens"] / v["n_docs"] if v["n_docs"] else 0.0
         terms = None
@@ -152,17 +174,16 @@ class LexicalStore:
                      .where(F.col("term").isNotNull()).distinct().persist())
         living = self._postings(list(v["segments"]), terms)
         norm = F.lit(self.k1) * (F.lit(1.0 - self.b) + F.lit(self.b) * F.col("dl") / F.lit(avgdl or 1.0))
-        postings = (living.repartition(L.shuffle_partitions(living), "doc_id").sortWithinPartitions("doc_id")
-                    .select("term", "doc_id", "tf", "dl", (F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + norm)).alias("impact"))
-                    .persist(storage))
+        postings = (living.repartition(L.partitions_for(living, v["tokens"], L.PARTITION_TOKENS), "doc_id").sortWithinPartitions("doc_id")
+                    .select("term", "doc_id", "tf", "dl", (F.col("tf") * F.lit(self.k1 + 1.0) / (F.col("tf") + norm)).alias("impact")))
         if len(v["segments"]) == 1:  # nothing deleted: the stored frequencies hold
             df = self.spark.read.schema("term string, df long").parquet(f"{self.path}/{v['segments'][0]}/terms")
             df = df if terms is None else df.join(terms, "term", "left_semi")
         else:
-            df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            df = living.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         df = df.withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-        df = df.persist(storage)
-        return L.LexicalIndex(postings, df, n_docs, avgdl, self.k1, self.b, v["analyzer"], (postings, df) + ((terms,) if terms is not None else ()))
+        held = [] if storage is None else [postings.persist(storage), df.persist(storage)]
+        return L.LexicalIndex(postings, df, n_docs, avgdl, self.k1, self.b, v["analyzer"], held + ([terms] if terms is not None else []))
 
 
 def open_or_create(spark: SparkSession, path: str, docs, analyzer: str | None = None) -> tuple[LexicalStore, bool]:

@@ -49,7 +49,7 @@ def q_bm25_index_update(spark, sf_dir):
     corpus = fx1(spark, sf_dir).corpus
     german = corpus.where(F.col("language") == "de")
     store = LexicalStore(spark, scratch_path(spark, "index-update")).create(corpus)
-    index = store.delete(german.select("doc_id")).append(german).read()
+    index = store.delete(german.select("doc_id")).append(german).read(storage=None)
     return (index.postings.join(index.terms.select("term", "df", "idf"), "term")
             .select("term", "doc_id", "tf", "dl", "df", F.round("idf", 6).alias("idf")))
 

@@ -1,8 +1,10 @@
 """The stored index: versions, load-if-present, pruned reads, deletes and appends."""
 
+import glob
 import os
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,39 @@ def test_deletes_and_appends_equal_a_rebuild(spark, corpus, queries):
     store.create(corpus)  # a new index replaces all versions
     assert contents(store.read()) == contents(L.bm25_index(corpus))
     assert LexicalStore(spark, scratch_path(spark, "store")).create(corpus.limit(0)).read().n_docs == 0
+
+
+def test_partitions_and_parts_follow_the_input_and_a_frequent_term_is_split(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"often w{i} " + "often " * 3) for i in range(2000)], "doc_id long, text string")
+    whole = contents(L.bm25_index(docs))
+    n = L.shuffle_partitions(docs)
+    monkeypatch.setattr(L, "PARTITION_BYTES", 2_500)
+    monkeypatch.setattr(L, "PARTITION_TOKENS", 500)
+    index = L.bm25_index(docs)
+    assert index.postings.rdd.getNumPartitions() >= 2 * n and contents(index) == whole
+    store = LexicalStore(spark, scratch_path(spark, "store")).create(docs)
+    segment = store.version()["segments"][0]
+    parts = spark.read.parquet(f"{store.path}/{segment}/parts").where("first <= 'often' AND last >= 'often'").count()
+    assert parts >= n // 2
+    read = store.read()
+    assert read.postings.rdd.getNumPartitions() >= 2 * n and contents(read) == whole
+    asked = spark.createDataFrame([(1, "often w7")], "query_id long, text string")
+    assert as_dict(L.bm25_search(store.read(asked), asked, 4)) == as_dict(L.bm25_search(index, asked, 4))
+
+
+def test_changes_read_documents_not_postings_and_parts_are_sorted_once(spark, corpus, monkeypatch):
+    store = LexicalStore(spark, scratch_path(spark, "store")).create(corpus)
+
+    def never(*_):
+        raise AssertionError("postings are read")
+    with monkeypatch.context() as m:
+        m.setattr(LexicalStore, "_postings", never)
+        store.delete(spark.createDataFrame([(1,), (4,), (7,)], "doc_id long"))
+        store.append(corpus.where("doc_id IN (1, 4, 7)"))
+    index = store.read(storage=None)
+    assert not index.postings.is_cached and not index.terms.is_cached
+    assert contents(index) == contents(L.bm25_index(corpus))
+    for segment in store.version()["segments"]:
+        for part in sorted(glob.glob(f"{store.path}/{segment}/postings/part=*/*.parquet".removeprefix("file:"))):
+            keys = [(r["term"], r["doc_id"]) for r in pq.read_table(part, columns=["term", "doc_id"]).to_pylist()]
+            assert keys == sorted(keys)
