@@ -32,6 +32,9 @@ from docsift.sources.tables import path_exists
 
 VERSION = "segments array<string>, n_docs long, tokens long, analyzer string"
 
+#: text of a partition while a segment is counted; nothing is searched there, so it is small and its counts stay in cache
+SEGMENT_BYTES = 4 << 20
+
 
 class IncompleteIndex(RuntimeError):
     """The folder holds no published version."""
@@ -74,7 +77,7 @@ class LexicalStore:
         """Write one segment; its name, documents and tokens."""
         name = f"seg-{uuid.uuid4().hex[:12]}"
         at = f"{self.path}/{name}"
-        index = L.bm25_index(docs, analyzer=analyzer)
+        index = L.bm25_index(docs, analyzer=analyzer, partition_bytes=SEGMENT_BYTES)
         n_docs, tokens = index.n_docs, round(index.avgdl * index.n_docs)
         # the part leads the sort, so writing by part needs no second one
         (index.postings.select("term", "doc_id", "tf", "dl")

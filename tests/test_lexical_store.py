@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import lexical as L
+from docsift.operators import lexical_store
 from docsift.operators.lexical_store import IncompleteIndex, LexicalStore, open_or_create
 from docsift.session import scratch_path
 from tests.test_lexical import DOCS, QUERIES, as_dict
@@ -115,3 +116,17 @@ def test_changes_read_documents_not_postings_and_parts_are_sorted_once(spark, co
         for part in sorted(glob.glob(f"{store.path}/{segment}/postings/part=*/*.parquet".removeprefix("file:"))):
             keys = [(r["term"], r["doc_id"]) for r in pq.read_table(part, columns=["term", "doc_id"]).to_pylist()]
             assert keys == sorted(keys)
+
+
+def test_segments_are_counted_in_small_partitions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} often") for i in range(500)], "doc_id long, text string")
+    seen, build = [], L.bm25_index
+
+    def watched(*args, **kwargs):
+        seen.append(build(*args, **kwargs))
+        return seen[-1]
+    monkeypatch.setattr(lexical_store, "SEGMENT_BYTES", 200)
+    monkeypatch.setattr(L, "bm25_index", watched)
+    store = LexicalStore(spark, scratch_path(spark, "store")).create(docs)
+    assert seen[0].postings.rdd.getNumPartitions() >= 2 * L.shuffle_partitions(docs)
+    assert contents(store.read()) == contents(build(docs))
