@@ -1,10 +1,12 @@
 """The experiment grid on shared statistics against one plain BM25 index per cell."""
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import remove_stopwords
+from docsift.functions.postings import Forms
+from docsift.functions.text import remove_stopwords, tokenize
 from docsift.operators import evaluate as E
 from docsift.operators import lexical as L
 from docsift.operators import prepare as P
@@ -100,3 +102,28 @@ def test_grid_limits(spark, data):
     grid = X.Grid(corpus, slices, CELLS)
     with pytest.raises(ValueError):
         grid.rerank(X.RerankCell("x", "raw", "other"), grid.search())
+
+
+def test_words_are_counted_once_and_stemmed_once(spark, data):
+    """Analyzers and stopword choices add no postings; each distinct word has one row of forms for each analyzer that keeps it."""
+    corpus, slices = data
+    grid = X.Grid(corpus, slices, CELLS)
+    words = corpus.select("doc_id", F.explode(tokenize("text")).alias("w"))
+    assert grid.postings.count() == words.distinct().count()
+    assert grid.forms.groupBy("word", "analyzer").count().where("count > 1").count() == 0
+    assert grid.forms.where("analyzer = ''").count() == words.select("w").distinct().count()
+    wanted = grid.forms.select(F.concat_ws(" ", "analyzer", "stem").alias("term")).distinct()
+    counts = [sorted(map(tuple, grid._document_counts(wanted, b).collect())) for b in (L.BLOCK_BYTES, 2000)]
+    assert counts[0] and counts[0] == counts[1]
+    nothing = X.Slice(slices["all"].queries.withColumn("text", F.lit(None).cast("string")), slices["all"].qrels)
+    assert X.Grid(corpus, {"all": nothing}, CELLS[:1]).search().count() == 0
+
+
+def test_forms_of_a_term_are_summed_by_document():
+    docs, words = np.array([0, 0, 0, 1, 1]), np.array([0, 1, 2, 1, 2])
+    forms = Forms(docs, words, np.array([[0, 1, 2], [4, 4, -1]]))  # the second analyzer joins words 0 and 1 and drops 2
+    tf, out = np.array([1, 2, 4, 8, 16], np.int32), np.array([0, 1, 0, 1, 0])
+    got = lambda *x: [y.tolist() for y in forms.counts(*x, tf, out)]
+    assert got(1, 2) == [[0, 3], [4, 4], [3, 8]]
+    assert got(1, 1) == [[0], [4], [1]]  # the kept words alone, and no document without one
+    assert got(0, 1) == [[0, 2, 4], [0, 2, 2], [1, 4, 16]]
