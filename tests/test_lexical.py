@@ -203,3 +203,47 @@ def test_products_equal_a_full_scan():
             exact = np.bincount(docs, amount[terms] * impacts, 300)
             want = sorted((-x, 2 * d) for d, x in enumerate(exact.tolist()) if x > 0 and d != i)[:10]
             assert list(zip((-best[i].scores[:10]).tolist(), best[i].ids[:10].tolist())) == want
+
+
+@pytest.mark.parametrize("skip", [False, True])
+def test_floors_from_some_parts_lose_no_document(spark, skip):
+    """Searching a part of the index first gives the same run, and the tasks then hand on fewer rows."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([2, 8, 40])))) for i in range(400)]
+    docs += [(1000 + i, docs[i][1]) for i in range(30)]  # equal documents
+    corpus = spark.createDataFrame(docs, "doc_id long, text string")
+    idx = L.bm25_index(corpus)
+    terms = L.query_terms(corpus.limit(40).withColumnRenamed("doc_id", "query_id"), idx).select("query_id", "term", "w").persist()
+    runs = []
+    for parts in (0, 2):
+        hits = L.block_hits(idx, terms, 5, exclude_self=skip, seed_parts=parts).persist()
+        runs.append((hits.count(), sorted(map(tuple, L.rank_top_k(hits, 5).collect()))))
+    assert runs[0][1] == runs[1][1] and len(runs[0][1]) == 200
+    assert runs[1][0] < runs[0][0]
+
+
+def test_products_in_single_precision_keep_close_scores_apart():
+    """Scores that single precision cannot tell apart are still ranked exactly."""
+    import numpy as np
+
+    from docsift.functions.postings import Best, PostingProducts
+    n = 600
+    impacts = 1 + np.random.default_rng(2).permutation(n) * 1e-9
+    products = PostingProducts(np.arange(n), np.arange(n), np.zeros(n, np.int64), impacts, 1)
+    best = [Best(10), Best(10, 0.5)]
+    products.search(np.array([0, 1, 2]), np.array([0, 0]), np.array([1.0, 1.0]), best)
+    for b in best:
+        assert b.ids[:10].tolist() == np.argsort(-impacts, kind="stable")[:10].tolist()
+
+
+def test_block_of_queries_comes_as_one_row_a_query(spark, data):
+    corpus, queries = data
+    block = L.query_terms(queries, L.bm25_index(corpus)).select("query_id", "term", "w")
+    ids, numbers, runs, terms, weights = L.block_queries(block)
+    names = {r["tid"]: r["term"] for r in numbers.collect()}
+    got = {(q, names[int(t)], w) for i, q in enumerate(ids) for t, w in zip(terms[runs[i]:runs[i + 1]], weights[runs[i]:runs[i + 1]])}
+    assert got == {tuple(r) for r in block.collect()} and len(ids) == len(set(ids)) == 4
+    assert all(len(x) == 0 for x in L.block_queries(block.where("false"))[3:])
