@@ -233,3 +233,47 @@ def test_sparse_vectors_are_exchanged_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     by_id = [line for line in plan.splitlines() if "Exchange hashpartitioning(id" in line]
     assert by_id and all("REPARTITION_BY_NUM" in line for line in by_id), plan
+
+
+def test_sparse_weights_are_computed_once_and_stay_with_their_document(spark):
+    """One shuffle by term and one back of the rare terms' postings; norms add no second copy, frequent terms' postings stay."""
+    from docsift.operators import lexical as L
+
+    corpus = spark.createDataFrame([(i, f"a b{i % 3} c{i % 40} d{i} e e") for i in range(200)], "doc_id long, text string")
+    idx = L.bm25_index(corpus)
+    tf, idf = D.term_stats(corpus, index=idx)
+    want = {(r["id"], r["dim"]): r["w"] for r in D.encode_sparse(tf, idf, 32).collect()}
+    for heavy in (4, 10 ** 6):
+        out = D.encode_sparse(tf, idf, 32, heavy=heavy, n_parts=D._parts_of(idx))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(id") <= 1 and "Exchange hashpartitioning(id#" not in plan.split("Union")[0], plan
+        got = {(r["id"], r["dim"]): r["w"] for r in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    norms = {}
+    for (i, _), w in want.items():
+        norms[i] = norms.get(i, 0) + w * w
+    assert len(norms) == 200 and all(abs(x - 1) < 1e-9 for x in norms.values())
+
+
+def test_spread_does_not_run_a_shuffle_to_count_its_partitions(spark):
+    from docsift.session import spread
+
+    shuffled = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert spread(shuffled, 64) is shuffled
+    assert spread(spark.range(0, 10, 1, 1), 4).rdd.getNumPartitions() == 4
+
+
+def test_few_queries_share_the_corpus_among_tasks(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-3, 4, (300, 6)).astype(float)  # many ties
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    queries = corpus.where("id < 5")
+    run = D.dense_search(queries, corpus, 7, exclude_self=True, excluded=spark.createDataFrame([(0, 9), (4, 11)], "query_id long, doc_id long"))
+    out = {(0, 9), (4, 11)} | {(i, i) for i in range(5)}
+    for q in range(5):
+        want = sorted((-float(vectors[q] @ vectors[d]), d) for d in range(300) if (q, d) not in out)[:7]
+        assert [(-r["score"], r["doc_id"]) for r in run.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+    assert run._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    tasks = "shuffle_partition_id(_c" if "shuffle_partition_id(_c" in run._jdf.queryExecution().executedPlan().toString() else "_c"
+    parts = [line for line in run._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line and tasks in line]
+    assert parts and "(_c" in parts[0] and ", 1)" not in parts[0], parts
